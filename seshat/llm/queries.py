@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from seshat.llm import chat_hmm, warc_fixity
 from seshat.llm._io import table
 from seshat.llm.decontaminate import contaminated
 from seshat.llm.minhash_dedup import near_duplicates
@@ -23,6 +25,40 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc_fixity.audit(warc_fixity.records(pages), warc_fixity.records(warc_fixity.damaged(pages)))
+
+
+OP3_SQL = """
+WITH bodies AS (
+    SELECT page_id, url, html, CASE WHEN page_id % 50 = 3 THEN regexp_replace(html, '[tT]', '7', 'g') ELSE html END AS body,
+        page_id % 50 = 11 AS lost
+    FROM pages
+), texts AS (
+    SELECT page_id, lost,
+        'WARC/1.1' || n || 'WARC-Type: resource' || n || 'WARC-Record-ID: <urn:page:' || page_id || '>' || n || 'WARC-Target-URI: ' || url || n || 'Content-Type: text/html' || n || 'Content-Length: ' || strlen(html) || n || n || html || n || n AS a,
+        'WARC/1.1' || n || 'WARC-Type: resource' || n || 'WARC-Record-ID: <urn:page:' || page_id || '>' || n || 'WARC-Target-URI: ' || url || n || 'Content-Type: text/html' || n || 'Content-Length: ' || strlen(body) || n || n || body || n || n AS b
+    FROM bodies, (SELECT chr(13) || chr(10) AS n)
+), placed AS (
+    SELECT page_id, page_id >> 12 AS archive, lost, CAST(strlen(a) AS BIGINT) AS record_length, sha256(a) AS digest, sha256(b) AS other,
+        CAST(coalesce(sum(strlen(a)) OVER (PARTITION BY page_id >> 12 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS record_offset
+    FROM texts
+)
+SELECT page_id, archive, record_offset, record_length, digest, CASE WHEN NOT lost THEN other END AS replica_digest,
+    CASE WHEN lost THEN 'missing' ELSE 'changed' END AS status
+FROM placed WHERE lost OR digest <> other
+"""
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    raw = chat_hmm.as_transcripts(turns)
+    # one transcript in five is not learned from
+    known = raw.where(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 5 != 0)
+    return chat_hmm.parse(raw, chat_hmm.fit(known))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
@@ -44,8 +80,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op6_secret_scans, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_mixing, op3_warc_fixity, op5_chat_formatting, op6_secret_scans, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_toxicity, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc_fixity": OP3_SQL}
