@@ -107,7 +107,7 @@ def _rows(column: pa.Array, width: int) -> np.ndarray:
 
 
 def postings(classes: DataFrame, counts: np.ndarray, posting_rows: int) -> DataFrame:
-    """(key, salt, cls, sig): each class under the PREFIX rarest of its (coordinate, value) pairs; sig keeps one byte a coordinate."""
+    """(key, salt, cls, sig): each class under the PREFIX rarest of its (coordinate, value) pairs; sig keeps four bits a coordinate."""
     held = classes.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +124,9 @@ def postings(classes: DataFrame, counts: np.ndarray, posting_rows: int) -> DataF
                 cls = x.column(0).to_numpy()[row]
                 salts = n[row, at] // posting_rows + 1
                 salt = np.where(salts > 1, (mix(cls.view(U) + U(77)) % salts.astype(U)).astype(np.int64) + 1, 0)
-                short = (m ^ m >> np.uint32(16)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt), pa.array(cls), _binary(short[row])], ["key", "salt", "cls", "sig"])
+                short = ((m ^ m >> np.uint32(16)) & np.uint32(15)).astype(np.uint8)
+                packed = short[:, ::2] | short[:, 1::2] << 4
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt), pa.array(cls), _binary(packed[row])], ["key", "salt", "cls", "sig"])
 
     return classes.select("cls", "sig").mapInArrow(run, "key long, salt long, cls long, sig binary")
 
@@ -165,7 +166,7 @@ def _links(post: DataFrame) -> DataFrame:
             if not len(batch):
                 continue
             key, salt, cls = (batch.column(c).to_numpy() for c in range(3))
-            sigs = _rows(batch.column(3), COORDINATES)
+            sigs = _rows(batch.column(3), COORDINATES // 2)
             cut = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1, [len(key)]])
             if held and (held[0][0], held[0][1]) != (key[0], salt[0]):
                 yield from posting(held[0][0], held[0][1], *(np.concatenate(x) for x in zip(*(h[2:] for h in held))))
@@ -178,7 +179,7 @@ def _links(post: DataFrame) -> DataFrame:
             size = np.diff(cut)[first:last]
             at = cut[first:last]
             two = at[(size == 2) & (salt[at] == 0)]
-            like = two[(sigs[two] == sigs[two + 1]).sum(1) >= MATCHES]
+            like = two[_agree(sigs[two], sigs[two + 1]) >= MATCHES]
             if len(like):
                 yield linked(cls[like], cls[like + 1])
             for i, n in zip(at, size):
@@ -203,11 +204,17 @@ def _links(post: DataFrame) -> DataFrame:
     return post.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(gathered, schema)
 
 
+def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many coordinates packed signatures agree; by chance in a sixteenth of the others, which only adds."""
+    x = a ^ b
+    return ((x & 15) == 0).sum(1) + (x < 16).sum(1)
+
+
 def _absorb(sigs: np.ndarray, lead: int, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What of `left` the leader does not hold, and what it does."""
     if not len(left):
         return left, left
-    like = (sigs[left] == sigs[lead]).sum(1) >= MATCHES
+    like = _agree(sigs[left], sigs[lead]) >= MATCHES
     return left[~like], left[like]
 
 
@@ -260,9 +267,9 @@ def confirmed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     bulk = bulk.select("p", F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("shingles") / block_shingles)).cast("int").alias("blocks"))
     member = settle(member.join(bulk, "p").select("cls", "p", "rep", "blocks"))
     several = bool(member.where("blocks > 1").limit(1).count())
-    ids = member.select(F.col("rep").alias("id")).distinct()
-    if ids.count() <= broadcast_rows:
-        ids = F.broadcast(ids)
+    ids, place = member.select(F.col("rep").alias("id")).distinct(), member.drop("rep")
+    if member.count() <= broadcast_rows:
+        ids, place = F.broadcast(ids), F.broadcast(place)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,7 +282,7 @@ def confirmed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
                 yield pa.RecordBatch.from_arrays([pa.array(cls[i : i + 256], pa.int64()), pa.array(x[i : i + 256], pa.binary())], ["cls", "x"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi").select("text")
-    found = texts.mapInArrow(sets, "cls long, x binary").join(member.drop("rep"), "cls")
+    found = texts.mapInArrow(sets, "cls long, x binary").join(place, "cls")
     b = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("cls"), "blocks")).otherwise(0).cast("int")
     found = found.select("cls", "x", "p", "blocks", b.alias("own"))
     # each member goes to the pairs of blocks that hold its own; one block is a pair by itself
