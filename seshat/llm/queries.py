@@ -13,6 +13,7 @@ from seshat.llm._io import table
 from seshat.llm.decontaminate import contaminated
 from seshat.llm.minhash_dedup import near_duplicates
 from seshat.llm.mixing import mixture, sizes
+from seshat.llm.nn_descent import neighbours
 from seshat.llm.secret_forest import scan
 from seshat.llm.token_counts import token_counts
 from seshat.llm.toxicity import toxicity
@@ -51,6 +52,10 @@ FROM placed WHERE lost OR digest <> other
 """
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     raw = chat_hmm.as_transcripts(turns)
@@ -80,7 +85,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_warc_fixity, op5_chat_formatting, op6_secret_scans, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_mixing, op3_warc_fixity, op4_nn_descent, op5_chat_formatting, op6_secret_scans, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_toxicity, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
