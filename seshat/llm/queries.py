@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seshat.llm import chat_hmm, warc_fixity
+from seshat.llm import chat_hmm, lm_scoring, warc_fixity
 from seshat.llm._io import table
 from seshat.llm.decontaminate import contaminated
 from seshat.llm.minhash_dedup import near_duplicates
@@ -26,6 +26,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return warc_fixity.audit(warc_fixity.records(pages), warc_fixity.records(warc_fixity.damaged(pages)))
@@ -85,7 +89,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_warc_fixity, op4_nn_descent, op5_chat_formatting, op6_secret_scans, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_mixing, op2_lm_scoring, op3_warc_fixity, op4_nn_descent, op5_chat_formatting, op6_secret_scans, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_toxicity, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
