@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from seshat.functions.text import normalize_answer, text
 
@@ -43,12 +44,12 @@ def evaluate(expression: str | None) -> float | None:
         return None
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def safe_eval(expressions: pd.Series) -> pd.Series:
     return pd.Series([evaluate(e) for e in expressions], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
