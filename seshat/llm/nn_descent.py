@@ -214,6 +214,7 @@ def _searched(graph: DataFrame, vectors: DataFrame, queries: DataFrame, beam: in
             ids_out, scores_out = [], []
             for v, floor, near, vs in zip(b.v, b.floor, b.near, b.vs):
                 ids, q = np.frombuffer(near, np.int64), np.frombuffer(v, HALF).astype(np.float32)
+                q[-1] = 0  # a query has no added component: what is left is its inner product
                 s = np.frombuffer(vs, HALF).reshape(len(ids), -1).astype(np.float32) @ q
                 keep = s > floor
                 ids_out.append(ids[keep].tobytes())
