@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.utils import AnalysisException
+from pyspark.errors import AnalysisException
 
 
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
