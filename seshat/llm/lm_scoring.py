@@ -23,7 +23,9 @@ from seshat.llm._words import U, buffers, word_hashes
 OUT_BITS, IN_BITS = 16, 13
 OUT, IN = 1 << OUT_BITS, 1 << IN_BITS
 CLASSES, OWN = 64, 40
-WIDTH, HIDDEN, BATCH = 12, 16, 2048
+WIDTH, HIDDEN, BATCH = 12, 16, 512
+#: Words gathered before a task learns from them, and the least steps it takes over them.
+GATHERED, STEPS = 65_536, 128
 #: Words before and after the predicted one.
 SIDES = (-2, -1, 1, 2)
 SHAPES = {"vectors": (IN + 1, WIDTH), "w1": (len(SIDES) * WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, CLASSES), "b2": (CLASSES,)}
@@ -132,13 +134,15 @@ def trained(docs: DataFrame, text_col: str = "text", rate: float = 0.5) -> Netwo
         start = net.weights  # a worker may run several tasks on the one network it was sent
         net.weights = {k: v.copy() for k, v in start.items()}
         seen = 0
-        for _, near, types in _gathered(batches, 0, 32 * BATCH):
-            order = np.random.default_rng([seen, len(types)]).permutation(len(types))
-            classes = net.class_of[types]
-            for i in range(0, len(order), BATCH):
-                at = order[i : i + BATCH]
-                net.learn(near[at], classes[at], rate / (1 + seen / 2e6) * min(1.0, len(at) / BATCH))
-                seen += len(at)
+        for _, near, types in _gathered(batches, 0, GATHERED):
+            classes, rng = net.class_of[types], np.random.default_rng([seen, len(types)])
+            # a short run, as a small table gives, is gone over until it has made as many steps as a full one
+            for _ in range(-(-STEPS // max(1, -(-len(types) // BATCH))) if len(types) else 0):
+                order = rng.permutation(len(types))
+                for i in range(0, len(order), BATCH):
+                    at = order[i : i + BATCH]
+                    net.learn(near[at], classes[at], rate / (1 + seen / 2e6) * min(1.0, len(at) / BATCH))
+            seen += len(types)
         flat = np.concatenate([net.weights[k].ravel() for k in SHAPES]).astype(np.float64)
         net.weights = start
         if seen:
@@ -168,8 +172,8 @@ def pseudo_likelihood(docs: DataFrame, network: Network, id_col: str = "doc_id",
         net: Network = held.value
         for batch in batches:
             ids, start = batch.column(0), 0
-            for sizes, near, types in _gathered(iter([batch]), 1, 8 * BATCH):
-                logs = [net.log_probabilities(near[i : i + BATCH], types[i : i + BATCH]) for i in range(0, len(types), BATCH)]
+            for sizes, near, types in _gathered(iter([batch]), 1, GATHERED // 4):
+                logs = [net.log_probabilities(near[i : i + 2048], types[i : i + 2048]) for i in range(0, len(types), 2048)]
                 sums = np.concatenate([[0.0], np.cumsum(np.concatenate(logs) if logs else np.empty(0))])
                 n = np.array(sizes, np.int64)
                 end = np.cumsum(n)
