@@ -346,7 +346,7 @@ def label_3way(spark, sf):
 
 @query(f"""SELECT lang, n_seeds, round(mean, 9) AS mean, round(std, 9) AS std, round(mean - half, 9) AS low, round(mean + half, 9) AS high FROM (
 SELECT lang, n_seeds, mean, std, CASE WHEN n_seeds > 1 THEN 1.96 * std / sqrt(n_seeds) ELSE 0 END AS half FROM (
-SELECT lang, count(*) AS n_seeds, avg(m) AS mean, coalesce(stddev_samp(m), 0) AS std FROM (SELECT lang, doc_id % 3 AS seed, avg(quality) AS m FROM {RESULTS} GROUP BY ALL) GROUP BY lang))""")
+SELECT lang, count(*) AS n_seeds, avg(m) AS mean, coalesce(stddev_samp(m), 0) AS std FROM (SELECT lang, doc_id % 3 AS seed, avg(quality) AS m FROM {RESULTS} GROUP BY ALL) GROUP BY lang HAVING count(*) = (SELECT count(DISTINCT doc_id % 3) FROM {RESULTS})))""")
 def seed_ci(spark, sf):
     s = _results(spark, sf).withColumn("seed", F.col("doc_id") % 3).groupBy("lang", "seed").agg(F.avg("quality").alias("m"))
     out = E.seed_intervals(E.in_all_seeds(s, "lang", "seed"), ["lang"], "m")

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
     """name, stem, content of every .txt and .md file, read whole."""
-    d = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{txt,md}").text(folder)
+    d = spark.read.option("pathGlobFilter", "*.{txt,md}").text(folder, wholetext=True)
     d = d.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
     return d.select("name", F.regexp_replace("name", r"\.[^.]+$", "").alias("stem"), "content")
 

@@ -143,6 +143,6 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     q = stream.windowed_means(stream.event_stream(spark, folder), late="1 minute").writeStream.format("memory").queryName("means").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    batch = stream.windowed_means(spark.read.parquet(f"{folder}/events.parquet"))
+    batch = stream.windowed_means(spark.read.parquet(f"{folder}/events.parquet")).withColumn("window_start", F.col("window_start").cast("timestamp"))
     assert spark.table("means").exceptAll(batch).count() == 0
     assert batch.exceptAll(spark.table("means")).count() == 0
