@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from seshat.functions import numbers as N
 from seshat.functions import periods as P
 from seshat.functions import text as T
+from seshat.operators import answers as A
 from seshat.operators import chunking as C
 from seshat.operators import evaluation as E
 from seshat.operators import evidence as L
@@ -624,3 +625,73 @@ def windowed_event_means(spark, sf):
 @query("""SELECT user_id, min(ts) AS session_start, count(*) AS n FROM (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events)) GROUP BY user_id, g""")
 def user_sessions(spark, sf):
     return stream.user_sessions(table(spark, sf, "events"))
+
+
+# --- answers -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT * FROM (VALUES (1, true, 12.5, 'zero_if_not_explicit'), (2, true, NULL, 'insufficient'), (3, false, 7.0, 'insufficient')) AS t(n, numeric, first_number, policy)")
+def answer_functions(spark, sf):
+    rows = "(1, 'How much?', '', 'it was 12.5 or 13', ' Zero_if_not_explicit'), (2, 'Name it', 'Revenue FY2022', 'none', 'other'), (3, 'Who', 'name', '7', '')"
+    v = values(spark, rows, "n, query, metric, answer, policy")
+    return v.select("n", A.is_numeric_query("query", "metric").alias("numeric"), A.first_number("answer").cast("decimal(4,1)").alias("first_number"), A.missing_data_policy("policy").alias("policy"))
+
+
+@query("SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, false)) AS t(n, ok)")
+def calculator_agreement(spark, sf):
+    return values(spark, "(1, 'It is 1,234.5 in all', '1234.5'), (2, 'about 0.3334', '0.333'), (3, 'about 0.34', '0.333'), (4, '', '1')", "n, answer, result").select("n", A.answer_matches_result("answer", "result").alias("ok"))
+
+
+@query("SELECT * FROM (VALUES (1, 0, 's1', NULL), (1, 1, NULL, 'value_not_in_context'), (1, 2, NULL, 'no_matching_slot')) AS t(query_id, nth, slot_key, reason)")
+def inline_binding(spark, sf):
+    said = "EVIDENCE: value=$1,577 | citation=[[A, Page 1, Chunk 2]] | metric=capex\\nEVIDENCE: 99 | citation=[[A, Page 1, Chunk 2]] | metric=capex\\nEVIDENCE: 1577 | citation=[[A, Page 1, Chunk 2]] | metric=debt\\n"
+    pairs = A.inline_evidence(values(spark, f"(1, '{said}')", "query_id, response"), ["query_id"], "response")
+    slots = values(spark, "(1, 's1', 'Capex FY2018', 0), (1, 's2', 'capex', 1)", "query_id, slot_key, metric, seq")
+    return A.bound_pairs(pairs, slots, values(spark, "(1, 'spent 1 577 on plant')", "query_id, context")).select("query_id", "nth", "slot_key", "reason")
+
+
+@query("""WITH u AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body FROM conversations WHERE length(trim(text)) > 0),
+l AS (SELECT conv_id, turn, '[[' || role || ', Page 0, Chunk ' || turn || ']] ' || CASE WHEN length(body) > 380 THEN rtrim(left(body, 380)) || '…' ELSE body END AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM u),
+t AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS total FROM l)
+SELECT conv_id, md5(string_agg(line, chr(10) ORDER BY turn)) AS pool_md5 FROM t WHERE n <= 12 AND (total <= 4500 OR n = 1) GROUP BY conv_id""")
+def retrieval_pool(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("title"), F.lit(0).alias("page"), F.col("turn").alias("sent_id"), "text")
+    return A.pool_text(c, "conv_id", "turn").select("conv_id", F.md5("pool").alias("pool_md5"))
+
+
+@query("SELECT * FROM (VALUES (1, 'blocked'), (2, 'insufficient_blocked'), (3, 'rejected'), (4, 'accepted')) AS t(n, action)")
+def direct_responses(spark, sf):
+    rows = "(1, '5', true, 1, true), (2, 'unable to find', false, 0, true), (3, '5', false, 0, false), (4, '5', true, 0, true)"
+    return A.direct_response(values(spark, rows, "n, answer, numeric, n_missing, grounded")).select("n", "action")
+
+
+@query("SELECT * FROM (VALUES (1, 'a', 'b', 'refl_on', 'agentic_on'), (2, 'a', 'b', '', ''), (3, '', '', '', '')) AS t(n, strategy, corpus, reflection, agentic)")
+def variant_parts(spark, sf):
+    v = values(spark, "(1, 'a::b::refl_on::agentic_on'), (2, 'a::b'), (3, '')", "n, variant").withColumn("v", A.split_variant("variant"))
+    return v.select("n", "v.strategy", "v.corpus", "v.reflection", "v.agentic")
+
+
+@query("SELECT * FROM (VALUES (1, 3, 60), (2, 0, 0)) AS t(n, n_seeds, total)")
+def seed_lists(spark, sf):
+    s = values(spark, "(1, '10, 20 x 30'), (2, ' ')", "n, raw").withColumn("s", A.seeds("raw"))
+    return s.select("n", F.size("s").alias("n_seeds"), F.aggregate("s", F.lit(0), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT doc_id % 10 AS query_id, lang AS doc, 0 AS page, CAST(doc_id AS VARCHAR) AS text, 0 AS sent_id FROM documents")
+def unit_sources(spark, sf):
+    d = table(spark, sf, "documents")
+    units = d.select((F.col("doc_id") % 10).alias("query_id"), F.col("doc_id").alias("unit_id"), F.col("doc_id").cast("string").alias("text"))
+    return A.unit_sources(units, d.select(F.col("doc_id").alias("unit_id"), F.col("lang").alias("doc_id")), d.select(F.col("lang").alias("doc_id"), F.concat("lang", F.lit(".PDF")).alias("title")).distinct())
+
+
+@query("SELECT doc_id, CASE WHEN toxic = 1 THEN 0.0 WHEN doc_id % 3 = 0 THEN 1.0 WHEN quality < 1 THEN 1.0 ELSE 0.0 END AS hallucination, CASE WHEN doc_id % 5 = 0 THEN 0.0 WHEN quality >= 0.5 THEN 1.0 WHEN toxic = 1 THEN 0.0 ELSE 1.0 END AS attempted FROM labels")
+def response_flags(spark, sf):
+    x = table(spark, sf, "labels").withColumn("answer", F.when(F.col("toxic") == 1, "I do not know").otherwise("It was 5")).withColumn("error", F.when(F.col("doc_id") % 5 == 0, "boom").otherwise(""))
+    h = A.resolved_hallucination("answer", F.col("quality").cast("double"), F.when(F.col("doc_id") % 3 == 0, F.lit(1.0)))
+    return x.select("doc_id", h.cast("decimal(2,1)").alias("hallucination"), A.attempted("answer", "error", F.col("quality").cast("double")).cast("decimal(2,1)").alias("attempted"))
+
+
+@query("SELECT user_id AS query_id, string_agg('turn ' || event_id || ': ' || event_type || ' -> ' || CASE WHEN event_id % 2 = 0 THEN 'ok' ELSE 'none' END, chr(10) ORDER BY event_id) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 3 GROUP BY user_id")
+def tool_digest(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("turn"), F.col("event_type").alias("name"))
+    return A.tool_history(e, e.where("turn % 2 = 0").select("query_id", "turn", F.lit("ok").alias("outcome")))
