@@ -112,20 +112,23 @@ def draws(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
     return found.select("source", "block", "pass", "words", "shard", place.alias("place"))
 
 
-def mixture(docs: DataFrame, block_words: int = 20_000, shard_blocks: int = 64, least_blocks: int = 32, seed: int = 1) -> DataFrame:
+def mixture(docs: DataFrame, block_words: int = 20_000, shard_blocks: int = 64, least_blocks: int = 32, most_blocks: int = 1_000_000, seed: int = 1) -> DataFrame:
     """Every row of docs with size, source_size, target, taken and draws array<struct<pass, shard, place, words>>.
 
     docs: doc_id, source, size (words; null counts as 0) and any other columns, which are kept unless one bears a
     name of the result. Sources by code point, null last, weigh 5, 2, 1, repeating; their targets share 100% of all
     words, none above three times its source. taken: words the mix takes of the row, repeats counted; it is a multiple
-    of the size but for one document a source, cut where the quota ends. Blocks hold about `block_words` words, or
-    less so that each source has some `least_blocks`; a shard holds about `shard_blocks` block draws. The same rows
+    of the size but for one document a source, cut where the quota ends. Blocks hold about `block_words` words, less
+    so that each source has some `least_blocks`, more so that there are some `most_blocks` in all, which bounds the
+    windows and the tree over blocks at any size; a shard holds about `shard_blocks` block draws. The same rows
     give the same mix. Repeated rows and ids are rows like any other. Rows without words and empty tables take nothing.
     """
     own = ["size", "source_size", "target", "taken", "draws"]
     docs = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"), *(c for c in docs.columns if c not in ["doc_id", "source", *own, "_block", "_low"]))
     sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     known = settle(targets(sources))
+    total = known.agg(F.sum("source_size")).first()[0] or 0
+    block_words = max(block_words, -(-total // most_blocks))
     dealt = F.greatest(F.lit(1), F.least(F.ceil(F.col("source_size") / block_words) + least_blocks - 1, F.col("source_size")))
     block = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), dealt.cast("long"))
     with_source = docs.join(known.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("_block", block)
