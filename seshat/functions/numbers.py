@@ -150,7 +150,7 @@ def conflict_key(value: Column | str) -> Column:
     """num: with the number largest by absolute value, else txt: with the text."""
     numbers = scaled_numbers(value)
     most = F.aggregate(numbers, F.lit(None).cast("double"), lambda a, v: F.when(a.isNull() | (F.abs(v) > F.abs(a)), v).otherwise(a))
-    return F.when(F.size(numbers) > 0, F.concat(F.lit("num:"), F.format_string("%.6f", F.abs(most)))).otherwise(F.concat(F.lit("txt:"), F.trim(F.lower(text(value)))))
+    return F.when(F.size(numbers) > 0, F.concat(F.lit("num:"), F.format_string("%.6f", most))).otherwise(F.concat(F.lit("txt:"), F.trim(F.lower(text(value)))))
 
 
 def formatted(v: Column) -> Column:

@@ -11,12 +11,34 @@ from seshat.functions.numbers import conflict_key
 from seshat.functions.periods import year_tokens
 
 SLOT_FIELDS = ("entity", "period", "metric", "source_anchor", "unit", "rounding")
+# What names a statement.
+ANCHORS = {
+    "income statement": ("income statement", "statement of income", "p&l", "profit and loss"),
+    "balance sheet": ("balance sheet", "statement of financial position"),
+    "cash flow statement": ("cash flow statement", "statement of cash flows", "cash flow"),
+    "note table": ("note table",),
+}
 LAST_NODES, CITATION = 36, r"\[\[(.+?), Page (\d+), Chunk (\d+)\]\]"
 
 
 def slot_key(slot: Column) -> Column:
     """k=v of the named fields of a slot, in order, joined by |."""
-    return F.array_join(F.array_compact(F.array(*(F.when(F.length(T.collapsed(T.text(slot[f]))) > 0, F.concat(F.lit(f"{f}="), T.collapsed(F.lower(T.text(slot[f]))))) for f in SLOT_FIELDS))), "|")
+    parts = []
+    for f in SLOT_FIELDS:
+        v = T.text(source_anchor(slot[f])) if f == "source_anchor" else T.collapsed(F.lower(T.text(slot[f])))
+        parts.append(F.when(~v.isin("", "none", "null", "n/a"), F.concat(F.lit(f"{f}="), v)))
+    return F.array_join(F.array_compact(F.array(*parts)), "|")
+
+
+def source_anchor(c: Column | str) -> Column:
+    """income statement, balance sheet, cash flow statement or note table; null for none and for several."""
+    low = F.lower(F.trim(T.text(c)))
+    kinds = [(name, T.contains_any(low, said)) for name, said in ANCHORS.items()]
+    hits = sum((k.cast("int") for _, k in kinds), F.lit(0))
+    out = F.lit(None).cast("string")
+    for name, k in reversed(kinds):
+        out = F.when(k, name).otherwise(out)
+    return F.when(hits == 1, out)
 
 
 def _values(ledger: DataFrame, drop_missing: bool) -> DataFrame:

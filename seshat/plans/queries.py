@@ -16,6 +16,7 @@ from seshat.operators import chunking as C
 from seshat.operators import evaluation as E
 from seshat.operators import evidence as L
 from seshat.operators import fulltext, fusion, graph
+from seshat.operators import states as S_
 from seshat.operators import vectors as V
 from seshat.sources import tables as S
 from seshat.streaming import events as stream
@@ -695,3 +696,37 @@ def response_flags(spark, sf):
 def tool_digest(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("turn"), F.col("event_type").alias("name"))
     return A.tool_history(e, e.where("turn % 2 = 0").select("query_id", "turn", F.lit("ok").alias("outcome")))
+
+
+# --- states ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT * FROM (VALUES (1, 'boolean', 'balance sheet', 'X Corp', 'insufficient'), (2, 'compute', NULL, 'Y', 'insufficient'), (3, 'list', 'cash flow statement', '', 'zero_if_not_explicit')) AS t(n, answer_type, source_anchor, entity, policy)")
+def query_states(spark, sf):
+    rows = """(1, 'Is debt rising?', '', '', '', 'the Balance Sheet', 'extract', '', array(struct('X Corp' AS entity, '' AS period, 'debt' AS metric, CAST(NULL AS STRING) AS source_anchor))),
+    (2, 'How much?', ' Y ', '', '', 'income statement and balance sheet', 'compute', 'inapplicable_explain', array()),
+    (3, 'Which plants?', '', '', '', 'statement of cash flows', 'odd', 'zero_if_not_explicit', array())"""
+    s = S_.sanitized(values(spark, rows, "n, query, entity, period, metric, source_anchor, answer_type, missing_data_policy, slots"))
+    return s.select("n", "answer_type", "source_anchor", "entity", F.col("missing_data_policy").alias("policy"))
+
+
+@query("SELECT * FROM (VALUES (1, 'AMCOR_2022_10K', true), (2, '3M_2022_10K', true), (3, '3M_2023Q2_10Q', true), (3, '3M_2022_10K', true), (5, 'CVSHEALTH_2019_10K', true)) AS t(query_id, title, kept)")
+def entity_period_nodes(spark, sf):
+    rows = "(1, 'AMCOR_2022_10K', 'Amcor', 'FY2022', ''), (2, '3M_2015_10K', '3M', 'FY2022', ''), (2, '3M_2022_10K', '3M', 'FY2022', ''), (3, '3M_2023Q2_10Q', '3M', 'Q2 2023', 'debt securities registered to trade'), (3, '3M_2022_10K', '3M', 'Q2 2023', 'debt securities registered to trade'), (4, 'CVSHEALTH_2019_10K', 'CVS Health', 'FY2022', '')"
+    columns = "query_id, title, entity, period, metric"
+    strict = S_.entity_nodes(values(spark, rows, columns), False)
+    lax = S_.entity_nodes(values(spark, "(5, 'CVSHEALTH_2019_10K', 'CVS Health', 'FY2022', '')", columns), True)
+    return strict.union(lax).select("query_id", "title", F.lit(True).alias("kept"))
+
+
+@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false)) AS t(n, near)")
+def metric_proximity(spark, sf):
+    far = "x" * 300
+    rows = f"(1, '282', 'plant and equipment 282 of', array('plant and equipment')), (2, '282', 'plant and equipment {far} 282', array('plant and equipment')), (3, '5', '', array('revenue'))"
+    return values(spark, rows, "n, value, span, terms").select("n", S_.near_metric_term("value", "span", F.col("terms")).alias("near"))
+
+
+@query("SELECT item_id, md5(CASE WHEN length(c) <= 60 THEN c WHEN p = 0 THEN left(c, 60) ELSE substr(c, s + 1, e - s) END) AS span_md5 FROM (SELECT *, least(length(c), s0 + 60) AS e, CASE WHEN least(length(c), s0 + 60) - s0 < 60 AND s0 > 0 THEN greatest(0, least(length(c), s0 + 60) - 60) ELSE s0 END AS s FROM (SELECT *, greatest(0, p - 1 - 20) AS s0 FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c, strpos(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'tion') AS p FROM benchmark)))")
+def relevant_spans(spark, sf):
+    b = table(spark, sf, "benchmark")
+    return b.select("item_id", F.md5(S_.relevant_span("text", F.array(F.lit("zzzz"), F.lit("tion")), 60, F.lit(False))).alias("span_md5"))
