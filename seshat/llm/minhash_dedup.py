@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else the texts are shuffled to them.
     """
     rows = settle(signatures(docs, id_col, text_col, shingle))
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("rows"))
     classes = settle(classes)
     family = families(classes, posting_rows)
     links, several = confirmed(docs, id_col, text_col, shingle, percent, classes.where("rep is not null"), family, block_docs, block_shingles, broadcast_rows)
@@ -335,7 +335,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = star.union(star.select(F.col("p").alias("v"), "p").distinct()).join(classes.select(F.col("cls").alias("v"), "rep"), "v")
     low = member.groupBy("p").agg(F.min("rep").alias("low"))
     low = member.join(low, "p").select(F.col("v").alias("cls"), "low")
-    known = classes.where("rep is not null").select("cls", "rep").join(low, "cls", "left").select("cls", F.coalesce("low", "rep").alias("low"))
-    out = rows.select("id", "n", "cls").join(known, "cls", "left")
+    known = settle(classes.where("rep is not null").select("cls", "rep", "rows").join(low, "cls", "left").select("cls", F.coalesce("low", "rep").alias("low"), "rows"))
+    # a class with over a thousandth of the rows does not go through one task: there are fewer than a thousand of them
+    hot = F.broadcast(known.where(F.col("rows") * 1000 > rows.count()).select("cls", "low"))
+    own, known = rows.select("id", "n", "cls"), known.select("cls", "low")
+    rest = own.where("cls is not null").join(hot, "cls", "left_anti").join(known, "cls", "left")
+    out = rest.unionByName(own.join(hot, "cls")).unionByName(own.where("cls is null").withColumn("low", F.lit(None).cast("long")))
     component = F.when(F.col("id").isNotNull(), F.coalesce("low", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
