@@ -406,6 +406,14 @@ def run_compare(spark, sf):
     return E.compared(run("lang <> 'es'"), run("lang <> 'en'"), "source", ["m"])
 
 
+@query("""SELECT coalesce(a.source, b.source) AS source, coalesce(a.m, 0) AS m_a, coalesce(b.m, 0) AS m_b, coalesce(b.m, 0) - coalesce(a.m, 0) AS m_delta FROM
+(SELECT source, CAST(max(n_chars) AS DOUBLE) AS m FROM documents WHERE lang <> 'es' GROUP BY source) a FULL JOIN (SELECT source, CAST(max(n_chars) AS DOUBLE) AS m FROM documents WHERE lang <> 'en' GROUP BY source) b ON a.source = b.source""")
+def run_compare_all(spark, sf):
+    d = table(spark, sf, "documents")
+    run = lambda c: d.where(c).groupBy("source").agg(F.max("n_chars").cast("double").alias("m"))
+    return E.compared(run("lang <> 'es'"), run("lang <> 'en'"), "source", ["m"])
+
+
 PRESENT = "('naive::a::refl_on'), ('naive::a::refl_off'), ('naive::a::refl_off'), ('odd::b::refl_on')"
 
 
