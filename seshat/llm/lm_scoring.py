@@ -1,12 +1,14 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network trained in numpy.
 
 Every token is predicted from the two words before and the two after it: their vectors, one table for all, pass a
-hidden layer and give a distribution over classes of words; within its class a word has its corpus frequency. Words are
-hashed into OUT types, the most frequent of which are classes of their own. A document's score is the sum of the log
-probabilities of its tokens, each given all its neighbours.
+hidden layer and give a distribution over classes of words; within its class a word has its corpus frequency. Every
+word is counted by its 64-bit hash in a table over all documents. The most frequent words are sent to the tasks, the
+first of them as classes of their own; the others form the last class, and their counts are joined to the tokens. A
+document's score is the sum of the log probabilities of its tokens, each given all its neighbours.
 
 All of the corpus is counted and learned from: each task trains on its own rows, starting from the same weights, and
-the weights are averaged by the number of tokens seen. What leaves a task are weights and counts of a fixed size.
+the weights are averaged by the number of tokens seen. Words share context vectors by hash; their number follows the
+square root of the vocabulary.
 """
 
 from __future__ import annotations
@@ -18,52 +20,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seshat.llm._io import settle
 from seshat.llm._words import U, buffers, word_hashes
 
-OUT_BITS, IN_BITS = 16, 13
-OUT, IN = 1 << OUT_BITS, 1 << IN_BITS
+#: Words sent to every task with their counts, at most; the least number of context types in bits.
+HEAD, LEAST_BITS = 65_536, 13
 CLASSES, OWN = 64, 40
+#: Words counted at once, and the unit in which logarithms are added, so that their order makes no difference.
+COUNTED, UNIT = 1 << 20, float(1 << 32)
 WIDTH, HIDDEN, BATCH = 12, 16, 512
 #: Words gathered before a task learns from them, and the least steps it takes over them.
 GATHERED, STEPS = 65_536, 128
 #: Words before and after the predicted one.
 SIDES = (-2, -1, 1, 2)
-SHAPES = {"vectors": (IN + 1, WIDTH), "w1": (len(SIDES) * WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, CLASSES), "b2": (CLASSES,)}
 
 
-def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
-    """How often each of the OUT types occurs, over all texts."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """word, n: how often each word (by its 64-bit hash) occurs over all texts."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        w, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(OUT, np.int64)
+        held, n = [], 0
         for batch in batches:
             for _, w in word_hashes(*buffers(batch.column(0))):
-                np.add.at(count, (w >> U(64 - OUT_BITS)).astype(np.int64), 1)
-        at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(count[at], pa.int64())], ["type", "n"])
+                held.append(w)
+                n += len(w)
+                if n >= COUNTED:
+                    yield counted(held)
+                    held, n = [], 0
+        if n:
+            yield counted(held)
 
-    got = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "type long, n long").groupBy("type").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(OUT, np.int64)
-    out[got["type"]] = got.n
-    return out
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Network:
-    def __init__(self, counts: np.ndarray):
-        order = np.argsort(-counts, kind="stable")
-        self.class_of = np.zeros(OUT, np.int64)
-        self.class_of[order[:OWN]] = np.arange(OWN)
-        rest = order[OWN:]
-        mass = np.cumsum(counts[rest] + 0.5)
-        self.class_of[rest] = OWN + np.minimum(CLASSES - OWN - 1, (mass / mass[-1] * (CLASSES - OWN)).astype(np.int64))
-        n = counts + 0.5  # unseen types keep a share
-        of_class = np.bincount(self.class_of, n, CLASSES)
-        self.within = np.log(n / of_class[self.class_of])
+    """Classes, counts of the frequent words and weights; `least` is the count from which a word is among them."""
+
+    def __init__(self, counts: DataFrame):
+        seen = sorted(((r.n, r.words) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
+        total, distinct = sum(n * k for n, k in seen), sum(k for _, k in seen)
+        self.least, held = seen[0][0] + 1 if seen else 1, 0
+        for n, k in seen:
+            if held + k > HEAD:
+                break
+            self.least, held = n, held + k
+        head = counts.where(F.col("n") >= self.least).toPandas()
+        words, n = head["word"].to_numpy(np.int64).view(U), head["n"].to_numpy(np.int64)
+        order = np.lexsort((words, -n))
+        words, n = words[order], n[order]
+        classes = np.arange(len(words))
+        mass = np.cumsum(n[OWN:] + 0.5)
+        classes[OWN:] = OWN + np.minimum(CLASSES - OWN - 2, (mass / mass[-1:] * (CLASSES - OWN - 1)).astype(np.int64))
+        of_class = np.bincount(classes, n + 0.5, CLASSES)
+        of_class[-1] = total - n.sum() + 0.5 * (distinct - len(n) + 1)  # words that never occurred keep a share
+        of_class = np.maximum(of_class, 0.5)
+        order = np.argsort(words)
+        self.words, self.classes = words[order], np.append(classes[order], CLASSES - 1)
+        #: The logarithm of a word's share in its class, but for the count of words in the last one.
+        self.within = np.append(np.log(n + 0.5)[order], 0.0) - np.log(of_class)[self.classes]
+        self.bits = max(LEAST_BITS, int(np.ceil(np.log2(4 * max(1, distinct) ** 0.5))))
+        self.shapes = {"vectors": ((1 << self.bits) + 1, WIDTH), "w1": (len(SIDES) * WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, CLASSES), "b2": (CLASSES,)}
         rng = np.random.default_rng(2)
-        self.weights = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in SHAPES.items()}
+        self.weights = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in self.shapes.items()}
         self.weights["b1"][:] = 0
         self.weights["b2"] = np.log(of_class / of_class.sum()).astype(np.float32)
 
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Where each word is among the frequent ones; one past them if it isn't."""
+        if not len(self.words):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, at, len(self.words))
+
     def forward(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         w = self.weights
         x = w["vectors"][near].reshape(len(near), -1)
@@ -85,65 +117,65 @@ class Network:
         w["b2"] -= step * p.sum(0)
         w["w1"] -= step * (x.T @ dh)
         w["b1"] -= step * dh.sum(0)
-        at = near.ravel().astype(np.uint16)  # sorted by radix
+        at = near.ravel().astype(np.uint16 if self.bits < 16 else np.uint32)  # 16 bits are sorted by radix
         order = np.argsort(at, kind="stable")
         rows, first = np.unique(at[order], return_index=True)
         g = np.add.reduceat(dx[order], first, axis=0)
         w["vectors"][rows] -= 8 * step * g
 
-    def log_probabilities(self, near: np.ndarray, types: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, near: np.ndarray, places: np.ndarray) -> np.ndarray:
         p = self.forward(near)[2]
-        return np.log(np.maximum(p[np.arange(len(types)), self.class_of[types]], 1e-12)) + self.within[types]
+        return np.log(np.maximum(p[np.arange(len(places)), self.classes[places]], 1e-12)) + self.within[places]
 
 
-def windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each word: the types around it (IN where the text has ended) and its own."""
-    pad = np.full(len(words) + 4, IN, np.int32)
-    pad[2:-2] = (words >> U(64 - IN_BITS)).astype(np.int32)
-    return np.stack([pad[2 + s : 2 + s + len(words)] for s in SIDES], 1), (words >> U(64 - OUT_BITS)).astype(np.int64)
+def windows(words: np.ndarray, bits: int) -> np.ndarray:
+    """The context types around each word, one past them where the text has ended."""
+    pad = np.full(len(words) + 4, 1 << bits, np.int32)
+    pad[2:-2] = (words >> U(64 - bits)).astype(np.int32)
+    return np.stack([pad[2 + s : 2 + s + len(words)] for s in SIDES], 1)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], column: int, least: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """(words of each text, windows, types) for runs of whole texts of some `least` words."""
-    sizes, near, types, n = [], [], [], 0
+def _gathered(batches: Iterator[pa.RecordBatch], column: int, least: int, bits: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(number of words of each text, windows, words) for runs of whole texts of some `least` words."""
+    sizes, near, words, n = [], [], [], 0
     for batch in batches:
         for _, w in word_hashes(*buffers(batch.column(column))):
-            a, t = windows(w)
             sizes.append(len(w))
-            near.append(a)
-            types.append(t)
+            near.append(windows(w, bits))
+            words.append(w)
             n += len(w)
             if n >= least:
-                yield sizes, np.concatenate(near), np.concatenate(types)
-                sizes, near, types, n = [], [], [], 0
+                yield sizes, np.concatenate(near), np.concatenate(words)
+                sizes, near, words, n = [], [], [], 0
         if sizes and column:
-            yield sizes, np.concatenate(near), np.concatenate(types)
-            sizes, near, types, n = [], [], [], 0
+            yield sizes, np.concatenate(near), np.concatenate(words)
+            sizes, near, words, n = [], [], [], 0
     if sizes:
-        yield sizes, np.concatenate(near), np.concatenate(types)
+        yield sizes, np.concatenate(near), np.concatenate(words)
 
 
-def trained(docs: DataFrame, text_col: str = "text", rate: float = 0.5) -> Network:
-    """The network after one pass over all texts."""
-    network = Network(word_counts(docs, text_col))
+def trained(docs: DataFrame, counts: DataFrame, text_col: str = "text", rate: float = 0.5) -> Network:
+    """The network after one pass over all texts; counts are the word_counts of docs."""
+    network = Network(counts)
     held = docs.sparkSession.sparkContext.broadcast(network)
-    total = sum(int(np.prod(s)) for s in SHAPES.values())
+    shapes = network.shapes
+    total = sum(int(np.prod(s)) for s in shapes.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network = held.value
         start = net.weights  # a worker may run several tasks on the one network it was sent
         net.weights = {k: v.copy() for k, v in start.items()}
         seen = 0
-        for _, near, types in _gathered(batches, 0, GATHERED):
-            classes, rng = net.class_of[types], np.random.default_rng([seen, len(types)])
+        for _, near, words in _gathered(batches, 0, GATHERED, net.bits):
+            classes, rng = net.classes[net.places(words)], np.random.default_rng([seen, len(words)])
             # a short run, as a small table gives, is gone over until it has made as many steps as a full one
-            for _ in range(-(-STEPS // max(1, -(-len(types) // BATCH))) if len(types) else 0):
-                order = rng.permutation(len(types))
+            for _ in range(-(-STEPS // max(1, -(-len(words) // BATCH))) if len(words) else 0):
+                order = rng.permutation(len(words))
                 for i in range(0, len(order), BATCH):
                     at = order[i : i + BATCH]
                     net.learn(near[at], classes[at], rate / (1 + seen / 2e6) * min(1.0, len(at) / BATCH))
-            seen += len(types)
-        flat = np.concatenate([net.weights[k].ravel() for k in SHAPES]).astype(np.float64)
+            seen += len(words)
+        flat = np.concatenate([net.weights[k].ravel() for k in shapes]).astype(np.float64)
         net.weights = start
         if seen:
             for i in range(0, len(flat), 50_000):
@@ -155,37 +187,48 @@ def trained(docs: DataFrame, text_col: str = "text", rate: float = 0.5) -> Netwo
     if len(got):
         flat = np.zeros(total)
         flat[got["at"].to_numpy()] = got.w
-        cuts = np.cumsum([int(np.prod(s)) for s in SHAPES.values()])[:-1]
-        network.weights = {k: p.reshape(s).astype(np.float32) for (k, s), p in zip(SHAPES.items(), np.split(flat, cuts))}
+        cuts = np.cumsum([int(np.prod(s)) for s in shapes.values()])[:-1]
+        network.weights = {k: p.reshape(s).astype(np.float32) for (k, s), p in zip(shapes.items(), np.split(flat, cuts))}
     return network
 
 
-def pseudo_likelihood(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, log_likelihood, mean_log_probability of each row under the network.
+def pseudo_likelihood(docs: DataFrame, network: Network, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, log_likelihood, mean_log_probability of each row under the network and the counts it was made of.
 
     Null, empty and blank texts have no words, likelihood 0 and a null mean. Repeated rows get equal scores, null ids
     are kept. Other columns are left out.
     """
-    held = docs.sparkSession.sparkContext.broadcast(network)  # fixed size
+    held = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network = held.value
         for batch in batches:
-            ids, start = batch.column(0), 0
-            for sizes, near, types in _gathered(iter([batch]), 1, GATHERED // 4):
-                logs = [net.log_probabilities(near[i : i + 2048], types[i : i + 2048]) for i in range(0, len(types), 2048)]
+            start = 0
+            for sizes, near, words in _gathered(iter([batch]), 2, GATHERED // 4, net.bits):
+                places = net.places(words)
+                logs = [net.log_probabilities(near[i : i + 2048], places[i : i + 2048]) for i in range(0, len(places), 2048)]
                 sums = np.concatenate([[0.0], np.cumsum(np.concatenate(logs) if logs else np.empty(0))])
                 n = np.array(sizes, np.int64)
                 end = np.cumsum(n)
-                total = sums[end] - sums[end - n]
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([ids.slice(start, len(n)), pa.array(n), pa.array(total), mean], ["doc_id", "n_words", "log_likelihood", "mean_log_probability"])
+                rare = places == len(net.words)
+                cuts = np.concatenate([[0], np.cumsum(rare)])[np.concatenate([[0], end])]
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(words[rare].view(np.int64)))
+                row, ids = batch.column(0).slice(start, len(n)), batch.column(1).slice(start, len(n))
+                yield pa.RecordBatch.from_arrays([row, ids, pa.array(n), pa.array(sums[end] - sums[end - n]), lists], ["row", "doc_id", "n_words", "known", "rare"])
                 start += len(n)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_probability double")
+    # rows are numbered once and for all by writing them: ids may be null or repeated
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    parts = settle(rows.mapInArrow(run, "row long, doc_id long, n_words long, known double, rare array<long>"))
+    rare = parts.select("row", F.explode("rare").alias("word")).join(counts.where(F.col("n") < network.least), "word", "left")
+    log = F.round(F.log(F.coalesce("n", F.lit(0)) + 0.5) * UNIT).cast("long")
+    added = rare.groupBy("row").agg(F.sum(log).alias("added"))
+    total = F.col("known") + F.coalesce("added", F.lit(0)) / UNIT
+    out = parts.drop("rare").join(added, "row", "left").select("doc_id", "n_words", total.alias("log_likelihood"))
+    return out.withColumn("mean_log_probability", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """pseudo_likelihood of docs under a network trained on docs; an empty table gives an empty result."""
-    return pseudo_likelihood(docs, trained(docs, text_col), id_col, text_col)
+    counts = settle(word_counts(docs, text_col))
+    return pseudo_likelihood(docs, trained(docs, counts, text_col), counts, id_col, text_col)
