@@ -85,7 +85,7 @@ def mcnemar(pairs: DataFrame, cut: float = 0.5) -> DataFrame:
     return c.select("only_a", "only_b", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)).alias("p_value"))
 
 
-def bootstrap_interval(pairs: DataFrame, key: str, resamples: int = 1000, seed: int = 13, alpha: float = 0.05) -> DataFrame:
+def bootstrap_interval(pairs: DataFrame, key: str, resamples: int = 10_000, seed: int = 13, alpha: float = 0.05) -> DataFrame:
     """mean_difference, low, high: percentile interval of the mean paired difference (A10).
 
     Each draw is the row whose number is the hash of seed, resample and draw. Rows are numbered by key; the draws of a

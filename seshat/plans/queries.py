@@ -393,6 +393,12 @@ def bootstrap_ci(spark, sf):
     return out.select(*(F.round(c, 9).alias(c) for c in ("mean_difference", "low", "high")))
 
 
+@query()
+def bootstrap_ci_full(spark, sf):
+    out = E.bootstrap_interval(_pairs(spark, sf), "k")
+    return out.select(*(F.round(c, 9).alias(c) for c in ("mean_difference", "low", "high")))
+
+
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source")
 def question_counts(spark, sf):
     return E.means(table(spark, sf, "documents"), [], ["source"])
