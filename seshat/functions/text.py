@@ -168,7 +168,9 @@ def node_identity(node_id: Column | str, title: Column | str, source: Column | s
 
 def normalize_answer(c: Column | str) -> Column:
     """Lower case, then without punctuation, then without articles, white space collapsed."""
-    return collapsed(F.regexp_replace(F.regexp_replace(F.lower(text(c)), PUNCTUATION, ""), r"\b(?:a|an|the)\b", " "))
+    plain = F.regexp_replace(F.lower(text(c)), PUNCTUATION, "")
+    # letters and white space of all scripts: the a of "año" is no article
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?<![\p{L}\p{N}_])(?:a|an|the)(?![\p{L}\p{N}_])", " "), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def normalize_doc_id(c: Column | str) -> Column:

@@ -552,6 +552,12 @@ def text_norms(spark, sf):
     return d.select("doc_id", T.normalize_entity_term(F.concat("source", F.lit("_"), "lang", F.lit("-x"))).alias("entity"), T.normalize_doc_key(F.concat_ws(" ", "source", "lang")).alias("doc_key"), F.md5(T.normalize_answer("text")).alias("answer_md5"))
 
 
+@query()
+def text_norms_all(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", T.normalize_entity_term(F.concat("source", F.lit("_"), "lang", F.lit("-x"))).alias("entity"), T.normalize_doc_key(F.concat_ws(" ", "source", "lang")).alias("doc_key"), F.md5(T.normalize_answer("text")).alias("answer_md5"))
+
+
 @query("SELECT * FROM (VALUES (1, 4, true), (2, 3, true), (3, 1, false)) AS t(n, signals, keep)")
 def quality_gate(spark, sf):
     rows = "(1, 'What was AMD revenue in FY2022 in the income statement?', 'AMD_2022_10K', ''), (2, 'AMD revenue in 2022?', 'AMD_2022_10K', 'plain'), (3, 'what happened in 2021?', 'Amcor_2022_10K', 'plain')"
