@@ -605,12 +605,25 @@ def safe_eval(spark, sf):
     return values(spark, rows, "n, expression").select("n", N.safe_eval("expression").alias("value"))
 
 
+def _named(spark, sf) -> DataFrame:
+    """query_id, expected, doc, page: each document's whole name and, as retrieved, that of the next one."""
+    name = F.concat_ws("_", "source", "lang", F.concat("doc_id", F.lit(".pdf")))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), name.alias("expected"))
+    after = d.select((F.col("query_id") - 1).alias("query_id"), F.col("expected").alias("doc"), F.lit(1).alias("page"))
+    return d.join(after, "query_id", "left")
+
+
 @query()
 def sequence_ratios(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 40).alias("a"), F.substring("text", 5, 40).alias("b"))
+    d = _named(spark, sf).select(F.col("query_id").alias("doc_id"), T.normalize_doc_id("expected").alias("a"), T.normalize_doc_id("doc").alias("b"))
     return d.select("doc_id", N.sequence_ratio("a", "b").alias("ratio"))
 
 
+@query()
+def evidence_matches(spark, sf):
+    return E.evidence_match(_named(spark, sf).withColumn("expected_page", F.lit(1)), "doc", "page", "expected", "expected_page")
+
+
 @query("SELECT doc_id, contains(regexp_replace(lower(source || '_' || doc_id), '[^a-z0-9]', '', 'g'), 'src12') OR contains(regexp_replace(lower(source || '_' || doc_id), '[^a-z0-9]', '', 'g'), 'src34') AS hit FROM documents")
 def company_match(spark, sf):
     keys = F.array(F.lit("src12"), F.lit("src34"))
