@@ -29,8 +29,8 @@ CLASSES, OWN = 64, 40
 #: Words counted at once, and the unit in which logarithms are added, so that their order makes no difference.
 COUNTED, UNIT = 1 << 20, float(1 << 32)
 WIDTH, HIDDEN, BATCH = 12, 16, 512
-#: Words gathered before a task learns from them, and the least steps it takes over them.
-GATHERED, STEPS = 65_536, 128
+#: Words gathered before a task learns from them.
+GATHERED = 65_536
 #: Words before and after the predicted one.
 SIDES = (-2, -1, 1, 2)
 
@@ -168,12 +168,10 @@ def trained(docs: DataFrame, counts: DataFrame, text_col: str = "text", rate: fl
         seen = 0
         for _, near, words in _gathered(batches, 0, GATHERED, net.bits):
             classes, rng = net.classes[net.places(words)], np.random.default_rng([seen, len(words)])
-            # a short run, as a small table gives, is gone over until it has made as many steps as a full one
-            for _ in range(-(-STEPS // max(1, -(-len(words) // BATCH))) if len(words) else 0):
-                order = rng.permutation(len(words))
-                for i in range(0, len(order), BATCH):
-                    at = order[i : i + BATCH]
-                    net.learn(near[at], classes[at], rate / (1 + seen / 2e6) * min(1.0, len(at) / BATCH))
+            order = rng.permutation(len(words))
+            for i in range(0, len(order), BATCH):
+                at = order[i : i + BATCH]
+                net.learn(near[at], classes[at], rate / (1 + seen / 2e6) * min(1.0, len(at) / BATCH))
             seen += len(words)
         flat = np.concatenate([net.weights[k].ravel() for k in shapes]).astype(np.float64)
         net.weights = start

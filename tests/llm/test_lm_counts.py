@@ -2,7 +2,11 @@
 
 import math
 
+import numpy as np
+import pyarrow as pa
+
 from seshat.llm import lm_scoring
+from seshat.llm._words import buffers, word_hashes
 
 
 def test_counts_tell_every_word_apart(spark):
@@ -25,3 +29,15 @@ def test_rare_words_are_scored_by_their_own_count(spark, monkeypatch):
     assert math.isclose(got[2] - got[1], math.log(2.5 / 1.5), abs_tol=1e-6)
     more = lm_scoring.scored(spark.createDataFrame(rows, "doc_id long, text string"))
     assert more.count() == 6 and more.where("doc_id is null").first().n_words == 1
+
+
+def test_a_short_run_is_learned_from_once(spark):
+    text = "a b c d e f " * 20
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+    counts = lm_scoring.word_counts(docs)
+    got, want = lm_scoring.trained(docs, counts), lm_scoring.Network(counts)
+    words = next(word_hashes(*buffers(pa.array([text]))))[1]
+    at = np.random.default_rng([0, len(words)]).permutation(len(words))
+    near, classes = lm_scoring.windows(words, want.bits), want.classes[want.places(words)]
+    want.learn(near[at], classes[at], 0.5 * len(words) / lm_scoring.BATCH)
+    assert all(np.allclose(got.weights[k], want.weights[k], atol=1e-5) for k in want.weights)
