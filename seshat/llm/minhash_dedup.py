@@ -20,10 +20,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seshat.llm._io import discard, groups, settle
+from seshat.llm._io import discard, groups, settle, spare
 from seshat.llm._words import U, buffers, mix, shingles, word_hashes
 from seshat.llm.components import components, roots
 
@@ -50,21 +50,27 @@ def class_of(x: np.ndarray) -> int:
     return int((mix(x * U(0xA24BAED4963EE407) + U(len(x))).sum(dtype=U) ^ U(len(x) * 0x9E3779B9)) >> U(1))
 
 
+def _row(i: Column, key: Column) -> Column:
+    """A hash of a row's id and of the hash of its text."""
+    return F.xxhash64(F.coalesce(i, F.lit(0).cast("long")), i.isNull(), key)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, n, cls, sig) of each row; cls and sig are null where a text has no words."""
+    """(id, key, n, cls, sig) of each row: key is a hash of the text; cls and sig are null where a text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = _signer()
         for batch in batches:
             n, cls, sig = [], [], []
-            for _, words in word_hashes(*buffers(batch.column(1))):
+            for _, words in word_hashes(*buffers(batch.column(2))):
                 x = shingles(words, size)
                 n.append(len(x))
                 cls.append(class_of(x) if len(x) else None)
                 sig.append(sign(x).tobytes() if len(x) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary())], ["id", "n", "cls", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary())], ["id", "key", "n", "cls", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, cls long, sig binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, key long, n long, cls long, sig binary")
 
 
 def _matrix(sigs: pd.Series) -> np.ndarray:
@@ -262,26 +268,30 @@ def exact_links(sets: list[np.ndarray], percent: int, left: int | None = None) -
 def confirmed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, classes: DataFrame, family: DataFrame, block_docs: int, block_shingles: int, broadcast_rows: int) -> tuple[DataFrame, bool]:
     """Links (a, b) of classes confirmed on their full sets; whether some family took more than one block."""
     member = family.select(F.col("v").alias("cls"), "p").union(family.select(F.col("p").alias("cls"), "p").distinct())
-    member = member.join(classes.select("cls", "rep", "n"), "cls")
+    member = member.join(classes.select("cls", "row", "n"), "cls")
     bulk = member.groupBy("p").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
     bulk = bulk.select("p", F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("shingles") / block_shingles)).cast("int").alias("blocks"))
-    member = settle(member.join(bulk, "p").select("cls", "p", "rep", "blocks"))
+    member = settle(member.join(bulk, "p").select("cls", "p", "row", "blocks"))
     several = bool(member.where("blocks > 1").limit(1).count())
-    ids, place = member.select(F.col("rep").alias("id")).distinct(), member.drop("rep")
+    keys, place = member.select("row").distinct(), member.drop("row")
     if member.count() <= broadcast_rows:
-        ids, place = F.broadcast(ids), F.broadcast(place)
+        keys, place = F.broadcast(keys), F.broadcast(place)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows equal in id and text are one
         for batch in batches:
             cls, x = [], []
             for _, words in word_hashes(*buffers(batch.column(0))):
                 s = shingles(words, size)
-                cls.append(class_of(s))
-                x.append(s.tobytes())
+                c = class_of(s)
+                if c not in seen:
+                    seen.add(c)
+                    cls.append(c)
+                    x.append(s.tobytes())
             for i in range(0, len(cls), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(cls[i : i + 256], pa.int64()), pa.array(x[i : i + 256], pa.binary())], ["cls", "x"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi").select("text")
+    texts = docs.select(_row(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("row"), F.col(text_col).alias("text")).join(keys, "row", "left_semi").select("text")
     found = texts.mapInArrow(sets, "cls long, x binary").join(place, "cls")
     b = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("cls"), "blocks")).otherwise(0).cast("int")
     found = found.select("cls", "x", "p", "blocks", b.alias("own"))
@@ -311,13 +321,14 @@ def confirmed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     return found.repartition("group").sortWithinPartitions("group").mapInPandas(compare, "a long, b long"), several
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, posting_rows: int = 50_000, block_docs: int = 3000, block_shingles: int = 4_000_000, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, posting_rows: int = 50_000, block_docs: int = 1500, block_shingles: int = 4_000_000, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, text_key, group_id for each row of docs.
 
     Words are runs of bytes other than space and \\t-\\r, A-Z as a-z; a document's set holds its distinct runs of
     `shingle` words, or all its words as one run if it has fewer. Documents whose sets meet
     100 * intersection >= percent * union are linked; component_id is the smallest id reachable, kept tells whether
-    that is the row's own.
+    that is the row's own. text_key is the xxhash64 of the text; group_id names the component by its texts, so that
+    rows are told apart where ids are null or repeated (null: no words).
 
     Null, empty and blank texts have no set and link with nothing. A null id gives component_id null, kept true and
     names no component; its text still joins what it links. Rows that repeat an id are each a row of the result;
@@ -326,20 +337,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else the texts are shuffled to them.
     """
     rows = settle(signatures(docs, id_col, text_col, shingle))
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("rows"))
-    classes = settle(classes)
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "key")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("rows"))
+    classes = settle(classes.select("cls", F.col("rep.id").alias("rep"), _row(F.col("rep.id"), F.col("rep.key")).alias("row"), "n", "sig", "rows"))
     family = families(classes, posting_rows)
-    links, several = confirmed(docs, id_col, text_col, shingle, percent, classes.where("rep is not null"), family, block_docs, block_shingles, broadcast_rows)
+    links, several = confirmed(docs, id_col, text_col, shingle, percent, classes, family, block_docs, block_shingles, broadcast_rows)
     links = settle(links)
     star = components(links) if several else links.select(F.col("a").alias("v"), F.col("b").alias("p"))
     member = star.union(star.select(F.col("p").alias("v"), "p").distinct()).join(classes.select(F.col("cls").alias("v"), "rep"), "v")
     low = member.groupBy("p").agg(F.min("rep").alias("low"))
-    low = member.join(low, "p").select(F.col("v").alias("cls"), "low")
-    known = settle(classes.where("rep is not null").select("cls", "rep", "rows").join(low, "cls", "left").select("cls", F.coalesce("low", "rep").alias("low"), "rows"))
+    low = member.join(low, "p").select(F.col("v").alias("cls"), F.col("p").alias("root"), "low")
+    known = classes.select("cls", "rep", "rows").join(low, "cls", "left")
+    known = settle(known.select("cls", F.coalesce("low", "rep").alias("low"), F.coalesce("root", "cls").alias("root"), "rows"))
     # a class with over a thousandth of the rows does not go through one task: there are fewer than a thousand of them
-    hot = F.broadcast(known.where(F.col("rows") * 1000 > rows.count()).select("cls", "low"))
-    own, known = rows.select("id", "n", "cls"), known.select("cls", "low")
+    hot = F.broadcast(known.where(F.col("rows") * 1000 > rows.count()).select("cls", "low", "root"))
+    own, known = rows.select("id", "key", "n", "cls"), known.select("cls", "low", "root")
     rest = own.where("cls is not null").join(hot, "cls", "left_anti").join(known, "cls", "left")
-    out = rest.unionByName(own.join(hot, "cls")).unionByName(own.where("cls is null").withColumn("low", F.lit(None).cast("long")))
+    none = F.lit(None).cast("long")
+    out = rest.unionByName(own.join(hot, "cls")).unionByName(own.where("cls is null").withColumns({"low": none, "root": none}))
     component = F.when(F.col("id").isNotNull(), F.coalesce("low", "id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), F.col("key").alias("text_key"), F.col("root").alias("group_id"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, with their columns, of which one stays of each group of near-duplicates.
+
+    It is the row with the smallest id (null last), of those the one with the smallest hash of its text, and of rows
+    equal in both the smallest by its columns in order. Rows are told apart by id and text: another text under the
+    same id stays. Texts without words are near-duplicates of nothing; repeats of one id and text stay once. options
+    are those of near_duplicates.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options)
+    each = found.groupBy("group_id", "doc_id", "text_key").agg(F.count("*").alias("rows"))
+    each = settle(each)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key", "rows")).alias("first")
+    kept = each.where("group_id is not null").groupBy("group_id").agg(first).select("first.doc_id", "first.text_key", "first.rows")
+    kept = kept.unionByName(each.where("group_id is null").select("doc_id", "text_key", "rows"))
+    key = spare("seshat_key", docs.columns)
+    kept = settle(kept.select(_row(F.col("doc_id"), F.col("text_key")).alias(key), (F.col("rows") > 1).alias("twice")))
+    keyed = docs.withColumn(key, _row(F.col(id_col).cast("long"), F.xxhash64(text_col)))
+    once = keyed.join(kept.where("not twice").select(key), key, "left_semi").select(*docs.columns)
+    twice = kept.where("twice").select(key)
+    if not twice.limit(1).count():
+        return once
+    held = keyed.join(twice, key, "left_semi").select(key, F.struct(*docs.columns).alias("row"))
+    return once.union(held.groupBy(key).agg(F.min("row").alias("row")).select("row.*"))

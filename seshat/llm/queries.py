@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixture(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixture(docs).select("doc_id", "size", "source_size", "target", "taken", "draws")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return warc_fixity.audit(warc_fixity.records(pages), warc_fixity.records(warc_fixity.damaged(pages)))
+    return warc_fixity.audit(warc_fixity.records(pages), warc_fixity.damaged(pages)).drop("replica_offset")
 
 
 OP3_SQL = """
@@ -77,7 +77,8 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,10 +91,15 @@ def test_contaminated_equals_brute_force(spark):
             w[10:10] = part[cut:]
         docs[i] = " ".join(w).title()
     docs[70], docs[71], docs[72] = "only THREE  words", None, " "
+    docs[73], docs[74] = "here ONLY three Words stand", "only three other words"
+    items[23] = "One"
+    docs[75] = "not one, but One here"
     d = spark.createDataFrame([(i, t, "x") for i, t in docs.items()], "doc_id long, text string, item string")
     t = spark.createDataFrame([(i, x) for i, x in items.items()], "item_id long, text string")
+    runs = lambda x, b: shingle_set(x, min(5, len((items[b] or "").split()) or 1)) if len((x or "").split()) >= len((items[b] or "").split()) or len((items[b] or "").split()) >= 5 else set()
     sets = {i: shingle_set(x, 5) for i, x in items.items()}
-    want = {(a, b): len(shingle_set(x, 5) & sets[b]) for a, x in docs.items() for b in items if sets[b] and 100 * len(shingle_set(x, 5) & sets[b]) >= 80 * len(sets[b])}
+    want = {(a, b): len(runs(x, b) & sets[b]) for a, x in docs.items() for b in items if sets[b] and 100 * len(runs(x, b) & sets[b]) >= 80 * len(sets[b])}
+    assert (73, 20) in want and (74, 20) not in want and (75, 23) in want
     for options in ({}, {"broadcast_rows": 0}):
         assert {(r.doc_id, r.item_id): r.shared for r in contaminated(d, t, **options).collect()} == want
     left = {r.doc_id for r in without_contaminated(d, t).collect()}
