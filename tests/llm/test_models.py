@@ -35,19 +35,6 @@ def test_token_counts_equal_the_library(spark):
     assert token_counts.token_counts(docs.limit(0), PATH).count() == 0
 
 
-def test_every_prefix_and_budget(spark):
-    text = "Hello wörld, unbelievable tokenizations!! ok"
-    lib, pieces, b = Tokenizer.from_file(PATH), token_counts.Pieces(PATH), text.encode()
-    r = token_counts.prefixes(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).first()
-    count = lambda e: len(lib.encode(b[:e].decode(), add_special_tokens=False).ids)
-    ends = [e for e in range(len(b) + 1) if e == len(b) or b[e] & 0xC0 != 0x80]
-    assert all(token_counts.count_at(b, r.ends, r.counts, e, pieces) == count(e) for e in ends)
-    for budget in range(count(len(b)) + 2):
-        assert token_counts.longest_within(b, r.ends, r.counts, budget, pieces) == max(e for e in ends if count(e) <= budget)
-    cut = token_counts.truncated(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), 3, PATH).collect()
-    assert cut[0].n_tokens <= 3 and text.startswith(cut[0].text) and cut[1].text is None
-
-
 def toxic_table(spark):
     rng = np.random.default_rng(0)
     words = [f"{a}{b}" for a in "ba co di fu ge".split() for b in "lan mor tis ven pol".split()]
