@@ -1,14 +1,16 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network trained in numpy.
 
 Every token is predicted from the two words before and the two after it: their vectors, one table for all, pass a
-hidden layer and give a distribution over classes of words; within its class a word has its corpus frequency. Every
-word is counted by its 64-bit hash in a table over all documents. The most frequent words are sent to the tasks, the
-first of them as classes of their own; the others form the last class, and their counts are joined to the tokens. A
-document's score is the sum of the log probabilities of its tokens, each given all its neighbours.
-
-All of the corpus is counted and learned from: each task trains on its own rows, starting from the same weights, and
-the weights are averaged by the number of tokens seen. Words share context vectors by hash; their number follows the
-square root of the vocabulary.
+hidden layer, which gives a distribution over classes of words and, within the token's class, one over its words. The
+most frequent words have a place in this tree, the first of them as classes of their own; all others form the last
+class, in which a word has its corpus frequency. Every word is counted by its 64-bit hash in a table over all
+documents; the counts of the words of the last class are joined to the tokens. A document's score is the sum of the
+log probabilities of its tokens, each given all its neighbours; the same sum under the counts alone stands beside it.
+
+All of the corpus is counted and learned from: documents are dealt over parts by hash, each part is learned from by
+itself, starting from the same weights, and the weights are averaged by the number of tokens seen. The same documents
+give the same scores on every cluster. The words that the network knows and its vectors follow the square root of the
+vocabulary.
 """
 
 from __future__ import annotations
@@ -23,14 +25,15 @@ from pyspark.sql import functions as F
 from seshat.llm._io import settle
 from seshat.llm._words import U, buffers, word_hashes
 
-#: Words sent to every task with their counts, at most; the least number of context types in bits.
-HEAD, LEAST_BITS = 65_536, 13
-CLASSES, OWN = 64, 40
-#: Words counted at once, and the unit in which logarithms are added, so that their order makes no difference.
+#: The least number, in bits, of words that the network knows and of context vectors.
+LEAST_BITS = 13
+#: Words that are classes of their own.
+OWN = 40
+#: Words counted at once, and the unit in which logarithms and weights are added, so that their order makes no difference.
 COUNTED, UNIT = 1 << 20, float(1 << 32)
-WIDTH, HIDDEN, BATCH = 12, 16, 512
-#: Words gathered before a task learns from them.
-GATHERED = 65_536
+WIDTH, HIDDEN, BATCH, RATE = 12, 16, 4096, 0.1
+#: Words gathered before a task learns from them, and words of a part that is learned from by itself.
+GATHERED, PART = 65_536, 2_000_000
 #: Words before and after the predicted one.
 SIDES = (-2, -1, 1, 2)
 
@@ -58,74 +61,122 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class Network:
-    """Classes, counts of the frequent words and weights; `least` is the count from which a word is among them."""
+    """Known words, their classes and weights; `least` is the count from which a word is known."""
 
     def __init__(self, counts: DataFrame):
         seen = sorted(((r.n, r.words) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
         total, distinct = sum(n * k for n, k in seen), sum(k for _, k in seen)
+        self.bits = max(LEAST_BITS, int(np.ceil(np.log2(4 * max(1, distinct) ** 0.5))))
         self.least, held = seen[0][0] + 1 if seen else 1, 0
         for n, k in seen:
-            if held + k > HEAD:
+            if held + k > 1 << self.bits:
                 break
             self.least, held = n, held + k
         head = counts.where(F.col("n") >= self.least).toPandas()
         words, n = head["word"].to_numpy(np.int64).view(U), head["n"].to_numpy(np.int64)
         order = np.lexsort((words, -n))
         words, n = words[order], n[order]
-        classes = np.arange(len(words))
-        mass = np.cumsum(n[OWN:] + 0.5)
-        classes[OWN:] = OWN + np.minimum(CLASSES - OWN - 2, (mass / mass[-1:] * (CLASSES - OWN - 1)).astype(np.int64))
-        of_class = np.bincount(classes, n + 0.5, CLASSES)
-        of_class[-1] = total - n.sum() + 0.5 * (distinct - len(n) + 1)  # words that never occurred keep a share
-        of_class = np.maximum(of_class, 0.5)
+        # after the words of their own, classes whose sizes rise evenly: what is frequent stands in small ones
+        more = max(0, len(n) - OWN)
+        groups = max(1, int((more / 8) ** 0.5))
+        ends = np.minimum(more, np.ceil(more * np.cumsum(np.arange(1, groups + 1)) / (groups * (groups + 1) / 2))).astype(np.int64)
+        first = np.concatenate([np.arange(min(OWN, len(n))), OWN + np.concatenate([[0], ends[:-1]])[: groups if more else 0], [len(n)]]).astype(np.int64)
+        self.first = np.append(np.unique(first), len(n) + 1)  # where each class begins; the last holds the words not known
+        share = np.append(n + 0.5, max(total - n.sum(), 0) + 0.5 * (distinct - len(n) + 1)) if len(n) or total else np.ones(1)
+        self.classes = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        of_class = np.bincount(self.classes, share)
         order = np.argsort(words)
-        self.words, self.classes = words[order], np.append(classes[order], CLASSES - 1)
-        #: The logarithm of a word's share in its class, but for the count of words in the last one.
-        self.within = np.append(np.log(n + 0.5)[order], 0.0) - np.log(of_class)[self.classes]
-        self.bits = max(LEAST_BITS, int(np.ceil(np.log2(4 * max(1, distinct) ** 0.5))))
-        self.shapes = {"vectors": ((1 << self.bits) + 1, WIDTH), "w1": (len(SIDES) * WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, CLASSES), "b2": (CLASSES,)}
+        self.words, self.place = words[order], np.append(order, len(words))
+        self.unigram = np.log(share / share.sum())
+        #: What the count of a word of the last class is divided by.
+        self.rest = float(np.log(share[-1]))
+        self.shapes = {"vectors": ((1 << self.bits) + 1, WIDTH), "w1": (len(SIDES) * WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, len(of_class)), "b2": (len(of_class),), "u": (len(share), HIDDEN), "c": (len(share),)}
         rng = np.random.default_rng(2)
         self.weights = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in self.shapes.items()}
         self.weights["b1"][:] = 0
+        self.weights["u"][:] = 0
         self.weights["b2"] = np.log(of_class / of_class.sum()).astype(np.float32)
+        self.weights["c"] = np.log(share / of_class[self.classes]).astype(np.float32)
+
+    def start(self) -> None:
+        """Sums of squared gradients, which set the steps."""
+        self.squares = {k: np.full(s if k in ("w1", "w2", "b1", "b2", "c") else s[:1], 1e-3, np.float32) for k, s in self.shapes.items()}
 
     def places(self, words: np.ndarray) -> np.ndarray:
-        """Where each word is among the frequent ones; one past them if it isn't."""
+        """The rank of each word by frequency; one past all of them if it isn't known."""
         if not len(self.words):
             return np.zeros(len(words), np.int64)
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, at, len(self.words))
+        return np.where(self.words[at] == words, self.place[at], len(self.words))
 
     def forward(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs, hidden layer and probabilities of classes."""
         w = self.weights
         x = w["vectors"][near].reshape(len(near), -1)
         h = np.tanh(x @ w["w1"] + w["b1"])
-        z = h @ w["w2"] + w["b2"]
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        return x, h, z
+        return x, h, _softmax(h @ w["w2"] + w["b2"])
 
-    def learn(self, near: np.ndarray, classes: np.ndarray, rate: float) -> None:
+    def inside(self, h: np.ndarray, places: np.ndarray, classes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first word, last, rows, probabilities) for each class of several words that rows are in; rows come by class."""
+        w = self.weights
+        cut = np.concatenate([[0], np.flatnonzero(classes[1:] != classes[:-1]) + 1, [len(classes)]])
+        for i, j in zip(cut[:-1], cut[1:]):
+            a, b = self.first[classes[i]], self.first[classes[i] + 1]
+            if b - a > 1:
+                yield a, b, slice(i, j), _softmax(h[i:j] @ w["u"][a:b].T + w["c"][a:b])
+
+    def learn(self, near: np.ndarray, places: np.ndarray) -> None:
+        classes = self.classes[places]
+        order = np.argsort(classes, kind="stable")
+        near, places, classes = near[order], places[order], classes[order]
         w, n = self.weights, len(near)
         x, h, p = self.forward(near)
         p[np.arange(n), classes] -= 1
-        dh = (p @ w["w2"].T) * (1 - h * h)
+        dh = p @ w["w2"].T
+        for a, b, at, q in self.inside(h, places, classes):
+            q[np.arange(len(q)), places[at] - a] -= 1
+            dh[at] += q @ w["u"][a:b]
+            self._step("u", q.T @ h[at], slice(a, b))
+            self._step("c", q.sum(0), slice(a, b))
+        dh *= 1 - h * h
         dx = (dh @ w["w1"].T).reshape(-1, WIDTH)
-        step = rate / n
-        w["w2"] -= step * (h.T @ p)
-        w["b2"] -= step * p.sum(0)
-        w["w1"] -= step * (x.T @ dh)
-        w["b1"] -= step * dh.sum(0)
+        for name, g in (("w2", h.T @ p), ("b2", p.sum(0)), ("w1", x.T @ dh), ("b1", dh.sum(0))):
+            self._step(name, g, slice(None))
         at = near.ravel().astype(np.uint16 if self.bits < 16 else np.uint32)  # 16 bits are sorted by radix
         order = np.argsort(at, kind="stable")
         rows, first = np.unique(at[order], return_index=True)
-        g = np.add.reduceat(dx[order], first, axis=0)
-        w["vectors"][rows] -= 8 * step * g
+        self._step("vectors", np.add.reduceat(dx[order], first, axis=0), rows)
+
+    def _step(self, name: str, g: np.ndarray, rows: slice | np.ndarray) -> None:
+        """A step against the gradient, over the root of the squares so far; of a word's vector as a whole."""
+        s = self.squares[name]
+        if s.ndim < g.ndim:
+            s[rows] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+            self.weights[name][rows] -= RATE * g / np.sqrt(s[rows])[:, None]
+        else:
+            s[rows] += g * g
+            self.weights[name][rows] -= RATE * g / np.sqrt(s[rows])
 
     def log_probabilities(self, near: np.ndarray, places: np.ndarray) -> np.ndarray:
-        p = self.forward(near)[2]
-        return np.log(np.maximum(p[np.arange(len(places)), self.classes[places]], 1e-12)) + self.within[places]
+        """Of each token; of a word that isn't known, of the last class over its total count."""
+        classes = self.classes[places]
+        order = np.argsort(classes, kind="stable")
+        near, places, classes = near[order], places[order], classes[order]
+        _, h, p = self.forward(near)
+        out = np.log(np.maximum(p[np.arange(len(places)), classes], 1e-12)).astype(np.float64)
+        for a, _, at, q in self.inside(h, places, classes):
+            out[at] += np.log(np.maximum(q[np.arange(len(q)), places[at] - a], 1e-12))
+        out[places == len(self.words)] -= self.rest
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
 
 
 def windows(words: np.ndarray, bits: int) -> np.ndarray:
@@ -154,47 +205,56 @@ def _gathered(batches: Iterator[pa.RecordBatch], column: int, least: int, bits:
         yield sizes, np.concatenate(near), np.concatenate(words)
 
 
-def trained(docs: DataFrame, counts: DataFrame, text_col: str = "text", rate: float = 0.5) -> Network:
-    """The network after one pass over all texts; counts are the word_counts of docs."""
+def trained(docs: DataFrame, counts: DataFrame, text_col: str = "text", part_words: int = PART) -> Network:
+    """The network after one pass over all texts; counts are the word_counts of docs.
+
+    Texts are dealt by their hash over parts of some `part_words` words, in the order of the hash. A third of all rows
+    may be one text: copies of it are dealt on over all parts.
+    """
     network = Network(counts)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, -(-total // part_words))
     held = docs.sparkSession.sparkContext.broadcast(network)
     shapes = network.shapes
-    total = sum(int(np.prod(s)) for s in shapes.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network = held.value
         start = net.weights  # a worker may run several tasks on the one network it was sent
         net.weights = {k: v.copy() for k, v in start.items()}
+        net.start()
         seen = 0
         for _, near, words in _gathered(batches, 0, GATHERED, net.bits):
-            classes, rng = net.classes[net.places(words)], np.random.default_rng([seen, len(words)])
+            places, rng = net.places(words), np.random.default_rng([seen, len(words)])
             order = rng.permutation(len(words))
             for i in range(0, len(order), BATCH):
-                at = order[i : i + BATCH]
-                net.learn(near[at], classes[at], rate / (1 + seen / 2e6) * min(1.0, len(at) / BATCH))
+                net.learn(near[order[i : i + BATCH]], places[order[i : i + BATCH]])
             seen += len(words)
         flat = np.concatenate([net.weights[k].ravel() for k in shapes]).astype(np.float64)
         net.weights = start
         if seen:
+            unit = float(1 << 20)
             for i in range(0, len(flat), 50_000):
-                part = flat[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part)), pa.int64()), pa.array(part * seen), pa.array(np.full(len(part), float(seen)))], ["at", "w", "n"])
+                part = np.round(flat[i : i + 50_000] * seen * unit).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part)), pa.int64()), pa.array(part), pa.array(np.full(len(part), seen))], ["at", "w", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "at long, w double, n double")
+    key = F.xxhash64(F.lit(3), text_col, *(c for c in docs.columns if c != text_col and c == "doc_id"))
+    rows = docs.select(F.col(text_col).alias("text"), key.alias("key")).where("text is not null")
+    rows = rows.repartition(parts, "key").sortWithinPartitions("key").select("text").mapInArrow(run, "at long, w long, n long")
     got = rows.groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
     if len(got):
-        flat = np.zeros(total)
-        flat[got["at"].to_numpy()] = got.w
+        flat = np.zeros(sum(int(np.prod(s)) for s in shapes.values()))
+        flat[got["at"].to_numpy()] = got.w / (1 << 20)
         cuts = np.cumsum([int(np.prod(s)) for s in shapes.values()])[:-1]
         network.weights = {k: p.reshape(s).astype(np.float32) for (k, s), p in zip(shapes.items(), np.split(flat, cuts))}
     return network
 
 
 def pseudo_likelihood(docs: DataFrame, network: Network, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, log_likelihood, mean_log_probability of each row under the network and the counts it was made of.
+    """doc_id, n_words, log_likelihood, mean_log_probability, unigram_log_likelihood of each row.
 
-    Null, empty and blank texts have no words, likelihood 0 and a null mean. Repeated rows get equal scores, null ids
-    are kept. Other columns are left out.
+    They are given by the network and by the counts it was made of. Null, empty and blank texts have no words,
+    likelihoods 0 and a null mean. Repeated rows get equal scores, null ids are kept. Texts are read whole, whatever
+    their length. Other columns are left out.
     """
     held = docs.sparkSession.sparkContext.broadcast(network)
 
@@ -204,26 +264,29 @@ def pseudo_likelihood(docs: DataFrame, network: Network, counts: DataFrame, id_c
             start = 0
             for sizes, near, words in _gathered(iter([batch]), 2, GATHERED // 4, net.bits):
                 places = net.places(words)
-                logs = [net.log_probabilities(near[i : i + 2048], places[i : i + 2048]) for i in range(0, len(places), 2048)]
-                sums = np.concatenate([[0.0], np.cumsum(np.concatenate(logs) if logs else np.empty(0))])
+                logs = [net.log_probabilities(near[i : i + 8192], places[i : i + 8192]) for i in range(0, len(places), 8192)]
+                rare = places == len(net.words)
+                alone = net.unigram[places]
+                alone[rare] -= net.rest
                 n = np.array(sizes, np.int64)
                 end = np.cumsum(n)
-                rare = places == len(net.words)
+                sums = [(s := np.concatenate([[0.0], np.cumsum(x)]))[end] - s[end - n] for x in (np.concatenate(logs) if logs else np.empty(0), alone)]
                 cuts = np.concatenate([[0], np.cumsum(rare)])[np.concatenate([[0], end])]
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(words[rare].view(np.int64)))
                 row, ids = batch.column(0).slice(start, len(n)), batch.column(1).slice(start, len(n))
-                yield pa.RecordBatch.from_arrays([row, ids, pa.array(n), pa.array(sums[end] - sums[end - n]), lists], ["row", "doc_id", "n_words", "known", "rare"])
+                yield pa.RecordBatch.from_arrays([row, ids, pa.array(n), *map(pa.array, sums), lists], ["row", "doc_id", "n_words", "known", "alone", "rare"])
                 start += len(n)
 
     # rows are numbered once and for all by writing them: ids may be null or repeated
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = settle(rows.mapInArrow(run, "row long, doc_id long, n_words long, known double, rare array<long>"))
+    parts = settle(rows.mapInArrow(run, "row long, doc_id long, n_words long, known double, alone double, rare array<long>"))
     rare = parts.select("row", F.explode("rare").alias("word")).join(counts.where(F.col("n") < network.least), "word", "left")
     log = F.round(F.log(F.coalesce("n", F.lit(0)) + 0.5) * UNIT).cast("long")
     added = rare.groupBy("row").agg(F.sum(log).alias("added"))
-    total = F.col("known") + F.coalesce("added", F.lit(0)) / UNIT
-    out = parts.drop("rare").join(added, "row", "left").select("doc_id", "n_words", total.alias("log_likelihood"))
-    return out.withColumn("mean_log_probability", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
+    both = [(F.col(c) + F.coalesce("added", F.lit(0)) / UNIT).alias(name) for c, name in (("known", "log_likelihood"), ("alone", "unigram_log_likelihood"))]
+    out = parts.drop("rare").join(added, "row", "left").select("doc_id", "n_words", *both)
+    mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
+    return out.select("doc_id", "n_words", "log_likelihood", mean.alias("mean_log_probability"), "unigram_log_likelihood")
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -90,7 +90,7 @@ def featured(found: DataFrame) -> DataFrame:
     return found.withColumn("x", F.struct(*(values[name].cast("double").alias(name) for name in FEATURES)))
 
 
-def labelled_findings(spark: SparkSession, rows: int = 8000) -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     """value, before, after, label: findings made from rules, the same at every call."""
     i = F.col("id")
     hexed = F.sha2(F.concat(F.lit("a"), i), 256)
@@ -155,11 +155,11 @@ def labelled_findings(spark: SparkSession, rows: int = 8000) -> DataFrame:
     return reduce(DataFrame.union, made).coalesce(1)
 
 
-def forest(findings: DataFrame, trees: int = 40, depth: int = 9) -> PipelineModel:
+def forest(findings: DataFrame, trees: int = 30, depth: int = 8) -> PipelineModel:
     """A random forest on labelled findings (value, before, after, label); rows with a null among them are left out."""
     known = findings.select("value", "before", "after", F.col("label").cast("double").alias("label")).dropna()
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    rows = assembler.transform(featured(known).select("label", "x.*"))
+    rows = assembler.transform(settle(featured(known).select("label", "x.*")))
     model = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=6, featureSubsetStrategy="onethird").fit(rows)
     return PipelineModel([assembler, model])
 
