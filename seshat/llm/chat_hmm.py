@@ -148,7 +148,8 @@ def parse(transcripts: DataFrame, model: Hmm) -> DataFrame:
     """conv_id, turn (from 0), role, rendered, n_lines of each recovered turn.
 
     transcripts: conv_id, turn (order of the text's parts), text: the parts of a raw transcript, of one or more lines.
-    A turn is rendered as <|role|>, its lines without speaker markers, <|end|>. Null texts count as one empty line;
+    Roles are system, user or assistant: lines of any other speaker go to the one of the three they are most like. A
+    turn is rendered as <|role|>, its lines without speaker markers, <|end|>. Null texts count as one empty line;
     null turns come first; equal turns are taken in order of their texts; rows with a null conv_id are left out, as no
     transcript can be told from another. An empty table gives an empty result. Other columns are left out.
     """

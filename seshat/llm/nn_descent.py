@@ -1,15 +1,18 @@
 """Approximate nearest neighbours by inner product: NN-descent builds a graph, greedy search answers queries.
 
-Equal vectors are one node (a class), so a vector that is repeated without end is one row. Nodes carry their vectors
-scaled to unit length with one more component (largest inner product becomes largest cosine), in half precision; the
-scores returned are computed in double precision on the vectors as given.
+Equal vectors are one node (a class), so a vector that is repeated without end is one row. Vectors are parted into
+bands of norms within a factor of four, and each band is a graph of its own: its nodes carry their vectors scaled to
+unit length with one more component (largest inner product becomes largest cosine), in half precision. The scores
+returned are computed in double precision on the vectors as given, and the bands' answers are merged by them; a few
+very long vectors so leave the search among the others as it is.
 
 1. Start: rows are dealt over leaves of TREES random-projection trees, fitted on at most SAMPLE vectors; each node's
    nearest within its leaves are its first neighbours.
 2. NN-descent rounds: node v is joined with the vectors of its neighbours and of the nodes that count v among theirs
-   (the best K), all pairs among them are scored there, and each of them is sent the best it does not know.
-3. Search: a query starts from its own node, keeps the `beam` best nodes found and expands those not yet expanded, a
-   join a round, until none is left.
+   (the best K), all pairs among them are scored there, and each of them is sent the best it does not know. Rounds go
+   on until fewer than a stated share of all neighbours are new.
+3. Search: a query starts from its own node, and in the other bands from the best of a sample; it keeps the `beam`
+   best nodes found and expands those not yet expanded, a join a round, until none is left.
 """
 
 from __future__ import annotations
@@ -19,21 +22,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seshat.llm._io import discard, groups, settle
 
 K, TREES, LEAF, SAMPLE, SENT = 20, 4, 800, 8192, 8
+#: Steps of the logarithm of the norm to the base 2, steps in a band, and nodes from which other bands are entered.
+STEPS, BAND, ENTRIES, STARTS = 8, 16, 2048, 32
 HALF = np.float16
 
 
 def valid(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id, x array<float>: rows with an id and a finite vector other than zero; of several lengths the commonest."""
+    """id, x array<double>: rows with an id and a finite vector other than zero; of several lengths the commonest."""
     x = F.col(vector_col)
     good = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(x, lambda v: v != 0)
-    r = rows.where(F.col(id_col).isNotNull() & good).select(F.col(id_col).cast("long").alias("id"), x.cast("array<float>").alias("x"))
+    r = rows.where(F.col(id_col).isNotNull() & good).select(F.col(id_col).cast("long").alias("id"), x.cast("array<double>").alias("x"))
     lengths = r.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     return r.where(F.size("x") == (lengths[0]["n"] if lengths else 0))
 
@@ -76,6 +81,24 @@ class Trees:
         return code
 
 
+def step_of(x: Column) -> Column:
+    """The step of the logarithm of a vector's norm, without squares that overflow."""
+    most = F.array_max(F.transform(x, F.abs))
+    squares = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v / most) * (v / most))
+    return F.floor(STEPS * (F.log2(most) + F.log2(squares) / 2)).cast("int")
+
+
+def bands(counts: dict[int, int]) -> list[tuple[int, int]]:
+    """(highest step, nodes) of each band, from the nodes of each step: a band holds BAND steps from its highest down."""
+    out: list[tuple[int, int]] = []
+    for k in sorted(counts, reverse=True):
+        if out and out[-1][0] - k < BAND:
+            out[-1] = (out[-1][0], out[-1][1] + counts[k])
+        else:
+            out.append((k, counts[k]))
+    return out
+
+
 def _pack(ids: np.ndarray, scores: np.ndarray) -> tuple[bytes, bytes]:
     return ids.astype(np.int64).tobytes(), scores.astype(np.float32).tobytes()
 
@@ -91,31 +114,35 @@ def _best(ids: np.ndarray, scores: np.ndarray, own: int, k: int) -> tuple[np.nda
 
 
 def _merged(found: DataFrame) -> DataFrame:
-    """node, ids, scores (bytes): the K best of all rows of a node."""
+    """node, ids, scores (bytes), fresh: the K best of all rows of a node, and how many of them no `old` row had."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for g in groups(batches, "node"):
             node = int(g.node.iloc[0])
             ids, scores = _best(np.frombuffer(b"".join(g.ids), np.int64), np.frombuffer(b"".join(g.scores), np.float32), node, K)
-            out.append((node, *_pack(ids, scores)))
+            known = np.frombuffer(b"".join(g.ids[g.old]), np.int64)
+            out.append((node, *_pack(ids, scores), int((~np.isin(ids, known)).sum())))
             if len(out) >= 5000:
-                yield pd.DataFrame(out, columns=["node", "ids", "scores"])
+                yield pd.DataFrame(out, columns=["node", "ids", "scores", "fresh"])
                 out = []
-        yield pd.DataFrame(out, columns=["node", "ids", "scores"])
+        yield pd.DataFrame(out, columns=["node", "ids", "scores", "fresh"])
 
-    return found.repartition("node").sortWithinPartitions("node").mapInPandas(run, "node long, ids binary, scores binary")
+    return found.repartition("node").sortWithinPartitions("node").mapInPandas(run, "node long, ids binary, scores binary, fresh int")
 
 
-def _started(vectors: DataFrame, trees: Trees) -> DataFrame:
+def _started(vectors: DataFrame, trees: list[Trees]) -> DataFrame:
+    """The first graph, from the leaves of the trees of each band."""
     held = vectors.sparkSession.sparkContext.broadcast(trees)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x = np.frombuffer(b"".join(b.v), HALF).reshape(len(b), -1).astype(np.float32)
-                for t in range(TREES):
-                    yield pd.DataFrame({"leaf": held.value.leaf(x, t) * TREES + t, "node": b.node, "v": b.v})
+                for band, rows in b.groupby("band"):
+                    x = np.frombuffer(b"".join(rows.v), HALF).reshape(len(rows), -1).astype(np.float32)
+                    for t in range(TREES):
+                        leaf = (held.value[band].leaf(x, t) * len(held.value) + band) * TREES + t
+                        yield pd.DataFrame({"leaf": leaf, "node": rows.node, "v": rows.v})
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups(batches, "leaf"):
@@ -134,7 +161,7 @@ def _started(vectors: DataFrame, trees: Trees) -> DataFrame:
                 yield pd.DataFrame({"node": node, "ids": [r[0] for r in rows], "scores": [r[1] for r in rows]})
 
     dealt = vectors.mapInPandas(deal, "leaf long, node long, v binary").repartition("leaf").sortWithinPartitions("leaf", "node")
-    return _merged(dealt.mapInPandas(near, "node long, ids binary, scores binary"))
+    return _merged(dealt.mapInPandas(near, "node long, ids binary, scores binary").withColumn("old", F.lit(False)))
 
 
 def _members(graph: DataFrame) -> DataFrame:
@@ -153,7 +180,7 @@ def _members(graph: DataFrame) -> DataFrame:
 
 def _descended(graph: DataFrame, vectors: DataFrame) -> DataFrame:
     """One NN-descent round."""
-    joined = _members(graph).join(vectors.withColumnRenamed("node", "other"), "other")
+    joined = _members(graph).join(vectors.select(F.col("node").alias("other"), "v"), "other")
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
@@ -173,11 +200,14 @@ def _descended(graph: DataFrame, vectors: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["node", "ids", "scores"])
 
     sent = joined.repartition("node").sortWithinPartitions("node", "other").mapInPandas(local, "node long, ids binary, scores binary")
-    return _merged(graph.union(sent))
+    return _merged(graph.select("node", "ids", "scores", F.lit(True).alias("old")).union(sent.withColumn("old", F.lit(False))))
 
 
-def _searched(graph: DataFrame, vectors: DataFrame, queries: DataFrame, beam: int, most_rounds: int) -> DataFrame:
-    """query (a node), ids, scores (bytes): the beam of each query's greedy search."""
+def _searched(graph: DataFrame, vectors: DataFrame, queries: DataFrame, entries: list[tuple[np.ndarray, np.ndarray]], beam: int) -> DataFrame:
+    """query (a node), band, ids, scores (bytes): the beam of each query's greedy search in each band.
+
+    entries: nodes and vectors of a sample of each band.
+    """
     spark = graph.sparkSession
 
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,24 +220,42 @@ def _searched(graph: DataFrame, vectors: DataFrame, queries: DataFrame, beam: in
         yield pd.DataFrame(out, columns=["node", "near", "vs"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    joined = _members(graph).join(vectors.withColumnRenamed("node", "other"), "other")
+    joined = _members(graph).join(vectors.select(F.col("node").alias("other"), "v"), "other")
     table = joined.repartition("node").sortWithinPartitions("node", "other").mapInPandas(nodes, "node long, near binary, vs binary")
     table = settle(table).repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)
-    # query, its vector, the beam, which of it is expanded
-    state = settle(queries.join(vectors, "node").select(F.col("node").alias("query"), "v", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("scores"), F.lit(None).cast("binary").alias("done")))
+    held = spark.sparkContext.broadcast(entries)
+
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for node, own, v in zip(b.node, b.band, b.v):
+                q = np.frombuffer(v, HALF).astype(np.float32)
+                for band, (ids, x) in enumerate(held.value):
+                    if band == own:
+                        near, s = np.array([node]), np.array([2.0])
+                    else:
+                        s = x[:, :-1] @ q[:-1]
+                        best = np.argsort(-s, kind="stable")[:STARTS]
+                        near, s = ids[best], s[best]
+                    out.append((node, band, v, *_pack(near, s), np.zeros(len(near), bool).tobytes()))
+            yield pd.DataFrame(out, columns=["query", "band", "v", "ids", "scores", "done"])
+
+    # query, band, the query's vector, the beam, which of it is expanded
+    beams = "query long, band int, v binary, ids binary, scores binary, done binary"
+    state = settle(queries.join(vectors, "node").select("node", "band", "v").mapInPandas(begin, beams))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i in range(0, len(b), 200):
                 part, node, at, floor = b.iloc[i : i + 200], [], [], []
-                for r, (q, ids, scores, done) in enumerate(zip(part["query"], part.ids, part.scores, part.done)):
-                    new = np.array([q]) if ids is None else np.frombuffer(ids, np.int64)[np.frombuffer(done, bool) == 0]
-                    low = -2.0 if ids is None or len(ids) < 8 * beam else float(np.frombuffer(scores, np.float32).min())
+                for r, (ids, scores, done) in enumerate(zip(part.ids, part.scores, part.done)):
+                    new = np.frombuffer(ids, np.int64)[np.frombuffer(done, bool) == 0]
+                    low = -2.0 if len(ids) < 8 * beam else float(np.frombuffer(scores, np.float32).min())
                     node.append(new)
                     at += [r] * len(new)
                     floor += [low] * len(new)
-                own, vs = part["query"].to_numpy(), part.v.to_numpy()
-                yield pd.DataFrame({"query": own[at], "v": vs[at], "node": np.concatenate(node).astype(np.int64), "floor": np.array(floor, np.float32)})
+                own, band, vs = part["query"].to_numpy(), part.band.to_numpy(), part.v.to_numpy()
+                yield pd.DataFrame({"query": own[at], "band": band[at], "v": vs[at], "node": np.concatenate(node).astype(np.int64), "floor": np.array(floor, np.float32)})
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -219,44 +267,43 @@ def _searched(graph: DataFrame, vectors: DataFrame, queries: DataFrame, beam: in
                 keep = s > floor
                 ids_out.append(ids[keep].tobytes())
                 scores_out.append(s[keep].tobytes())
-            yield pd.DataFrame({"query": b["query"], "ids": ids_out, "scores": scores_out})
+            yield pd.DataFrame({"query": b["query"], "band": b.band, "ids": ids_out, "scores": scores_out})
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        for g in groups(batches, "query"):
-            q = int(g["query"].iloc[0])
-            own = g[g.v.notna()].iloc[0]
-            old = np.frombuffer(own.ids, np.int64) if own.ids is not None else np.array([q])
-            old_scores = np.frombuffer(own.scores, np.float32) if own.ids is not None else np.array([2.0], np.float32)
-            found = g[g.v.isna()]
+        for g in groups(batches, "query", "band"):
+            own, found = g[g.v.notna()].iloc[0], g[g.v.isna()]
+            old = np.frombuffer(own.ids, np.int64)
             ids = np.concatenate([old, np.frombuffer(b"".join(found.ids), np.int64)])
-            scores = np.concatenate([old_scores, np.frombuffer(b"".join(found.scores), np.float32)])
+            scores = np.concatenate([np.frombuffer(own.scores, np.float32), np.frombuffer(b"".join(found.scores), np.float32)])
             ids, scores = _best(ids, scores, -(1 << 62), beam)
-            out.append((q, own.v, *_pack(ids, scores), np.isin(ids, old).tobytes()))
+            out.append((own["query"], own.band, own.v, *_pack(ids, scores), np.isin(ids, old).tobytes()))
             if len(out) >= 500:
-                yield pd.DataFrame(out, columns=["query", "v", "ids", "scores", "done"])
+                yield pd.DataFrame(out, columns=["query", "band", "v", "ids", "scores", "done"])
                 out = []
-        yield pd.DataFrame(out, columns=["query", "v", "ids", "scores", "done"])
-
-    for _ in range(most_rounds):
-        asked = state.mapInPandas(ask, "query long, v binary, node long, floor float")
-        met = asked.repartition(parts, "node").join(table, "node").select("query", "v", "floor", "near", "vs").mapInPandas(score, "query long, ids binary, scores binary")
-        met = met.where(F.length("ids") > 0).select("query", F.lit(None).cast("binary").alias("v"), "ids", "scores", F.lit(None).cast("binary").alias("done"))
-        after = settle(state.union(met).repartition("query").sortWithinPartitions("query").mapInPandas(keep, "query long, v binary, ids binary, scores binary, done binary"))
+        yield pd.DataFrame(out, columns=["query", "band", "v", "ids", "scores", "done"])
+
+    none = F.lit(None).cast("binary")
+    while True:  # a node is expanded once at most, and only beams that still rise expand any
+        asked = state.mapInPandas(ask, "query long, band int, v binary, node long, floor float")
+        met = asked.repartition(parts, "node").join(table, "node").select("query", "band", "v", "floor", "near", "vs").mapInPandas(score, "query long, band int, ids binary, scores binary")
+        met = met.where(F.length("ids") > 0).select("query", "band", none.alias("v"), "ids", "scores", none.alias("done"))
+        after = settle(state.union(met).repartition("query", "band").sortWithinPartitions("query", "band").mapInPandas(keep, beams))
         discard(state)
         state = after
         if not state.where(F.instr(F.hex("done"), "00") > 0).limit(1).count():
             break
     table.unpersist()
-    return state.select("query", "ids", "scores")
+    return state.select("query", "band", "ids", "scores")
 
 
-def neighbours(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, top: int = 20, rounds: int = 2, beam: int = 320, most_rounds: int = 16) -> DataFrame:
+def neighbours(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, top: int = 20, share: float = 0.02, beam: int = 320) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its `top` nearest other rows found.
 
-    Nearest is the largest inner product; ties go to the smaller id; fewer rows than `top` are all given. Vectors that
-    are null, empty, zero, or hold null or non-finite components take no part, nor rows without an id, nor vectors of
-    another length than the commonest. Rows that repeat an id and vector are one. An empty table gives an empty
+    Nearest is the largest inner product; ties go to the smaller id; fewer rows than `top` are all given. NN-descent
+    goes on until fewer than `share` of all neighbours are new. Vectors that are null, empty, zero, or hold null or
+    non-finite components take no part, nor rows without an id, nor vectors of another length than the commonest,
+    which have no product with the others. Rows that repeat an id and vector are one. An empty table gives an empty
     result. Other columns are left out.
     """
     r = valid(rows, id_col, vector_col).withColumn("cls", F.xxhash64("x"))
@@ -264,31 +311,41 @@ def neighbours(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     members = r.select("cls", "id", "x").distinct().withColumn("nth", F.row_number().over(W.partitionBy("cls").orderBy("id"))).where(F.col("nth") <= top + 1)
     members = settle(members)
     nodes = members.where("nth = 1").select(F.col("id").alias("node"), "cls", "x")
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v))
-    n, most = nodes.agg(F.count("*"), F.max(norm)).first()
-    if not n:
+    # at most a few thousand steps lie between the smallest and the largest double
+    split = bands({x["step"]: x["n"] for x in nodes.groupBy(step_of(F.col("x")).alias("step")).agg(F.count("*").alias("n")).collect()})
+    if not split:
         return members.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
+    tops = np.array([k for k, _ in split])
 
     def scaled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x = np.stack(b.x.to_numpy()).astype(np.float64) / most
+                band = np.searchsorted(-tops, -b.step.to_numpy(), "right") - 1
+                x = np.stack(b.x.to_numpy()).astype(np.float64) * np.exp2(-(tops[band] + 1.0) / STEPS)[:, None]
                 rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))
-                yield pd.DataFrame({"node": b.node, "v": [v.tobytes() for v in np.concatenate([x, rest[:, None]], 1).astype(HALF)]})
-
-    vectors = settle(nodes.mapInPandas(scaled, "node long, v binary"))
-    share = min(1.0, 2 * SAMPLE / n)
-    sample = vectors.where(F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)).limit(SAMPLE).toPandas()
-    sample = np.frombuffer(b"".join(sample.v), HALF).reshape(len(sample), -1).astype(np.float32)
-    graph = settle(_started(vectors, Trees(sample, max(0, int(np.ceil(np.log2(n / LEAF)))))))
+                yield pd.DataFrame({"node": b.node, "band": band, "v": [v.tobytes() for v in np.concatenate([x, rest[:, None]], 1).astype(HALF)]})
+
+    vectors = settle(nodes.withColumn("step", step_of(F.col("x"))).select("node", "step", "x").mapInPandas(scaled, "node long, band int, v binary"))
+    drawn = W.partitionBy("band").orderBy(F.xxhash64(F.lit(5), "node"), "node")
+    sample = vectors.withColumn("nth", F.row_number().over(drawn)).where(F.col("nth") <= max(256, SAMPLE // len(split))).orderBy("band", "nth").toPandas()
+    trees, entries = [], []
+    for band, (_, n) in enumerate(split):
+        part = sample[sample.band == band]
+        x = np.frombuffer(b"".join(part.v), HALF).reshape(len(part), -1).astype(np.float32)
+        trees.append(Trees(x, max(0, int(np.ceil(np.log2(n / LEAF))))))
+        entries.append((part.node.to_numpy()[:ENTRIES], x[:ENTRIES]))
+    graph = settle(_started(vectors, trees))
     graph = settle(graph.join(vectors.select("node"), "node", "right").select("node", F.coalesce("ids", F.lit(b"")).alias("ids"), F.coalesce("scores", F.lit(b"")).alias("scores")))
-    for _ in range(rounds):
+    while True:
         new = settle(_descended(graph, vectors))
         discard(graph)
         graph = new
+        fresh, all_ = graph.agg(F.sum("fresh"), F.sum(F.length("ids") / 8)).first()
+        if (fresh or 0) <= share * (all_ or 0):
+            break
     asked = r.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "cls").distinct()
     starts = nodes.join(asked.select("cls").distinct(), "cls", "left_semi").select("node")
-    found = _searched(graph, vectors, starts, beam, most_rounds)
+    found = _searched(graph, vectors, starts, entries, beam)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -300,7 +357,7 @@ def neighbours(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             if q:
                 yield pd.DataFrame({"q": q, "node": np.concatenate(ids)})
 
-    pairs = found.mapInPandas(best, "q long, node long")
+    pairs = found.mapInPandas(best, "q long, node long").distinct()
     pairs = pairs.join(nodes.select("node", "x", F.col("cls").alias("found")), "node").join(nodes.select(F.col("node").alias("q"), F.col("x").alias("qx"), "cls"), "q")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -314,6 +371,12 @@ def neighbours(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     # one list a class of queries, long enough for a member to leave itself out
     listed = each.withColumn("nth", F.row_number().over(W.partitionBy("cls").orderBy(F.desc("score"), "vec_id"))).where(F.col("nth") <= top + 1)
     listed = listed.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("near"))
-    out = asked.join(listed, "cls").select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, top).alias("near"))
+    # queries of equal vectors are rows of one class: those of a class with over a thousandth of them are not dealt by it
+    n = asked.groupBy("cls").agg(F.count("*").alias("n"))
+    hot = n.where(F.col("n") * 1000 > asked.count()).select("cls")
+    listed = settle(listed)
+    listed_hot = F.broadcast(listed.join(F.broadcast(hot), "cls", "left_semi"))
+    met = asked.join(listed_hot, "cls").unionByName(asked.join(F.broadcast(hot), "cls", "left_anti").join(listed, "cls"))
+    out = met.select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, top).alias("near"))
     out = out.select("query_id", F.posexplode("near").alias("at", "x"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

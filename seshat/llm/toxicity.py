@@ -166,14 +166,19 @@ def _part(column: str) -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, sample_rows: int) -> DataFrame:
-    """id, text, label, part of at most `sample_rows` labelled rows outside the held-out fold, picked by hash of the id."""
+    """id, text, label, part of at most `sample_rows` labelled rows outside the held-out fold, the first by hash of the id.
+
+    A repeated id is one row, with the first of its texts in order. The same rows are picked on every cluster.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    known = known.where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
+    known = known.where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0).withColumn("hash", F.xxhash64("id"))
     total = known.count()
-    if total > sample_rows:
-        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.lit(int(1_000_003 * sample_rows / total))).limit(sample_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    return texts.join(F.broadcast(known), "id").dropDuplicates(["id"]).withColumn("part", _part("id"))
+    if total > sample_rows:  # a few more than asked for, of which the first are taken
+        most = min(1.0, (sample_rows + 10 * sample_rows**0.5) / total)
+        known = known.where(F.col("hash") <= F.lit(int(-(2**63) + most * (2**64 - 1)))).orderBy("hash", "id").limit(sample_rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    met = texts.join(F.broadcast(known.drop("hash")), "id")
+    return met.groupBy("id", "label").agg(F.min("text").alias("text")).withColumn("part", _part("id"))
 
 
 def learned_lexicon(rows: DataFrame, entries: int) -> tuple[list[dict[str, float]], dict[str, float]]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seshat.llm import components as cc
 from seshat.llm import minhash_dedup as md
 from seshat.llm.decontaminate import contaminated, needed, without_contaminated
-from seshat.llm.nn_descent import neighbours
+from seshat.llm.nn_descent import bands, neighbours
 
 
 def shingle_set(text, n):
@@ -137,6 +137,30 @@ def test_neighbours_against_brute_force(spark):
     assert hits >= 0.95 * 20 * len(got)
 
 
+def test_neighbours_beside_long_and_short_vectors(spark):
+    """Norms far apart are bands of their own: recall among the others stays as it is, and they are found too."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((900, 16))
+    x = np.concatenate([x, [(x[0] + 0.3) * 1e5, (x[7] - 0.1) * 1e7], rng.standard_normal((30, 16)) * 1e-3, [x[3] * 1e200]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours(df, beam=120).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hits = 0
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = sorted(range(len(x)), key=lambda i: (-s[i], i))[:20]
+        near = sorted(got[q])
+        assert len(near) == 20 and all(np.isclose(v, s[i], rtol=1e-12) for _, i, v in near)
+        hits += len({i for _, i, _ in near} & set(best))
+    assert hits >= 0.95 * 20 * len(got)
+
+
+def test_bands():
+    assert bands({5: 3, 4: 1, -11: 7, 300: 1, -12: 2}) == [(300, 1), (5, 4), (-11, 9)] and bands({}) == []
+
+
 def test_neighbours_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.rank, r.vec_id, r.score) for r in neighbours(df).orderBy("rank").collect()] == [(1, 2, 1.0), (2, 1, 0.0)]

@@ -142,6 +142,45 @@ def test_hmm_segments_equal_one_run():
     assert np.isclose(score(joined), whole.max()) and np.isclose(score(m.decode(seen, -1, last)), whole.max())
 
 
+def test_viterbi_equals_all_paths():
+    """The best of all sequences of states, one by one."""
+    import itertools
+
+    rng = np.random.default_rng(8)
+    for n in range(1, 6):
+        counts = [rng.integers(0, 9, (chat_hmm.STATES, w)).astype(float) for w in chat_hmm.WIDTHS]
+        m = chat_hmm.Hmm.from_counts(rng.integers(0, 9, chat_hmm.STATES).astype(float), rng.integers(0, 9, (chat_hmm.STATES,) * 2).astype(float), counts)
+        seen = np.stack([rng.integers(0, w, n) for w in chat_hmm.WIDTHS], 1)
+        e = m.emit(seen)
+        score = lambda p: m.start[p[0]] + sum(m.move[a, b] for a, b in zip(p, p[1:])) + sum(e[i, k] for i, k in enumerate(p))
+        best = max(itertools.product(range(chat_hmm.STATES), repeat=n), key=score)
+        last = int(m.matrix(seen, True)[0].argmax())
+        got = m.decode(seen, -1, last)
+        assert np.isclose(score(best), score(got)) and np.isclose(m.matrix(seen, True)[0].max(), score(best))
+
+
+def test_toxicity_learns_from_the_same_rows(spark):
+    docs, labels = toxic_table(spark)
+    twice = docs.union(docs.where("doc_id < 100").withColumn("text", F.upper("text"))).withColumn("label", F.lit("x"))
+    got = [sorted(tuple(r) for r in toxicity.training_rows(d, labels, "toxic", 50).select("id", "text", "label").collect()) for d in (twice, twice.repartition(7).orderBy(F.rand()))]
+    assert got[0] == got[1] and len(got[0]) == 50 and len({i for i, _, _ in got[0]}) == 50
+
+
+def test_trees_and_calibration_against_brute_force():
+    """The first split is the best of all, and the calibration is the best rising step function."""
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 6, (60, 3)).astype(float), rng.integers(0, 2, 60).astype(float)
+    t = toxicity.Trees(rounds=1, depth=1).fit(x, y)
+    g, h = y - y.mean(), np.full(60, y.mean() * (1 - y.mean()))
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1) + g[~m].sum() ** 2 / (h[~m].sum() + 1)
+    every = [gain(x[:, k] <= c) for k in range(3) for c in np.unique(x[:, k])[:-1]]
+    assert np.isclose(gain(x[:, t.trees[0]["at"]] <= t.cuts[t.trees[0]["at"]][t.trees[0]["cut"]]), max(every))
+    m, p = toxicity.isotonic(np.arange(8.0), np.array([0, 1, 0, 0, 1, 0, 1, 1.0]))
+    want = [0, 1 / 3, 1 / 3, 1 / 3, 0.5, 0.5, 1, 1]  # by pooling the falling stretches
+    counts = [1, 3, 3, 3, 2, 2, 2, 2]
+    assert np.allclose(np.interp(np.arange(8.0), m, p), [(w * c + 0.5 * w) / (c + 0.5) for w, c in zip(want, counts)])
+
+
 def test_transcripts_are_recovered(spark, monkeypatch):
     turns = [(c, t, ("user", "assistant")[t % 2], f"Line of turn {t}.\nAnd more words of it" if t % 2 else f"Question {t}?") for c in range(60) for t in range(6)]
     raw = chat_hmm.as_transcripts(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
