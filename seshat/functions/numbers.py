@@ -29,8 +29,6 @@ def evaluate(expression: str | None) -> float | None:
             out = value(node.operand) * (-1 if isinstance(node.op, ast.USub) else 1)
         elif isinstance(node, ast.BinOp) and type(node.op) in _BINARY:
             a, b = value(node.left), value(node.right)
-            if isinstance(node.op, ast.Pow) and abs(b) > 64:
-                raise ValueError("exponent")
             out = _BINARY[type(node.op)](a, b)
         else:
             raise ValueError("not arithmetic")
@@ -146,11 +144,22 @@ def value_grounded(value: Column | str, span: Column | str) -> Column:
     return (F.length(v) > 0) & (F.length(s) > 0) & (F.contains(s, v) | F.contains(v, s) | F.when(F.size(a) > 0, near).otherwise(enough))
 
 
+def significant(v: Column, digits: int = 12) -> Column:
+    """A number to so many significant digits, without trailing zeros; with an exponent below 1e-4 and from 10**digits on."""
+    places = F.floor(F.log10(F.abs(v)))
+    shown = F.format_string(f"%.{digits - 1}e", v)
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, "0+$", ""), r"\.$", "")
+    far = F.concat(bare(F.split_part(shown, F.lit("e"), F.lit(1))), F.lit("e"), F.split_part(shown, F.lit("e"), F.lit(2)))
+    near = bare(shown.cast("decimal(38,18)").cast("string"))
+    return F.when(v == 0, "0").when((places >= digits) | (places < -4), far).otherwise(near)
+
+
 def conflict_key(value: Column | str) -> Column:
-    """num: with the number largest by absolute value, else txt: with the text."""
-    numbers = scaled_numbers(value)
+    """num: with the number largest by absolute value, else txt: with the text; empty for an empty one."""
+    plain = F.trim(F.regexp_replace(F.lower(text(value)), r"\s+", " "))
+    numbers = scaled_numbers(plain)
     most = F.aggregate(numbers, F.lit(None).cast("double"), lambda a, v: F.when(a.isNull() | (F.abs(v) > F.abs(a)), v).otherwise(a))
-    return F.when(F.size(numbers) > 0, F.concat(F.lit("num:"), F.format_string("%.6f", most))).otherwise(F.concat(F.lit("txt:"), F.trim(F.lower(text(value)))))
+    return F.when(F.length(plain) == 0, "").when(F.size(numbers) > 0, F.concat(F.lit("num:"), significant(most))).otherwise(F.concat(F.lit("txt:"), plain))
 
 
 def formatted(v: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # All of this block must equal the published behaviour for equal results.
 ABSTAIN_PHRASES = (
@@ -64,13 +68,25 @@ def contains_any(c: Column, phrases: tuple[str, ...]) -> Column:
     return out
 
 
+@F.pandas_udf(StringType())
+def _nfkc(c: pd.Series) -> pd.Series:
+    return c.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+
+
+def compatible(c: Column | str) -> Column:
+    """The text in the form NFKC, which Spark has no function for: texts of ASCII alone stay in the JVM's hands."""
+    t = text(c)
+    other = t.rlike(r"[^\x00-\x7F]")
+    return F.when(other, _nfkc(F.when(other, t))).otherwise(t)
+
+
 def collapsed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
 def normalize_entity_term(c: Column | str) -> Column:
-    """Lower case, runs of _ and - as a space, white space collapsed (F1)."""
-    return collapsed(F.regexp_replace(F.lower(text(c)), r"[_\-]+", " "))
+    """Compatible forms made one, lower case, runs of _ and - as a space, white space collapsed (F1)."""
+    return collapsed(F.regexp_replace(F.lower(compatible(c)), r"[_\-]+", " "))
 
 
 def normalize_doc_key(c: Column | str) -> Column:
@@ -203,8 +219,8 @@ def final_answer(c: Column | str) -> Column:
 
 
 def sanitize_fulltext_query(c: Column | str) -> Column:
-    """Without the operators of a full-text query language, at most 512 characters (V6)."""
-    return F.left(collapsed(F.regexp_replace(text(c), r"[+\-!(){}\[\]^\"~*?:\\/|&`]", " ")), F.lit(512))
+    """Compatible forms made one, without the operators of a full-text query language, at most 512 characters (V6)."""
+    return F.left(collapsed(F.regexp_replace(compatible(c), r"[+\-!(){}\[\]^\"~*?:\\/|&`]", " ")), F.lit(512))
 
 
 def quality_signals(question: Column | str, title: Column | str, chunk: Column | str) -> Column:

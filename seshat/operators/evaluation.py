@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seshat.functions import text as T
+from seshat.operators.ordering import ranked
 
 Z95 = 1.96
 
@@ -88,14 +89,14 @@ def mcnemar(pairs: DataFrame, cut: float = 0.5) -> DataFrame:
 def bootstrap_interval(pairs: DataFrame, key: str, resamples: int = 10_000, seed: int = 13, alpha: float = 0.05) -> DataFrame:
     """mean_difference, low, high: percentile interval of the mean paired difference (A10).
 
-    Each draw is the row whose number is the hash of seed, resample and draw. Rows are numbered by key; the draws of a
-    resample are looked up by equality and averaged before anything is collected.
+    Each draw is the row whose number is the hash of seed, resample and draw. Rows are numbered by key (whole
+    numbers), in spans; the draws are a range over all tasks, looked up by equality and averaged by resample.
     """
     n = pairs.count()
-    d = pairs.select((F.row_number().over(W.orderBy(key)) - 1).cast("long").alias("at"), (F.col("b") - F.col("a")).alias("d"))
+    d = ranked(pairs, [], key, "_at").select((F.col("_at") - 1).cast("long").alias("at"), (F.col("b") - F.col("a")).alias("d"))
     hashed = F.conv(F.left(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("r"), F.col("i"))), F.lit(8)), 16, 10).cast("long")
     spark = pairs.sparkSession
-    draws = spark.range(resamples).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).alias("i")).where(F.lit(n) > 0).select("r", F.pmod(hashed, F.lit(max(1, n))).alias("at"))
+    draws = spark.range(resamples * n).select(F.floor(F.col("id") / max(1, n)).alias("r"), (F.col("id") % max(1, n)).alias("i")).select("r", F.pmod(hashed, F.lit(max(1, n))).alias("at"))
     m = draws.join(d, "at").groupBy("r").agg(F.round(F.avg("d"), 12).alias("m")).withColumn("nth", F.row_number().over(W.orderBy("m", "r")))
     low, high = int(alpha / 2 * resamples), max(0, -(-int((1 - alpha / 2) * resamples * 1000) // 1000) - 1)
     return m.agg(F.max(F.when(F.col("nth") == low + 1, F.col("m"))).alias("low"), F.max(F.when(F.col("nth") == high + 1, F.col("m"))).alias("high")).crossJoin(d.agg(F.avg("d").alias("mean_difference"))).select("mean_difference", "low", "high")

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seshat.operators.ordering import ahead
+
 MOST_DEPTH = 4
 
 
-def next_edges(rows: DataFrame, source: str, order: str, node: str) -> DataFrame:
-    """src, dst: each chunk and the one after it in its source."""
-    n = F.lead(node).over(W.partitionBy(source).orderBy(order))
-    return rows.select(F.col(node).alias("src"), n.alias("dst")).where("dst is not null")
+def next_edges(rows: DataFrame, source: str, order: str, node: str, steps: int = 1) -> DataFrame:
+    """src, dst: each chunk and the one after it, or `steps` on, in its source."""
+    e = ahead(rows.select(source, order, F.col(node).alias("node")) if node not in (source, order) else rows.select(source, order).withColumn("node", F.col(node)), source, order, ["node"], steps)
+    return e.select(F.col("node").alias("src"), F.col("next_node").alias("dst")).where("dst is not null")
 
 
 def upserted_edges(old: DataFrame, new: DataFrame) -> DataFrame:

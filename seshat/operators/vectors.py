@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seshat.operators.ordering import ahead
+
 MOST_SENT = 50_000
 
 
@@ -49,17 +51,21 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "q
     return ranked.select("query_id", F.col(row_id).alias("id"), "score", "rank")
 
 
-def blocked_knn(rows: DataFrame, k: int, block: str, row_id: str, vector: str, other_than: str | None = None) -> DataFrame:
+def blocked_knn(rows: DataFrame, k: int, block: str, row_id: str, vector: str, other_than: str | None = None, tiles: int = 16) -> DataFrame:
     """src, dst, score, rank: the k nearest others of each row within its block.
 
-    `other_than`: a column in which both must differ, as sources do for edges between documents.
+    `other_than`: a column in which both must differ, as sources do for edges between documents; the k nearest are
+    taken before rows of the same value are left out. A block is met in `tiles` parts of its rows, each with the whole
+    block, so that a block with a third of all rows is compared by many tasks.
     """
     a = rows.select(F.col(block).alias("b"), F.col(row_id).alias("src"), F.col(vector).alias("sv"), norm(vector).alias("sn"), F.col(other_than or row_id).alias("so"))
     b = rows.select(F.col(block).alias("b"), F.col(row_id).alias("dst"), F.col(vector).alias("dv"), norm(vector).alias("dn"), F.col(other_than or row_id).alias("do"))
-    pairs = a.join(b, "b").where((F.col("src") != F.col("dst")) & (F.col("so") != F.col("do")))
+    a = a.withColumn("tile", F.pmod(F.xxhash64("src"), F.lit(tiles)).cast("int"))
+    pairs = a.join(b.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))), ["b", "tile"]).where(F.col("src") != F.col("dst"))
     score = F.coalesce(F.try_divide(dot("sv", "dv"), F.col("sn") * F.col("dn")), F.lit(0.0))
     w = W.partitionBy("src").orderBy(F.desc("score"), "dst")
-    return pairs.select("src", "dst", score.alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    near = pairs.select("src", "dst", score.alias("score"), (F.col("so") != F.col("do")).alias("differ")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (near if other_than is None else near.where("differ")).drop("differ")
 
 
 def pruned_edges(candidates: DataFrame, least: float, most: int = 5) -> DataFrame:
@@ -70,11 +76,14 @@ def pruned_edges(candidates: DataFrame, least: float, most: int = 5) -> DataFram
 
 def adjacent_similarity(rows: DataFrame, key: list[str], order: str, vector: str) -> DataFrame:
     """Cosine of each row with the next of its group (W2); null for the last."""
-    n = F.lead(vector).over(W.partitionBy(*key).orderBy(order))
-    return rows.withColumn("next_similarity", F.when(n.isNotNull(), cosine(F.col(vector), n)))
+    if len(key) != 1:
+        n = F.lead(vector).over(W.partitionBy(*key).orderBy(order))
+        return rows.withColumn("next_similarity", F.when(n.isNotNull(), cosine(F.col(vector), n)))
+    r = ahead(rows.select("*", F.col(vector).alias("_v")), key[0], order, [*rows.columns, "_v"])
+    return r.select(*rows.columns, F.when(F.col("next__v").isNotNull(), cosine(F.col(vector), F.col("next__v"))).alias("next_similarity"))
 
 
-def question_edges(pending: DataFrame, answerable: DataFrame, block: str, top: int = 30) -> DataFrame:
+def question_edges(pending: DataFrame, answerable: DataFrame, block: str, top: int = 30, tiles: int = 16) -> DataFrame:
     """question, node_x, node_y, similarity: answerable candidates of each pending question.
 
     pending: block, question, node, vector, keywords; answerable: block, node, vector, keywords. Dot product, the best
@@ -82,7 +91,9 @@ def question_edges(pending: DataFrame, answerable: DataFrame, block: str, top: i
     """
     p = pending.select(F.col(block).alias("b"), "question", F.col("node").alias("node_x"), F.col("vector").alias("vx"), F.col("keywords").alias("kx"))
     a = answerable.select(F.col(block).alias("b"), F.col("node").alias("node_y"), F.col("question").alias("question_y"), F.col("vector").alias("vy"), F.col("keywords").alias("ky"))
-    pairs = p.join(a, "b").withColumn("dot", dot("vx", "vy"))
+    p = p.withColumn("tile", F.pmod(F.xxhash64("question"), F.lit(tiles)).cast("int"))
+    a = a.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    pairs = p.join(a, ["b", "tile"]).withColumn("dot", dot("vx", "vy"))
     pairs = pairs.withColumn("r", F.row_number().over(W.partitionBy("question").orderBy(F.desc("dot"), "question_y"))).where(F.col("r") <= top).where("node_x <> node_y")
     shared = F.coalesce(F.try_divide(F.size(F.array_intersect("kx", "ky")), F.size(F.array_union("kx", "ky"))), F.lit(0.0))
     return pairs.select("question", "question_y", "node_x", "node_y", (F.col("dot") + shared).alias("similarity"))

@@ -16,6 +16,8 @@ from seshat.operators import chunking as C
 from seshat.operators import evaluation as E
 from seshat.operators import evidence as L
 from seshat.operators import fulltext, fusion, graph
+from seshat.operators import retrieval as R
+from seshat.operators import slots as SL
 from seshat.operators import states as S_
 from seshat.operators import vectors as V
 from seshat.sources import tables as S
@@ -105,9 +107,8 @@ def table_runs(spark, sf):
 
 @query("""SELECT source, arg_min(text, doc_id) IS NOT NULL AS has_text, count(DISTINCT lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS n_distinct FROM documents GROUP BY source""")
 def dedupe_values(spark, sf):
-    d = table(spark, sf, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("v"))
-    kept = T.distinct_in_order(F.transform("v", lambda x: x["text"]))
-    return d.select("source", (F.size("v") > 0).alias("has_text"), F.size(kept).cast("long").alias("n_distinct"))
+    kept = C.first_values(table(spark, sf, "documents"), ["source"], "text", "doc_id")
+    return kept.groupBy("source").agg((F.count("text") > 0).alias("has_text"), F.count("*").alias("n_distinct"))
 
 
 @query("SELECT lang, min(source) AS company FROM documents GROUP BY lang")
@@ -145,14 +146,20 @@ bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 """
 
 
-def _bm25(spark, sf, k: int = 10) -> DataFrame:
+def _postings(spark, sf) -> fulltext.Postings:
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return fulltext.bm25_top_k(q, table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), k)
+    return fulltext.postings(q, table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+
+
+def _channels(spark, sf, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Word overlap and BM25, from one pass over the documents."""
+    p = _postings(spark, sf)
+    return fulltext.overlap(p, k), fulltext.bm25(p, k)
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM bm25")
 def bm25_topk(spark, sf):
-    return _bm25(spark, sf).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+    return fulltext.bm25(_postings(spark, sf), 10).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 OVERLAP_SQL = """
@@ -162,15 +169,6 @@ lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 """
 
 
-def _overlap(spark, sf, k: int = 10) -> DataFrame:
-    """A second channel: the share of a query's words that a document holds."""
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(fulltext.terms("text"))).alias("term"))
-    n = q.groupBy("query_id").agg(F.count("*").alias("n"))
-    r = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(fulltext.terms("text"))).alias("term"))
-    hit = r.join(V.sent(q), "term").groupBy("query_id", "id").agg(F.count("*").alias("h")).join(V.sent(n), "query_id")
-    return fusion.top(hit.select("query_id", "id", F.round(F.col("h") / F.col("n"), 10).alias("score")), k)
-
-
 RRF_SQL = f"""{BM25_SQL}, {OVERLAP_SQL},
 fused AS (SELECT query_id, id, round(sum(s), 10) AS score FROM (
     SELECT query_id, id, 1.3 / (60 + rank - 1) AS s FROM lex UNION ALL SELECT query_id, id, 1.0 / (60 + rank - 1) FROM bm25) GROUP BY query_id, id),
@@ -180,7 +178,8 @@ rrf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 @query(f"WITH {RRF_SQL} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, score FROM rrf")
 def rrf_hybrid_topk(spark, sf):
-    return fusion.rrf([(_overlap(spark, sf), fusion.VECTOR_WEIGHT), (_bm25(spark, sf), fusion.TEXT_WEIGHT)], 10).select("query_id", "rank", "id", "score")
+    lex, bm25 = _channels(spark, sf)
+    return fusion.rrf([(lex, fusion.VECTOR_WEIGHT), (bm25, fusion.TEXT_WEIGHT)], 10).select("query_id", "rank", "id", "score")
 
 
 @query(f"""WITH {RRF_SQL},
@@ -192,7 +191,7 @@ j AS (SELECT coalesce(a.query_id, b.query_id, c.query_id) AS query_id, coalesce(
 SELECT query_id, id, stage1, stage2, support, score, CAST(rank AS INTEGER) AS rank FROM (
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT *, round(stage1 + stage2 + support, 10) AS score FROM j)) WHERE rank <= 96""")
 def two_stage_fusion(spark, sf):
-    bm25, lex = _bm25(spark, sf), _overlap(spark, sf)
+    lex, bm25 = _channels(spark, sf)
     rrf = fusion.rrf([(lex, fusion.VECTOR_WEIGHT), (bm25, fusion.TEXT_WEIGHT)], 10)
     first = fusion.weighted_variants([(rrf, 0.7), (bm25, 0.3)])
     sure = first.select("query_id").distinct().withColumn("rerank", F.lit(1.0))
@@ -204,7 +203,8 @@ s AS (SELECT *, round(CAST(len(list_intersect({TOKENS.format("query")}, {TOKENS.
 g AS (SELECT *, rerank >= 0.9 AS gated, row_number() OVER (PARTITION BY query_id, rerank >= 0.9 ORDER BY rerank DESC, id) AS n FROM s)
 SELECT query_id, id, gated, rerank, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gated DESC, rerank DESC, id) AS place FROM g WHERE NOT gated OR n <= 4) WHERE place <= 4""")
 def gate_topup(spark, sf):
-    rrf = fusion.rrf([(_overlap(spark, sf), fusion.VECTOR_WEIGHT), (_bm25(spark, sf), fusion.TEXT_WEIGHT)], 10)
+    lex, bm25 = _channels(spark, sf)
+    rrf = fusion.rrf([(lex, fusion.VECTOR_WEIGHT), (bm25, fusion.TEXT_WEIGHT)], 10)
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     c = rrf.join(d, "id").join(b, "query_id").withColumn("rerank", F.round(fusion.lexical_rerank(F.col("query"), F.col("text")), 10)).withColumn("final_score", F.col("rerank"))
@@ -305,7 +305,7 @@ r AS (SELECT doc_id AS seed, doc_id AS node, 0 AS depth FROM documents WHERE doc
 SELECT seed, node, min(depth) AS depth FROM r GROUP BY seed, node""")
 def reachability_depth(spark, sf):
     d = table(spark, sf, "documents")
-    hop = d.select(F.col("doc_id").alias("src"), F.lead("doc_id", 7).over(W.partitionBy("lang").orderBy("doc_id")).alias("dst")).where("dst is not null")
+    hop = graph.next_edges(d, "lang", "doc_id", "doc_id", 7)
     edges = graph.next_edges(d, "source", "doc_id", "doc_id").union(hop).distinct()
     return graph.reachable(edges, d.where("doc_id % 50 = 0").select(F.col("doc_id").alias("seed")), 4)
 
@@ -385,11 +385,11 @@ def mcnemar(spark, sf):
 
 
 @query(f"""WITH p AS (SELECT row_number() OVER (ORDER BY k) - 1 AS pos, b - a AS d, count(*) OVER () AS n FROM {PAIRED}),
-dr AS (SELECT r, CAST(('0x' || substr(md5('13-' || r || '-' || i), 1, 8)) AS BIGINT) % n AS pos FROM range(0, 200) AS a(r), (SELECT any_value(n) AS n FROM p), LATERAL (SELECT unnest(range(0, n)) AS i)),
+dr AS (SELECT r, CAST(('0x' || substr(md5('13-' || r || '-' || i), 1, 8)) AS BIGINT) % n AS pos FROM range(0, 10000) AS a(r), (SELECT any_value(n) AS n FROM p), LATERAL (SELECT unnest(range(0, n)) AS i)),
 m AS (SELECT r, round(avg(d), 12) AS m FROM dr JOIN p USING (pos) GROUP BY r), o AS (SELECT m, row_number() OVER (ORDER BY m, r) AS nth FROM m)
-SELECT round((SELECT avg(d) FROM p), 9) AS mean_difference, round(max(m) FILTER (nth = 6), 9) AS low, round(max(m) FILTER (nth = 195), 9) AS high FROM o""")
+SELECT round((SELECT avg(d) FROM p), 9) AS mean_difference, round(max(m) FILTER (nth = 251), 9) AS low, round(max(m) FILTER (nth = 9750), 9) AS high FROM o""")
 def bootstrap_ci(spark, sf):
-    out = E.bootstrap_interval(_pairs(spark, sf), "k", resamples=200)
+    out = E.bootstrap_interval(_pairs(spark, sf), "k")
     return out.select(*(F.round(c, 9).alias(c) for c in ("mean_difference", "low", "high")))
 
 
@@ -405,9 +405,9 @@ def question_counts(spark, sf):
 
 
 @query("""SELECT coalesce(a.source, b.source) AS source, coalesce(a.m, 0) AS m_a, coalesce(b.m, 0) AS m_b, coalesce(b.m, 0) - coalesce(a.m, 0) AS m_delta FROM
-(SELECT source, CAST(max(n_chars) AS DOUBLE) AS m FROM documents WHERE lang <> 'es' AND doc_id < 60 GROUP BY source) a FULL JOIN (SELECT source, CAST(max(n_chars) AS DOUBLE) AS m FROM documents WHERE lang <> 'en' AND doc_id < 60 GROUP BY source) b ON a.source = b.source""")
+(SELECT source, CAST(max(n_chars) AS DOUBLE) AS m FROM documents WHERE lang <> 'es' GROUP BY source) a FULL JOIN (SELECT source, CAST(max(n_chars) AS DOUBLE) AS m FROM documents WHERE lang <> 'en' GROUP BY source) b ON a.source = b.source""")
 def run_compare(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id < 60")
+    d = table(spark, sf, "documents")
     run = lambda c: d.where(c).groupBy("source").agg(F.max("n_chars").cast("double").alias("m"))
     return E.compared(run("lang <> 'es'"), run("lang <> 'en'"), "source", ["m"])
 
@@ -763,3 +763,442 @@ def metric_proximity(spark, sf):
 def relevant_spans(spark, sf):
     b = table(spark, sf, "benchmark")
     return b.select("item_id", F.md5(S_.relevant_span("text", F.array(F.lit("zzzz"), F.lit("tion")), 60, F.lit(False))).alias("span_md5"))
+
+
+# --- whole searches ----------------------------------------------------------------------------------------------
+
+
+def _judge(spark, sf):
+    """Rows judged by the share of the query's words they hold; a query's company is a source, marked by its number."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang")
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("company"))
+
+    def judge(rows: DataFrame) -> DataFrame:
+        j = rows.join(d, "id").join(V.sent(b), "query_id")
+        return j.select("query_id", "id", F.round(fusion.lexical_rerank(F.col("query"), F.col("text")), 10).alias("rerank"), (F.col("company") == F.col("source")).alias("match"), F.when(F.col("company") == F.col("source"), 0.35).otherwise(0.0).alias("meta_boost"), F.when(F.col("lang") == "es", 0.18).otherwise(0.0).alias("boilerplate_penalty"))
+
+    return judge
+
+
+JUDGED_SQL = f"""SELECT c.query_id, c.id, 'src' || (c.query_id % 20) = d.source AS match, round(CAST(len(list_intersect({TOKENS.format("b.text")}, {TOKENS.format("d.text")})) AS DOUBLE) / len({TOKENS.format("b.text")}), 10) AS rerank,
+CASE WHEN 'src' || (c.query_id % 20) = d.source THEN 0.35 ELSE 0.0 END AS boost, CASE WHEN d.lang = 'es' THEN 0.18 ELSE 0.0 END AS penalty FROM {{0}} c JOIN documents d ON d.doc_id = c.id JOIN benchmark b ON b.item_id = c.query_id"""
+SELECTED_SQL = """SELECT query_id, id, rerank, final_score, gated, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gated DESC, final_score DESC, id) AS place FROM (
+SELECT *, rerank >= 0.4 AS gated, row_number() OVER (PARTITION BY query_id, rerank >= 0.4 ORDER BY final_score DESC, id) AS n FROM (
+SELECT *, round(rerank + 0.5 * boost - 0.25 * penalty, 10) AS final_score, bool_or(match) OVER (PARTITION BY query_id) AS any_match FROM ({0})) WHERE {1}) WHERE NOT gated OR n <= {2}) WHERE place <= {2}"""
+
+
+@query(f"""WITH {BM25_SQL}, {OVERLAP_SQL},
+fused AS (SELECT query_id, id, round(sum(s), 10) AS score FROM (SELECT query_id, id, 1.3 / (60 + rank - 1) AS s FROM lex UNION ALL SELECT query_id, id, 1.0 / (60 + rank - 1) FROM bm25) GROUP BY query_id, id)
+SELECT query_id, id, rerank, final_score, gated, CAST(place AS INTEGER) AS place FROM ({SELECTED_SQL.format(JUDGED_SQL.format("fused"), "TRUE", 5)})""")
+def hybrid_search(spark, sf):
+    lex, bm25 = _channels(spark, sf)
+    return R.hybrid_search(lex, bm25, _judge(spark, sf), 5)
+
+
+@query(f"""WITH {RRF_SQL},
+first AS (SELECT query_id, id, round(sum(s), 10) AS score FROM (SELECT query_id, id, 0.7 / (60 + rank - 1) AS s FROM rrf UNION ALL SELECT query_id, id, 0.3 / (60 + rank - 1) FROM bm25) GROUP BY ALL),
+chosen AS ({SELECTED_SQL.format(JUDGED_SQL.format("first"), "match OR NOT any_match", 5)}),
+ask AS (SELECT query_id FROM chosen GROUP BY query_id HAVING count(*) < 5 OR arg_min(rerank, place) < 0.48),
+more AS (SELECT query_id, id, round(sum(s), 10) AS score FROM (SELECT query_id, id, score AS s FROM first UNION ALL SELECT query_id, id, 0.6 / (60 + rank - 1) FROM lex UNION ALL SELECT query_id, id, 0.4 / (60 + rank - 1) FROM rrf) WHERE query_id IN (SELECT query_id FROM ask) GROUP BY ALL),
+wide AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM more) WHERE r <= 40),
+anew AS ({SELECTED_SQL.format(JUDGED_SQL.format("wide"), "match OR NOT any_match", 5)})
+SELECT query_id, id, rerank, final_score, gated, CAST(place AS INTEGER) AS place, expanded FROM (SELECT *, false AS expanded FROM chosen WHERE query_id NOT IN (SELECT query_id FROM ask) UNION ALL SELECT *, true FROM anew)""")
+def two_stage_retrieve(spark, sf):
+    lex, bm25 = _channels(spark, sf)
+    rrf = fusion.rrf([(lex, fusion.VECTOR_WEIGHT), (bm25, fusion.TEXT_WEIGHT)], 10)
+    return R.two_stage_retrieve(rrf, bm25, lex, _judge(spark, sf), 5)
+
+
+# --- slots -------------------------------------------------------------------------------------------------------
+
+
+def _esc(s: str) -> str:
+    return s.replace("'", "''")
+
+
+STRIP_SQL = "regexp_replace({0}, '^[ ,?.!;:()\\[\\]{{}}\"'']+|[ ,?.!;:()\\[\\]{{}}\"'']+$', '', 'g')"
+NAMED_SQL = f"""WITH p AS (SELECT item_id, list_transform(regexp_extract_all(text, '{_esc(SL.NAME)}'), lambda m: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({STRIP_SQL.format("m")}, '\\s+', ' ', 'g'), '(?i)^(?:(?:{"|".join(SL.QUESTION_WORDS)})(?:\\s+|$))+', ''), '(?i)(?:(?:^|\\s+)(?:{"|".join(SL.SMALL_WORDS)}))+$', ''), '\\s+', ' ', 'g'))) AS v FROM (SELECT item_id, 'Which ' || text || ' of AMD Corp and Best Buy Co. and the' AS text FROM benchmark)),
+e AS (SELECT item_id, i, v[i] AS x, list_filter(list_transform(string_split_regex(v[i], '(?i)\\band\\b'), lambda y: trim(y)), lambda y: length(y) > 0) AS s FROM p, unnest(range(1, len(v) + 1)) AS u(i)),
+f AS (SELECT item_id, i, CASE WHEN contains(lower(x), ' and ') AND len(s) >= 2 AND len(list_filter(s, lambda y: NOT contains(y, ' '))) = 0 THEN s ELSE [x] END AS s FROM e),
+g AS (SELECT item_id, i, j, s[j] AS x FROM f, unnest(range(1, len(s) + 1)) AS u(j) WHERE length(s[j]) > 0)
+SELECT item_id, x AS entity FROM (SELECT *, row_number() OVER (PARTITION BY item_id, lower(x) ORDER BY i, j) AS r FROM g) WHERE r = 1"""
+
+
+@query(NAMED_SQL)
+def named_entities(spark, sf):
+    b = table(spark, sf, "benchmark").select("item_id", F.concat(F.lit("Which "), "text", F.lit(" of AMD Corp and Best Buy Co. and the")).alias("q"))
+    return b.select("item_id", F.explode(SL.named_entities("q")).alias("entity"))
+
+
+METRICS = ("Capex FY2018", "revenue", "Net Sales 2020", "total current assets", "quick ratio", "operating cash flow", "PP&E", "dividend trend", "EBITDA", "", "adjusted EPS", "fixed asset turnover", "organic growth")
+METRIC_LIST = "[" + ", ".join(f"'{m}'" for m in METRICS) + "]"
+ALIAS_ROWS = ", ".join(f"([{', '.join(repr(x) for x in t)}], [{', '.join(repr(x) for x in n)}])" for t, n in SL.ALIASES)
+METRIC_SQL = f"""names AS (SELECT DISTINCT m FROM (SELECT unnest({METRIC_LIST}) AS m)),
+alias AS (SELECT * FROM (VALUES {ALIAS_ROWS}) AS t(triggers, names)),
+canon AS (SELECT m, trim(regexp_replace(regexp_replace(regexp_replace(lower(m), '(fy\\s*)?(19|20)[0-9][0-9]', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g')) AS c FROM names),
+terms AS (SELECT DISTINCT m, t FROM (
+    SELECT m, unnest([c, lower(trim(m))]) AS t FROM canon UNION ALL SELECT m, unnest(string_split_regex(lower(m), '[^a-z0-9]+')) FROM canon
+    UNION ALL SELECT m, unnest(a.names) FROM canon JOIN alias a ON len(list_filter(a.triggers, lambda x: contains(lower(m), x))) > 0) WHERE length(t) >= 4),
+ckey AS (SELECT DISTINCT c AS k, t FROM (SELECT c, unnest(string_split_regex(c, '[^a-z0-9]+')) AS t FROM canon UNION ALL SELECT c, c FROM canon
+    UNION ALL SELECT c, unnest(a.names) FROM canon JOIN alias a ON len(list_filter(a.triggers, lambda x: contains(c, x))) > 0) WHERE length(t) >= 4),
+alike AS (SELECT a.m AS a, b.m AS b FROM canon a, canon b WHERE a.c <> '' AND b.c <> '' AND (contains(a.c, b.c) OR contains(b.c, a.c) OR EXISTS (SELECT 1 FROM ckey x JOIN ckey y ON x.t = y.t WHERE x.k = a.c AND y.k = b.c)))"""
+
+
+def _metrics(spark, sf) -> DataFrame:
+    names = F.array(*map(F.lit, METRICS))
+    pick = lambda c: F.element_at(names, (c % len(METRICS) + 1).cast("int"))
+    return table(spark, sf, "events").select("event_id", pick(F.col("event_id")).alias("a"), pick(F.floor(F.col("event_id") / 13)).alias("b"))
+
+
+@query(f"WITH {METRIC_SQL} SELECT event_id, alike.a IS NOT NULL AS same FROM (SELECT event_id, {METRIC_LIST}[event_id % 13 + 1] AS x, {METRIC_LIST}[event_id // 13 % 13 + 1] AS y FROM events) LEFT JOIN alike ON alike.a = x AND alike.b = y")
+def metric_matches(spark, sf):
+    return _metrics(spark, sf).select("event_id", SL.metric_matches("a", "b").alias("same"))
+
+
+@query(f"WITH {METRIC_SQL}, long AS (SELECT m, count(*) AS n FROM terms GROUP BY m) SELECT event_id, coalesce(n, 0) AS n_terms FROM (SELECT event_id, {METRIC_LIST}[event_id % 13 + 1] AS x FROM events) LEFT JOIN long ON m = x")
+def metric_terms(spark, sf):
+    n = F.size(F.filter(SL.metric_terms("a"), lambda t: F.length(t) >= 4)).cast("long")
+    return _metrics(spark, sf).select("event_id", n.alias("n_terms"))
+
+
+CITED = """SELECT event_id, 5000 + event_id AS v, 'FY' || (2018 + event_id % 4) AS period, CASE WHEN event_id % 6 = 0 THEN 'X_' || (2018 + event_id % 3) || '_10K' ELSE 'X_10K' END AS title,
+CASE event_id % 3 WHEN 0 THEN 'three months ended ' WHEN 1 THEN 'year ended ' ELSE 'in ' END || (2018 + event_id % 5) || ' revenue was $' || (5000 + event_id + CASE WHEN event_id % 7 = 0 THEN 300 ELSE 0 END) || ' million' AS span FROM events"""
+
+
+def _cited(spark, sf) -> DataFrame:
+    i = F.col("event_id")
+    opening = F.when(i % 3 == 0, "three months ended ").when(i % 3 == 1, "year ended ").otherwise("in ")
+    off = F.when(i % 7 == 0, 300).otherwise(0)
+    return table(spark, sf, "events").select("event_id", (i + 5000).cast("string").alias("v"), F.concat(F.lit("FY"), i % 4 + 2018).alias("period"), F.when(i % 6 == 0, F.concat(F.lit("X_"), i % 3 + 2018, F.lit("_10K"))).otherwise("X_10K").alias("title"), F.concat(opening, (i % 5 + 2018).cast("string"), F.lit(" revenue was $"), (i + 5000 + off).cast("string"), F.lit(" million")).alias("span"))
+
+
+@query(f"""SELECT event_id, NOT (contains(span, y) AND NOT contains(span, CAST(v AS VARCHAR))) AND NOT (title <> 'X_10K' AND NOT contains(title, y)) AND NOT contains(span, 'three months') AS fits
+FROM (SELECT *, substr(period, 3) AS y FROM ({CITED}))""")
+def period_grounding(spark, sf):
+    return _cited(spark, sf).select("event_id", SL.value_matches_period("v", "period", "title", "span").alias("fits"))
+
+
+@query("SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 THEN 2 WHEN event_id % 3 = 1 THEN 1 ELSE 0 END AS INTEGER) AS n FROM events")
+def ledger_matches(spark, sf):
+    i = (F.col("event_id") * 10 + 10_000).cast("string")
+    e = table(spark, sf, "events").select("event_id", F.concat(F.lit("("), i, F.lit(" - "), i, F.lit(") / 7")).alias("x"), F.when(F.col("event_id") % 3 == 0, F.array(F.concat(F.lit("$"), i), i)).when(F.col("event_id") % 3 == 1, F.array(F.concat(i, F.lit(".5")), F.lit("8"))).otherwise(F.array(F.lit("n/a"))).alias("values"))
+    return e.select("event_id", SL.ledger_matches("x", F.col("values")).alias("n"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 2 = 0 THEN format('{:.2f}', (event_id + 4) * 3 / 8) ELSE CAST(event_id * 3 + 12 AS VARCHAR) END AS result, event_id % 5 = 0 AS failed FROM events")
+def calculator_calls(spark, sf):
+    i = F.col("event_id").cast("string")
+    x = F.when(F.col("event_id") % 5 == 0, F.concat(i, F.lit(" / (3 - 3)"))).when(F.col("event_id") % 2 == 0, F.concat(F.lit("($"), i, F.lit(" + 4) * 3 / 2 ** 3"))).otherwise(F.concat(F.lit("("), i, F.lit(" + 4) * 3%")))
+    e = table(spark, sf, "events").select("event_id", SL.calculated(x, F.when(F.col("event_id") % 2 == 0, 2)).alias("c"))
+    return e.select("event_id", "c.result", F.col("c.error").isNotNull().alias("failed"))
+
+
+#: Required slots of each of ten queries, and what cites them: one entry an event, of every kind that is rejected.
+SLOT_SQL = """req AS (SELECT q AS query_id, k AS slot_key, 'AMD' AS entity, p AS period, m AS metric, a AS source_anchor FROM range(0, 10) AS t(q), (VALUES ('rev18', 'FY2018', 'revenue', ''), ('rev19long', 'FY2019', 'revenue', ''), ('cap', 'FY2019', 'capex', 'cash flow statement')) AS s(k, p, m, a)),
+ent AS (SELECT event_id % 10 AS query_id, event_id AS nth, CASE event_id % 17 WHEN 0 THEN 'rev18' WHEN 1 THEN '' WHEN 2 THEN 'cap' ELSE 'other' END AS slot_key,
+    CASE WHEN event_id % 19 = 5 THEN 'Intel' ELSE 'AMD' END AS entity, CASE event_id % 4 WHEN 0 THEN 'FY2018' WHEN 1 THEN 'FY2019' WHEN 2 THEN 'FY2021' ELSE '' END AS period,
+    CASE event_id % 5 WHEN 0 THEN 'capex' WHEN 1 THEN 'EBITDA' ELSE 'revenue' END AS metric, CASE WHEN event_id % 23 = 1 THEN 'balance sheet' ELSE '' END AS source_anchor,
+    'AMD_' || CASE event_id % 3 WHEN 0 THEN '2018_' WHEN 1 THEN '2019_' ELSE '' END || '10K' AS title FROM events)"""
+
+
+def _slot_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
+    rows = "('rev18', 'FY2018', 'revenue', ''), ('rev19long', 'FY2019', 'revenue', ''), ('cap', 'FY2019', 'capex', 'cash flow statement')"
+    required = spark.range(10).select(F.col("id").alias("query_id")).crossJoin(F.broadcast(values(spark, rows, "slot_key, period, metric, source_anchor"))).withColumn("entity", F.lit("AMD"))
+    i = F.col("event_id")
+    by = lambda n, cases, other: _cases(i % n, cases, other)
+    e = table(spark, sf, "events").select(
+        (i % 10).alias("query_id"), i.alias("nth"), by(17, {0: "rev18", 1: "", 2: "cap"}, "other").alias("slot_key"), by(19, {5: "Intel"}, "AMD").alias("entity"), by(4, {0: "FY2018", 1: "FY2019", 2: "FY2021"}, "").alias("period"),
+        by(5, {0: "capex", 1: "EBITDA"}, "revenue").alias("metric"), by(23, {1: "balance sheet"}, "").alias("source_anchor"), F.concat(F.lit("AMD_"), by(3, {0: "2018_", 1: "2019_"}, ""), F.lit("10K")).alias("title"),
+        (i + 5000).cast("string").alias("value"), F.concat(F.lit("spent "), (i + 5000).cast("string")).alias("span"),
+    )
+    return e, required
+
+
+def _cases(c, cases: dict, other):
+    out = F.lit(other)
+    for k, v in cases.items():
+        out = F.when(c == k, v).otherwise(out)
+    return out
+
+
+@query(f"""WITH {SLOT_SQL},
+j AS (SELECT e.*, r.slot_key AS r_key, r.period AS rp, r.metric AS rm, r.source_anchor AS ra, CASE WHEN e.metric <> r.metric THEN 1 WHEN e.period <> '' AND e.period <> r.period THEN 2 WHEN e.entity <> r.entity THEN 3 WHEN e.source_anchor <> '' AND r.source_anchor <> '' AND e.source_anchor <> r.source_anchor THEN 4 ELSE 0 END AS why FROM ent e JOIN req r USING (query_id)),
+g AS (SELECT query_id, nth, min(r_key) FILTER (r_key = slot_key) AS exact, count(*) FILTER (why = 0) AS n, min(r_key) FILTER (why = 0) AS one, count(*) FILTER (why = 0 AND contains(title, substr(rp, 3))) AS nt, min(r_key) FILTER (why = 0 AND contains(title, substr(rp, 3))) AS t, count(*) FILTER (why = 0 AND contains(CAST(5000 + nth AS VARCHAR), substr(rp, 3))) AS nn, min(r_key) FILTER (why = 0 AND contains(CAST(5000 + nth AS VARCHAR), substr(rp, 3))) AS nk,
+    arg_max(r_key, length(r_key)) FILTER (why = 0) AS longest, count(*) FILTER (why = 1) AS w1, count(*) FILTER (why = 2) AS w2, count(*) FILTER (why = 3) AS w3, count(*) FILTER (why = 4) AS w4 FROM j GROUP BY ALL)
+SELECT query_id, nth, CASE WHEN exact IS NOT NULL THEN exact WHEN n = 1 THEN one WHEN n > 1 AND nt = 1 THEN t WHEN n > 1 AND nn = 1 THEN nk WHEN n > 1 THEN longest END AS required_key,
+CASE WHEN exact IS NOT NULL THEN 'exact_slot_match' WHEN n = 1 THEN 'structural_slot_match' WHEN n > 1 AND (nt = 1 OR nn = 1) THEN 'structural_slot_tiebreak_year_hint' WHEN n > 1 THEN 'structural_slot_tiebreak'
+    WHEN w1 = greatest(w1, w2, w3, w4) THEN 'metric_mismatch' WHEN w2 = greatest(w1, w2, w3, w4) THEN 'period_mismatch' WHEN w3 = greatest(w1, w2, w3, w4) THEN 'entity_mismatch' ELSE 'anchor_mismatch' END AS match FROM g""")
+def slot_resolution(spark, sf):
+    e, required = _slot_tables(spark, sf)
+    return SL.resolved_slots(e, required).select("query_id", "nth", "required_key", "match")
+
+
+#: Entries with the slot they were resolved to and the span they cite, so that each reason of the cascade comes up.
+ACCEPT_SQL = """SELECT event_id % 50 AS query_id, event_id AS nth, CASE WHEN event_id % 29 = 1 THEN '' ELSE 's' END AS slot_key, CASE WHEN event_id % 31 = 2 THEN '' WHEN event_id % 37 = 3 THEN 'N/A' WHEN event_id % 41 = 4 THEN (5000 + event_id % 100) || ' %' ELSE CAST(5000 + event_id % 100 AS VARCHAR) END AS value,
+CASE WHEN event_id % 43 = 5 THEN '' WHEN event_id % 47 = 6 THEN 'AMD page 1' ELSE '[[' || CASE WHEN event_id % 13 = 7 THEN 'Intel' ELSE 'AMD' END || '_' || CASE WHEN event_id % 11 = 8 THEN 2020 ELSE 2019 END || '_10K, Page 1, Chunk ' || event_id % 3 || ']]' END AS citation,
+CASE WHEN event_id % 17 = 9 THEN NULL ELSE CASE WHEN event_id % 19 = 3 THEN 'three months ended: ' ELSE 'note: ' END || CASE event_id % 5 WHEN 0 THEN 'capital expenditures' WHEN 1 THEN 'capital expenditures % of revenue' WHEN 2 THEN 'machines' ELSE 'net revenues' END || CASE WHEN event_id % 23 = 0 THEN ' were low n/a' ELSE ' of 50 in all n/a ' || (5000 + event_id % 100) || ' % ' END || CASE WHEN event_id % 3 = 0 THEN ' cash flow' ELSE '' END END AS span,
+CASE WHEN event_id % 53 = 0 THEN NULL ELSE 's' END AS required_key, 'period_mismatch' AS match, 'AMD' AS r_entity, 'FY2019' AS r_period, CASE WHEN event_id % 2 = 0 THEN 'capex' ELSE 'revenue' END AS r_metric, CASE WHEN event_id % 4 = 0 THEN 'cash flow statement' ELSE '' END AS r_source_anchor, '' AS anchor, CASE WHEN event_id % 7 = 0 THEN 'compute' ELSE 'extract' END AS answer_type FROM events"""
+
+
+@query(f"""WITH e AS ({ACCEPT_SQL}), c AS (SELECT *, coalesce(span, '') AS s, coalesce(value = '' OR contains(lower(span), lower(value)), false) AS g, r_metric = 'capex' AS capex, r_source_anchor <> '' AS cash FROM e),
+r AS (SELECT *, CASE WHEN slot_key = '' THEN 'missing_slot' WHEN value = '' THEN 'missing_value' WHEN citation = '' THEN 'missing_citation' WHEN NOT contains(citation, '[[') THEN 'invalid_citation_format' WHEN span IS NULL THEN 'citation_not_in_context'
+    WHEN required_key IS NULL THEN match WHEN contains(citation, 'Intel') THEN 'entity_mismatch' WHEN answer_type <> 'compute' AND contains(citation, '2020') THEN 'citation_period_mismatch'
+    WHEN g AND (contains(citation, '2020') OR contains(s, 'three months')) THEN 'value_period_mismatch'
+    WHEN NOT g AND NOT (capex AND cash AND regexp_matches(s, '[0-9]') AND contains(s, 'capital expenditure')) THEN 'value_not_in_cited_span'
+    WHEN answer_type = 'compute' AND NOT capex AND NOT (contains(s, 'net revenues') OR contains(s, 'revenue')) THEN 'value_not_near_metric_term'
+    WHEN contains(value, '%') THEN 'percent_value_for_amount_slot' WHEN cash AND NOT contains(s, 'cash flow') THEN 'source_anchor_mismatch'
+    WHEN capex AND cash AND NOT contains(s, 'capital expenditure') THEN 'capex_marker_missing' WHEN capex AND cash AND contains(s, '% of revenue') THEN 'capex_ratio_span' WHEN value = 'N/A' THEN 'placeholder_value' END AS reason FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, value, citation ORDER BY nth) AS a, row_number() OVER (PARTITION BY query_id ORDER BY nth) AS b, first_value(value) OVER (PARTITION BY query_id ORDER BY nth) AS v FROM r WHERE reason IS NULL)
+SELECT nth, reason FROM r WHERE reason IS NOT NULL
+UNION ALL SELECT nth, CASE WHEN a > 1 THEN 'duplicate_slot_candidate' WHEN b = 1 THEN NULL WHEN v = value THEN 'duplicate_slot_same_value' ELSE 'slot_conflict_best_supported' END FROM k""")
+def ledger_cascade(spark, sf):
+    i = F.col("event_id")
+    by = lambda n, cases, other: _cases(i % n, cases, other)
+    number = (i % 100 + 5000).cast("string")
+    value = F.when(i % 31 == 2, "").when(i % 37 == 3, "N/A").when(i % 41 == 4, F.concat(number, F.lit(" %"))).otherwise(number)
+    cited = F.concat(F.lit("[["), by(13, {7: "Intel"}, "AMD"), F.lit("_"), by(11, {8: "2020"}, "2019"), F.lit("_10K, Page 1, Chunk "), (i % 3).cast("string"), F.lit("]]"))
+    citation = F.when(i % 43 == 5, "").when(i % 47 == 6, "AMD page 1").otherwise(cited)
+    body = by(5, {0: "capital expenditures", 1: "capital expenditures % of revenue", 2: "machines"}, "net revenues")
+    amount = F.when(i % 23 == 0, " were low n/a").otherwise(F.concat(F.lit(" of 50 in all n/a "), number, F.lit(" % ")))
+    span = F.when(i % 17 != 9, F.concat(by(19, {3: "three months ended: "}, "note: "), body, amount, by(3, {0: " cash flow"}, "")))
+    e = table(spark, sf, "events").select(
+        (i % 50).alias("query_id"), i.alias("nth"), by(29, {1: ""}, "s").alias("slot_key"), value.alias("value"), citation.alias("citation"), span.alias("span"), F.when(i % 53 != 0, "s").alias("required_key"), F.lit("period_mismatch").alias("match"),
+        F.lit("AMD").alias("r_entity"), F.lit("FY2019").alias("r_period"), by(2, {0: "capex"}, "revenue").alias("r_metric"), by(4, {0: "cash flow statement"}, "").alias("r_source_anchor"), F.lit("").alias("anchor"), by(7, {0: "compute"}, "extract").alias("answer_type"),
+    )
+    return SL.acceptance(e).select("nth", "reason")
+
+
+# --- the same operators over whole tables -------------------------------------------------------------------------
+
+
+def _events(spark, sf) -> tuple[DataFrame, F.Column]:
+    return table(spark, sf, "events"), F.col("event_id")
+
+
+@query("SELECT doc_id, upper(CASE WHEN doc_id % 5 = 0 THEN source || '-' || lang ELSE source || '_' || lang END) AS company FROM documents")
+def company_names_all(spark, sf):
+    i = F.col("doc_id")
+    name = F.when(i % 5 == 0, F.concat("source", F.lit("-"), "lang", F.lit(".txt"))).otherwise(F.concat("source", F.lit("_"), "lang", F.lit("_"), (i % 30 + 2000).cast("string"), F.lit("Q1_10K.txt")))
+    return table(spark, sf, "documents").select("doc_id", T.company_from_filename(name).alias("company"))
+
+
+BOILER_SQL = " + ".join("CASE WHEN contains(lower(content), '" + _esc(p) + "') THEN 0.18 ELSE 0.0 END" for p in T.BOILERPLATE_PHRASES)
+MARKED_SQL = " OR ".join(f"contains(lower(content), '{p}')" for p in T.STATEMENT_MARKERS)
+
+
+@query(f"""WITH c AS (SELECT doc_id, ['AMD_2022_10K', 'AMCOR_2022_10K', 'AMD-2019', 'OTHER'][doc_id % 4 + 1] AS title, text || [' We caution about a PENDING MERGER.', ' Total net revenues rose; risk factors.', ''][doc_id % 3 + 1] AS content FROM documents),
+m AS (SELECT doc_id, CASE WHEN contains(title, '2022') THEN 0.25 ELSE 0 END + CASE WHEN contains(title, '10K') THEN 0.15 ELSE 0 END + CASE WHEN contains(title, 'AMD') THEN 0.35 ELSE 0 END AS boost, CASE WHEN contains(title, 'AMD') THEN 0.0 ELSE 0.45 END AS mismatch,
+    least(0.8, greatest(0, {BOILER_SQL} - CASE WHEN {MARKED_SQL} THEN 0.2 ELSE 0 END)) AS boiler FROM c)
+SELECT doc_id, round(CAST(boost AS DOUBLE), 6) AS meta_boost, round(CAST(mismatch AS DOUBLE), 6) AS company_mismatch_penalty, round(CAST(least(1.0, boiler + mismatch) AS DOUBLE), 6) AS boilerplate_penalty, round(CAST(0.8 + 0.5 * boost - 0.25 * least(1.0, boiler + mismatch) AS DOUBLE), 6) AS final_score FROM m""")
+def calibration_all(spark, sf):
+    i = F.col("doc_id")
+    title = _cases(i % 4, {0: "AMD_2022_10K", 1: "AMCOR_2022_10K", 2: "AMD-2019"}, "OTHER")
+    tail = _cases(i % 3, {0: " We caution about a PENDING MERGER.", 1: " Total net revenues rose; risk factors."}, "")
+    d = table(spark, sf, "documents").select("doc_id", F.lit("What was AMD's revenue in 2022 per the 10-K?").alias("query"), title.alias("title"), F.concat("text", tail).alias("content"), F.lit(0.8).alias("rerank"))
+    return fusion.calibrated(d).select("doc_id", *(F.round(F.col(x).cast("double"), 6).alias(x) for x in ("meta_boost", "company_mismatch_penalty", "boilerplate_penalty", "final_score")))
+
+
+@query("SELECT query_id, event_id AS id FROM (SELECT user_id AS query_id, event_id, event_id % 97 = 0 AS hit, bool_or(event_id % 97 = 0) OVER (PARTITION BY user_id) AS e FROM events) WHERE hit OR NOT e")
+def company_filter_all(spark, sf):
+    e, i = _events(spark, sf)
+    return fusion.strict_or_all(e.select(F.col("user_id").alias("query_id"), i.alias("id"), (i % 97 == 0).alias("hit")), F.col("hit")).select("query_id", "id")
+
+
+@query("SELECT user_id % 50 AS src, user_id % 7 AS dst, event_type AS kind, round(coalesce(max(value) FILTER (event_id % 3 = 0), max(value) FILTER (event_id % 2 = 0)), 6) AS score FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0 GROUP BY ALL")
+def edge_upsert_all(spark, sf):
+    e, i = _events(spark, sf)
+    edges = e.select((F.col("user_id") % 50).alias("src"), (F.col("user_id") % 7).alias("dst"), F.col("event_type").alias("kind"), F.col("value").alias("score"), "event_id")
+    out = graph.upserted_edges(edges.where("event_id % 2 = 0").drop("event_id"), edges.where("event_id % 3 = 0").drop("event_id"))
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query("""WITH p AS (SELECT event_type || '::' || ['en', 'de', 'xx'][event_id % 3 + 1] || '::refl_' || CASE WHEN event_id % 8 = 0 THEN 'on' ELSE 'off' END AS variant, count(*) AS n FROM events WHERE event_id % 40 < 9 GROUP BY ALL),
+x AS (SELECT a || '::' || b || '::refl_' || c AS variant FROM (SELECT DISTINCT event_type AS a FROM events), (SELECT DISTINCT lang AS b FROM documents), (SELECT unnest(['on', 'off']) AS c))
+SELECT coalesce(x.variant, p.variant) AS variant, CASE WHEN p.n IS NULL THEN 'missing' WHEN x.variant IS NULL THEN 'unexpected' ELSE 'duplicate' END AS status FROM x FULL JOIN p ON x.variant = p.variant WHERE p.n IS NULL OR x.variant IS NULL OR p.n > 1""")
+def coverage_all(spark, sf):
+    e, i = _events(spark, sf)
+    expected = E.expected_variants(e.select(F.col("event_type").alias("strategy")).distinct(), table(spark, sf, "documents").select(F.col("lang").alias("corpus")).distinct())
+    present = e.where(i % 40 < 9).select(E.variant_id("event_type", _cases(i % 3, {0: "en", 1: "de"}, "xx"), i % 8 == 0).alias("variant"))
+    return E.coverage(expected, present, "variant")
+
+
+@query("""WITH s AS (SELECT avg(quality) AS judge, avg(toxic) AS toxic FROM labels), g AS (SELECT 'judge' AS metric, judge AS value, 0.4 AS target, judge >= 0.4 AS passed FROM s UNION ALL SELECT 'toxic', toxic, 0.01, toxic <= 0.01 FROM s)
+SELECT metric, round(value, 6) AS value, CAST(target AS DOUBLE) AS target, passed, (SELECT bool_and(passed) FROM g) AS all_passed FROM g""")
+def benchmark_gate_all(spark, sf):
+    s = table(spark, sf, "labels").agg(F.avg("quality").alias("judge"), F.avg("toxic").alias("toxic"))
+    return E.gate(s, [("judge", "min", 0.4), ("toxic", "max", 0.01)]).withColumn("value", F.round("value", 6))
+
+
+@query("""WITH d AS (SELECT doc_id % 4 <> 0 AND doc_id % 7 <> 0 AND doc_id % 9 <> 0 AS t, CASE WHEN doc_id % 2 = 0 THEN toxic >= 0.5 WHEN doc_id % 3 = 0 THEN NULL ELSE quality < 1 END AS w FROM labels)
+SELECT count(*) FILTER (t) AS answer_attempt_count, count(*) FILTER (t AND w) AS hallucination_count, count(*) FILTER (t AND w IS NOT NULL) AS hallucination_eligible_count, round(count(*) FILTER (t) / count(*), 9) AS answer_attempt_rate, round(count(*) FILTER (t AND w) / count(*), 9) AS hallucination_rate,
+round(count(*) FILTER (t AND w) / greatest(1, count(*) FILTER (t AND w IS NOT NULL)), 9) AS hallucination_rate_answered FROM d""")
+def hallucination_all(spark, sf):
+    i = F.col("doc_id")
+    x = table(spark, sf, "labels").select(F.when(i % 4 == 0, "I do not know").when(i % 9 == 0, "@@ANSWER: error 5").otherwise("It was 5").alias("answer"), F.when(i % 7 == 0, "boom").otherwise("").alias("error"), F.when(i % 2 == 0, F.col("toxic").cast("double")).alias("hallucination"), F.when((i % 2 != 0) & (i % 3 != 0), F.col("quality").cast("double")).alias("llm_judge_score"))
+    out = E.hallucination_stats(x)
+    return out.select("answer_attempt_count", "hallucination_count", "hallucination_eligible_count", *(F.round(c, 9).alias(c) for c in ("answer_attempt_rate", "hallucination_rate", "hallucination_rate_answered")))
+
+
+LEDGER_ROWS = "SELECT user_id AS query_id, event_type AS slot_key, CASE WHEN event_id % 5 < 3 THEN 'N/A' ELSE CAST(1000 + user_id % 3 + event_id % 2 AS VARCHAR) END AS value FROM events WHERE event_id % 7 < 2"
+
+
+def _ledger(spark, sf) -> DataFrame:
+    e, i = _events(spark, sf)
+    return e.where(i % 7 < 2).select(F.col("user_id").alias("query_id"), F.col("event_type").alias("slot_key"), F.when(i % 5 < 3, "N/A").otherwise((F.col("user_id") % 3 + i % 2 + 1000).cast("string")).alias("value"))
+
+
+@query(f"""WITH l AS ({LEDGER_ROWS}), r AS (SELECT DISTINCT user_id AS query_id, event_type AS slot_key FROM events), n AS (SELECT query_id, slot_key, count(DISTINCT value) AS n FROM l WHERE value <> 'N/A' GROUP BY ALL)
+SELECT 'best' AS strategy, query_id, slot_key FROM r LEFT JOIN n USING (query_id, slot_key) WHERE n IS NULL UNION ALL SELECT 'tie', query_id, slot_key FROM r LEFT JOIN n USING (query_id, slot_key) WHERE n IS NULL OR n > 1""")
+def missing_slots_all(spark, sf):
+    r = table(spark, sf, "events").select(F.col("user_id").alias("query_id"), F.col("event_type").alias("slot_key")).distinct()
+    best = L.missing_slots(r, _ledger(spark, sf)).select(F.lit("best").alias("strategy"), "*")
+    return best.union(L.missing_slots(r, _ledger(spark, sf), True).select(F.lit("tie").alias("strategy"), "*"))
+
+
+@query("""WITH s AS (SELECT DISTINCT user_id AS query_id, event_type AS metric, CAST(2018 + event_id % 2 AS VARCHAR) AS y FROM events), v AS (SELECT *, metric || ' ' || y AS slot_key, CASE WHEN query_id % 3 = 0 THEN '21.6' ELSE y END AS value FROM s),
+g AS (SELECT query_id, metric FROM v GROUP BY ALL HAVING count(*) >= 2 AND count(DISTINCT value) = 1) SELECT query_id, slot_key FROM v JOIN g USING (query_id, metric)""")
+def collapsed_slots_all(spark, sf):
+    e, i = _events(spark, sf)
+    r = e.select(F.col("user_id").alias("query_id"), F.col("event_type").alias("metric"), (i % 2 + 2018).cast("string").alias("y")).distinct()
+    r = r.select("query_id", F.concat_ws(" ", "metric", "y").alias("slot_key"), F.lit("X").alias("entity"), F.concat(F.lit("FY"), "y").alias("period"), "metric", F.lit("").alias("source_anchor"), F.when(F.col("query_id") % 3 == 0, "21.6").otherwise(F.col("y")).alias("value"))
+    return L.collapsed_slots(r.drop("value"), r.select("query_id", "slot_key", "value"))
+
+
+@query(f"WITH n AS ({LEDGER_ROWS}), o AS (SELECT user_id AS query_id, event_type AS slot_key, CAST(event_id AS VARCHAR) AS value FROM events WHERE event_id % 7 = 3) SELECT * FROM n UNION ALL SELECT o.* FROM o ANTI JOIN n USING (query_id, slot_key)")
+def ledger_merge_all(spark, sf):
+    e, i = _events(spark, sf)
+    old = e.where(i % 7 == 3).select(F.col("user_id").alias("query_id"), F.col("event_type").alias("slot_key"), i.cast("string").alias("value"))
+    return L.merged_ledger(old, _ledger(spark, sf))
+
+
+@query("SELECT conv_id, turn, 0 AS nth, role AS title, CAST(turn AS INTEGER) AS page, CAST(conv_id AS INTEGER) AS chunk FROM conversations WHERE turn % 3 <> 2 UNION ALL SELECT conv_id, turn, 1, 'B, C', 7, 0 FROM conversations WHERE turn % 3 = 1")
+def citation_parse_all(spark, sf):
+    t = F.col("turn")
+    said = F.concat(F.lit("[[role, Page x, Chunk 1]] "), F.when(t % 3 != 2, F.concat(F.lit("so [["), "role", F.lit(", Page "), t.cast("string"), F.lit(", Chunk "), F.col("conv_id").cast("string"), F.lit("]] and "))).otherwise("[[x]]"), F.when(t % 3 == 1, "[[B, C, Page 7, Chunk 0]].").otherwise("."))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace(said, r"\[\[role, Page x, Chunk 1\]\]", "[role, Page x]").alias("answer"))
+    return L.citations(c, ["conv_id", "turn"], "answer")
+
+
+@query("SELECT event_id, (event_id % 3 > event_id % 2) OR (event_id % 3 = event_id % 2 AND event_id % 5 >= event_id % 7) AS keep_after FROM events")
+def refinement_rank_all(spark, sf):
+    e, i = _events(spark, sf)
+    p = e.select("event_id", (i % 2).alias("passed_before"), (i % 7).alias("cited_before"), (i % 3).alias("passed_after"), (i % 5).alias("cited_after"))
+    return L.better_candidates(p, ["passed", "cited"]).select("event_id", "keep_after")
+
+
+@query("""WITH a AS (SELECT conv_id, unnest([max(length(text)) + 1000, count(*) + 70000]) AS n FROM conversations GROUP BY conv_id), p AS (SELECT conv_id, length(text) + 1000 AS n FROM conversations)
+SELECT conv_id AS query_id, format('{:,}', n) AS number FROM a WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.conv_id = a.conv_id AND contains('it was ' || p.n, CAST(a.n AS VARCHAR)))""")
+def numeric_verification_all(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("n", F.length("text") + 1000)
+    said = F.concat(F.lit("Total "), F.format_number(F.max("n"), 0), F.lit(" and $"), F.format_number(F.count("*") + 70000, 0), F.lit(" [[T, Page 1, Chunk 2]]"))
+    answers = c.groupBy(F.col("conv_id").alias("query_id")).agg(said.alias("answer"))
+    return L.unverified_numbers(answers, c.select(F.col("conv_id").alias("query_id"), F.concat(F.lit("it was $"), F.format_number("n", 0)).alias("content")))
+
+
+ANCHORED_SQL = " OR ".join(f"contains(lower(text), '{p}')" for p in T.ANCHOR_MARKERS)
+
+
+@query(f"""SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 7 = 0 OR {ANCHORED_SQL} THEN 1 ELSE 0 END AS INTEGER) AS signals FROM documents""")
+def quality_gate_all(spark, sf):
+    i = F.col("doc_id")
+    question = F.concat(F.lit("how was "), F.when(i % 2 == 0, "AMD ").otherwise("it "), F.when(i % 3 == 0, "in FY2022 ").otherwise("then "), F.when(i % 5 == 0, "for net income ").otherwise("for staff "), F.when(i % 7 == 0, "in the schedule").otherwise("there"))
+    return table(spark, sf, "documents").select("doc_id", T.quality_signals(question, F.lit("Qxy_2022_10K"), "text").alias("signals"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'v' || event_id WHEN 1 THEN event_type || ' ' || event_id ELSE right('plain ' || event_id || repeat(event_type, 60), 300) END AS answer FROM events")
+def final_answers_all(spark, sf):
+    e, i = _events(spark, sf)
+    n = i.cast("string")
+    said = F.when(i % 3 == 0, F.concat(F.lit("so \\boxed{41} then \\boxed{ v"), n, F.lit(" } or not"))).when(i % 3 == 1, F.concat(F.lit("thus Final answer: "), "event_type", F.lit(" "), n, F.lit("\n\nmore"))).otherwise(F.concat(F.lit("plain "), n, F.repeat("event_type", F.lit(60)), F.lit(" ")))
+    return e.select("event_id", F.when(i % 3 == 2, F.trim(T.final_answer(F.rtrim(said)))).otherwise(T.final_answer(said)).alias("answer"))
+
+
+@query("""SELECT event_id, NOT (y <> z AND p) AND NOT (q <> r AND event_id % 3 = 0) AS overlap, CASE WHEN event_id % 3 = 0 THEN 'quarter' WHEN p THEN 'annual' ELSE 'unknown' END AS granularity, CASE WHEN p OR event_id % 3 = 0 THEN CAST(y AS VARCHAR) ELSE '' END AS years
+FROM (SELECT *, event_id % 3 = 0 OR event_id % 3 = 1 AS p, 2018 + event_id % 4 AS y, 2018 + event_id // 4 % 4 AS z, 1 + event_id % 2 AS q, 1 + event_id // 8 % 4 AS r FROM events)""")
+def period_functions_all(spark, sf):
+    e, i = _events(spark, sf)
+    y, z = (i % 4 + 2018).cast("string"), (F.floor(i / 4) % 4 + 2018).cast("string")
+    a = F.when(i % 3 == 0, F.concat(F.lit("Q"), (i % 2 + 1).cast("string"), F.lit(" "), y)).when(i % 3 == 1, F.concat(F.lit("FY"), y)).otherwise("the past")
+    b = F.when(i % 3 == 2, "").when(i % 3 == 0, F.concat(F.lit("Q"), (F.floor(i / 8) % 4 + 1).cast("string"), F.lit(" "), z)).otherwise(F.concat(F.lit("year "), z))
+    return e.select("event_id", P.periods_overlap(a, b).alias("overlap"), P.granularity(a).alias("granularity"), F.array_join(P.year_tokens(a), ",").alias("years"))
+
+
+@query("""SELECT event_id, CAST(CASE event_id % 3 WHEN 0 THEN n WHEN 1 THEN -n ELSE 2022 END AS DOUBLE) AS value, CASE WHEN event_id % 3 = 0 AND abs(n - m) / m < 0.05 THEN 1.0 ELSE 0.0 END AS numeric_match, CAST(CASE event_id % 3 WHEN 1 THEN -n ELSE n END AS DOUBLE) AS primary_number,
+CASE WHEN event_id % 3 = 1 THEN 'num:-' || n ELSE 'num:' || n END AS conflict_key FROM (SELECT *, 5000 + event_id AS n, 5000 + event_id + event_id % 700 AS m FROM events)""")
+def number_functions_all(spark, sf):
+    e, i = _events(spark, sf)
+    n = F.format_number(i + 5000, 0)
+    a = F.when(i % 3 == 0, F.concat(F.lit("about $"), n, F.lit(" in all"))).when(i % 3 == 1, F.concat(F.lit("-"), n)).otherwise(F.concat(F.lit("in 2022 they had "), n))
+    b = (i + 5000 + i % 700).cast("string")
+    return e.select("event_id", N.numeric_value(a).alias("value"), N.numeric_match(a, b).alias("numeric_match"), N.primary_number(a).alias("primary_number"), N.conflict_key(a).alias("conflict_key"))
+
+
+@query("SELECT event_id, event_id % 2 = 0 OR event_id % 3 = 0 AS numeric, CAST(CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id + 0.5 END AS DOUBLE) AS first_number, CASE event_id % 3 WHEN 0 THEN 'zero_if_not_explicit' WHEN 1 THEN 'inapplicable_explain' ELSE 'insufficient' END AS policy FROM events")
+def answer_functions_all(spark, sf):
+    e, i = _events(spark, sf)
+    n = F.concat(F.format_number(i, 0), F.lit(".5"))
+    answer = F.when(i % 5 == 0, "none").otherwise(F.concat(F.lit("it was "), n, F.lit(" or 13")))
+    return e.select("event_id", A.is_numeric_query(F.when(i % 2 == 0, "How much?").otherwise("Name it"), F.when(i % 3 == 0, "Revenue FY2022").otherwise("name")).alias("numeric"), A.first_number(answer).alias("first_number"), A.missing_data_policy(_cases(i % 3, {0: " Zero_if_not_explicit", 1: "inapplicable_explain"}, "other")).alias("policy"))
+
+
+@query("SELECT event_id, event_id % 4 < 2 AS ok FROM events")
+def calculator_agreement_all(spark, sf):
+    e, i = _events(spark, sf)
+    answer = F.when(i % 4 == 0, F.concat(F.lit("It is "), F.format_number(i + 1000, 0), F.lit(".5 in all"))).when(i % 4 == 1, F.concat(F.lit("about "), (i + 1000).cast("string"), F.lit(".504"))).when(i % 4 == 2, F.concat(F.lit("about "), (i + 1003).cast("string"))).otherwise("")
+    return e.select("event_id", A.answer_matches_result(answer, F.concat((i + 1000).cast("string"), F.when(i % 4 == 1, ".50").otherwise(".5"))).alias("ok"))
+
+
+@query("""SELECT event_id AS query_id, nth, CASE WHEN nth = 0 AND event_id % 2 = 0 THEN 's1' END AS slot_key, CASE WHEN nth = 0 AND event_id % 2 = 1 THEN 'value_not_in_context' WHEN nth = 1 THEN 'no_matching_slot' END AS reason FROM events, (SELECT unnest([0, 1]) AS nth)""")
+def inline_binding_all(spark, sf):
+    e, i = _events(spark, sf)
+    n = (i + 5000).cast("string")
+    said = F.concat(F.lit("EVIDENCE: value=$"), F.format_number(i + 5000, 0), F.lit(" | citation=[[A, Page 1, Chunk 2]] | metric=capex\nEVIDENCE: spent | citation=[[A, Page 1, Chunk 2]] | metric=debt\n"))
+    r = e.select(i.alias("query_id"), said.alias("response"), F.when(i % 2 == 0, F.concat(F.lit("spent "), n, F.lit(" on plant"))).otherwise("spent it").alias("context"))
+    slots = r.select("query_id", F.explode(F.array(F.struct(F.lit("s1").alias("slot_key"), F.lit("Capex FY2018").alias("metric"), F.lit(0).alias("seq")), F.struct(F.lit("s2").alias("slot_key"), F.lit("capex").alias("metric"), F.lit(1).alias("seq")))).alias("s")).select("query_id", "s.*")
+    return A.bound_pairs(A.inline_evidence(r, ["query_id"], "response"), slots, r.select("query_id", "context")).select("query_id", "nth", "slot_key", "reason")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_id % 3 > 0 THEN 'blocked' WHEN event_id % 5 = 0 AND event_id % 3 = 0 THEN 'insufficient_blocked' WHEN event_id % 7 = 0 THEN 'rejected' ELSE 'accepted' END AS action FROM events")
+def direct_responses_all(spark, sf):
+    e, i = _events(spark, sf)
+    r = e.select("event_id", F.when(i % 5 == 0, "unable to find").otherwise("5").alias("answer"), (i % 2 == 0).alias("numeric"), (i % 3).alias("n_missing"), (i % 7 != 0).alias("grounded"))
+    return A.direct_response(r).select("event_id", "action")
+
+
+@query("SELECT doc_id, source AS strategy, CASE WHEN doc_id % 4 > 0 THEN lang ELSE '' END AS corpus, CASE WHEN doc_id % 4 > 1 THEN 'refl_on' ELSE '' END AS reflection, CASE WHEN doc_id % 4 > 2 THEN 'agentic_off' ELSE '' END AS agentic FROM documents")
+def variant_parts_all(spark, sf):
+    i = F.col("doc_id")
+    v = F.concat_ws("::", "source", F.when(i % 4 > 0, F.col("lang")), F.when(i % 4 > 1, "refl_on"), F.when(i % 4 > 2, "agentic_off"))
+    return table(spark, sf, "documents").select("doc_id", A.split_variant(v).alias("v")).select("doc_id", "v.strategy", "v.corpus", "v.reflection", "v.agentic")
+
+
+@query("SELECT event_id, CAST(event_id % 4 AS INTEGER) AS n_seeds, CAST(CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id % 4 * (event_id % 1000) + (event_id % 4) * (event_id % 4 - 1) // 2 END AS INTEGER) AS total FROM events")
+def seed_lists_all(spark, sf):
+    e, i = _events(spark, sf)
+    raw = F.when(i % 4 == 0, " x ").otherwise(F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), i % 4 - 1)), lambda k: (i % 1000 + k).cast("string")), " , "))
+    s = e.select("event_id", A.seeds(raw).alias("s"))
+    return s.select("event_id", F.size("s").alias("n_seeds"), F.aggregate("s", F.lit(0), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT title, CASE WHEN event_id % 2 = 0 THEN 'AMD' ELSE 'AMCOR' END AS entity, event_id AS query_id FROM (SELECT *, ['AMD_2022_10K', 'AMD_2021_10K', 'AMCOR_2022_10K', 'X_10K'][event_id // 2 % 4 + 1] AS title FROM events) WHERE CASE WHEN event_id % 2 = 0 THEN contains(title, 'AMD') AND (event_id % 3 = 0 OR NOT contains(title, '2021')) ELSE contains(title, 'AMCOR') END")
+def entity_nodes_all(spark, sf):
+    e, i = _events(spark, sf)
+    title = _cases(F.floor(i / 2) % 4, {0: "AMD_2022_10K", 1: "AMD_2021_10K", 2: "AMCOR_2022_10K"}, "X_10K")
+    n = e.select(i.alias("query_id"), title.alias("title"), F.when(i % 2 == 0, "AMD").otherwise("AMCOR").alias("entity"), F.lit("FY2022").alias("period"), F.when(i % 3 == 0, "debt securities registered to trade").otherwise("").alias("metric"))
+    return S_.entity_nodes(n, False).select("title", "entity", "query_id")
+
+
+@query("SELECT event_id, event_id % 300 + 19 + length(CAST(event_id + 5000 AS VARCHAR)) <= 120 AS near FROM events")
+def metric_proximity_all(spark, sf):
+    e, i = _events(spark, sf)
+    span = F.concat(F.lit("plant and equipment"), F.repeat(F.lit("x"), (i % 300).cast("int")), F.lit(" in all it came to "), (i + 5000).cast("string"))
+    return e.select("event_id", S_.near_metric_term((i + 5000).cast("string"), span, F.array(F.lit("plant and equipment"), F.lit("equipment"))).alias("near"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'compute' WHEN doc_id % 3 = 0 THEN 'boolean' WHEN doc_id % 3 = 1 THEN 'list' ELSE 'extract' END AS answer_type, CASE WHEN doc_id % 2 = 0 THEN 'balance sheet' END AS source_anchor, CASE WHEN doc_id % 4 = 0 THEN source ELSE lang END AS entity, CASE WHEN doc_id % 5 = 0 THEN 'insufficient' ELSE 'inapplicable_explain' END AS policy, CASE WHEN doc_id % 4 = 0 THEN source ELSE lang END AS slot_entity FROM documents")
+def query_states_all(spark, sf):
+    i = F.col("doc_id")
+    slots = F.array(F.struct(F.lit("").alias("entity"), F.lit("").alias("period"), F.lit("debt").alias("metric"), F.lit(None).cast("string").alias("source_anchor")), F.struct(F.col("lang").alias("entity"), F.lit("").alias("period"), F.lit("cash").alias("metric"), F.lit("the balance sheet").alias("source_anchor")))
+    d = table(spark, sf, "documents").select("doc_id", _cases(i % 3, {0: "Is debt rising?", 1: "Which plants?"}, "Debt").alias("query"), F.when(i % 4 == 0, F.concat(F.lit(" "), "source")).otherwise("").alias("entity"), F.lit("").alias("period"), F.lit("").alias("metric"), F.when(i % 2 == 0, "the Balance Sheet").otherwise("income statement and balance sheet").alias("source_anchor"), F.when(i % 5 == 0, "compute").otherwise("extract").alias("answer_type"), F.lit("inapplicable_explain").alias("missing_data_policy"), slots.alias("slots"))
+    s = S_.sanitized(d)
+    return s.select("doc_id", "answer_type", "source_anchor", "entity", F.col("missing_data_policy").alias("policy"), F.col("slots")[0]["entity"].alias("slot_entity"))

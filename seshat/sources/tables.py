@@ -24,8 +24,8 @@ def sampled_files(files: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """JSON lines; blank and broken ones are skipped (S3)."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """JSON lines; blank ones are skipped, a broken one is an error (S3)."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -53,9 +53,14 @@ def query_table(questions: DataFrame) -> DataFrame:
     return questions.select("id", F.col("question").alias("query"), F.col("answer").alias("ground_truth"), F.coalesce(e["doc_name"], F.lit("")).alias("evidence_doc"), e["page"].alias("evidence_page"), F.coalesce("company", F.lit("")).alias("company"))
 
 
-def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """old with rows of new in place of those with their key; of repeated new rows one stays."""
-    new = new.dropDuplicates([key])
+def upserted(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """old with rows of new in place of those with their key.
+
+    Of new rows that repeat a key the last by `order` stays, and of equals, or without one, the greatest by its
+    columns from the left.
+    """
+    last = F.max(F.struct(*([F.col(order).alias("_order")] if order else []), F.struct(*new.columns).alias("_row"))).alias("_last")
+    new = new.groupBy(F.col(key).alias("_key")).agg(last).select("_last._row.*")
     return old.join(new.select(key), key, "left_anti").select(*new.columns).unionByName(new)
 
 
