@@ -12,6 +12,7 @@ from seshat.functions import numbers as N
 from seshat.functions import periods as P
 from seshat.functions import text as T
 from seshat.operators import answers as A
+from seshat.operators import checks as K
 from seshat.operators import chunking as C
 from seshat.operators import evaluation as E
 from seshat.operators import evidence as L
@@ -546,9 +547,9 @@ def numeric_verification(spark, sf):
 
 
 @query("""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(source || '_' || lang || '-x'), '[_-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS entity, regexp_replace(lower(source || ' ' || lang), '[^a-z0-9]', '', 'g') AS doc_key,
-md5(array_to_string(list_filter(string_split_regex(regexp_replace(lower(text), '[!"#$%&''()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]', '', 'g'), '\\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')) AS answer_md5 FROM documents WHERE lang = 'en'""")
+md5(array_to_string(list_filter(string_split_regex(regexp_replace(lower(text), '[!"#$%&''()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]', '', 'g'), '\\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')) AS answer_md5 FROM documents""")
 def text_norms(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'")
+    d = table(spark, sf, "documents")
     return d.select("doc_id", T.normalize_entity_term(F.concat("source", F.lit("_"), "lang", F.lit("-x"))).alias("entity"), T.normalize_doc_key(F.concat_ws(" ", "source", "lang")).alias("doc_key"), F.md5(T.normalize_answer("text")).alias("answer_md5"))
 
 
@@ -1202,3 +1203,105 @@ def query_states_all(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", _cases(i % 3, {0: "Is debt rising?", 1: "Which plants?"}, "Debt").alias("query"), F.when(i % 4 == 0, F.concat(F.lit(" "), "source")).otherwise("").alias("entity"), F.lit("").alias("period"), F.lit("").alias("metric"), F.when(i % 2 == 0, "the Balance Sheet").otherwise("income statement and balance sheet").alias("source_anchor"), F.when(i % 5 == 0, "compute").otherwise("extract").alias("answer_type"), F.lit("inapplicable_explain").alias("missing_data_policy"), slots.alias("slots"))
     s = S_.sanitized(d)
     return s.select("doc_id", "answer_type", "source_anchor", "entity", F.col("missing_data_policy").alias("policy"), F.col("slots")[0]["entity"].alias("slot_entity"))
+
+
+# --- checks ------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, coalesce(array_to_string([CASE WHEN event_id % 3 = 0 THEN 'entity must be specific or empty string' END, CASE WHEN event_id % 5 = 0 THEN 'required_slots[0].entity must be specific or empty string' END,
+CASE WHEN event_id % 7 = 0 THEN 'missing_data_policy must be insufficient|zero_if_not_explicit|inapplicable_explain' END, CASE WHEN event_id % 7 = 1 AND event_id % 2 = 0 THEN 'compute query must not set missing_data_policy=inapplicable_explain' END,
+CASE WHEN event_id % 2 = 0 AND event_id % 11 = 0 THEN 'compute required_slots must be atomic slot objects' END, CASE WHEN event_id % 2 = 0 AND event_id % 4 = 0 AND event_id % 11 = 0 THEN 'multi-period compute needs >=2 slots' END,
+CASE WHEN event_id % 2 = 0 AND event_id % 4 = 0 AND event_id % 13 = 0 THEN 'compute slots must carry explicit period' END, CASE WHEN event_id % 6 = 1 AND event_id % 9 <> 0 AND NOT event_id % 17 = 0 THEN 'explicit statement query requires source_anchor at top-level or slots' END,
+CASE WHEN event_id % 6 = 1 AND NOT (event_id % 17 = 0 AND event_id % 11 = 0) THEN 'explicit statement query requires source_anchor in every required slot' END], '; '), '') AS errors FROM events""")
+def state_errors(spark, sf):
+    e, i = _events(spark, sf)
+    question = F.when(i % 4 == 0, "growth from 2018 to 2019").when(i % 6 == 1, "what does the balance sheet say").otherwise("what happened")
+    slot = lambda entity, metric, anchor: F.struct(entity.alias("entity"), F.when(i % 13 == 0, "").otherwise("FY2018").alias("period"), metric.alias("metric"), anchor.alias("source_anchor"))
+    slots = F.array(slot(F.when(i % 5 == 0, "The Company").otherwise("AMD"), F.lit("debt"), F.when(i % 17 == 0, "balance sheet").otherwise("")), slot(F.lit(""), F.when(i % 11 == 0, " ").otherwise("cash"), F.lit("")))
+    slots = F.transform(slots, lambda s: F.struct(F.when(s["entity"] == "The Company", "company").otherwise(s["entity"]).alias("entity"), s["period"].alias("period"), s["metric"].alias("metric"), s["source_anchor"].alias("source_anchor")))
+    d = e.select("event_id", question.alias("query"), F.when(i % 3 == 0, "Company").otherwise("AMD").alias("entity"), F.lit("").alias("period"), F.when(i % 9 == 0, "balance sheet").otherwise("").alias("source_anchor"), F.when(i % 2 == 0, "compute").otherwise("extract").alias("answer_type"), F.when(i % 7 == 0, "odd").when(i % 7 == 1, "inapplicable_explain").otherwise("insufficient").alias("missing_data_policy"), slots.alias("slots"))
+    return K.state_errors(d).select("event_id", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("SELECT event_id, event_id % 5 = 0 OR event_id % 7 = 0 AS unfixable, CASE WHEN event_id % 3 = 0 THEN 'forward_looking_or_guidance' WHEN event_id % 3 = 1 THEN 'period_mismatch' ELSE left(trim(event_type || ' ' || repeat('x', event_id % 200)), 120) END AS reason FROM events")
+def reflection_defects(spark, sf):
+    e, i = _events(spark, sf)
+    issues = F.array(F.lit("style"), F.when(i % 7 == 0, F.concat(F.lit("Fabricated_Claim: "), "event_type")).otherwise("tone"))
+    reason = F.when(i % 3 == 0, "Only planned guidance").when(i % 3 == 1, "the period is a MISMATCH").otherwise(F.concat("event_type", F.lit(" "), F.repeat(F.lit("x"), (i % 200).cast("int"))))
+    return e.select("event_id", K.is_unfixable(F.when(i % 5 == 0, " FAIL").otherwise("ok"), issues).alias("unfixable"), K.gate_reason(reason).alias("reason"))
+
+
+@query("SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 1 END AS INTEGER) AS n_forms, doc_id % 3 = 0 AS mentioned FROM documents")
+def title_forms(spark, sf):
+    i = F.col("doc_id")
+    n = i.cast("string")
+    title = F.when(i % 2 == 0, F.concat(F.lit("Src_"), n, F.lit("_(10K)"))).otherwise(F.concat(F.lit("doc"), n, F.lit("x")))
+    said = F.when(i % 2 == 0, F.concat(F.lit("what does SRC-"), n, F.lit(" (10k) say"))).otherwise(F.concat(F.lit("see Doc"), n, F.lit("X ?")))
+    return table(spark, sf, "documents").select("doc_id", F.size(K.title_forms(title)).alias("n_forms"), K.mentions_title(F.when(i % 3 == 0, said).otherwise("nothing"), title).alias("mentioned"))
+
+
+@query("SELECT conv_id, turn, md5(trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) AS said FROM conversations")
+def model_output(spark, sf):
+    c = table(spark, sf, "conversations")
+    inner = F.to_json(F.struct(F.col("text").alias("answer"), F.lit(1).alias("result")))
+    wrapped = F.concat(F.lit("<think>so\n</think> no </think>"), F.to_json(F.struct(F.lit(5).alias("response"), inner.alias("content"))), F.lit(" <end>"))
+    return c.select("conv_id", "turn", F.md5(F.trim(K.unwrapped(K.without_thoughts(F.when(F.col("turn") % 2 == 0, wrapped).otherwise(F.concat(F.lit("x</think> "), "text")))))).alias("said"))
+
+
+@query("""WITH l AS (SELECT doc_id % 7 AS run_id, avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END) AS h, avg(quality) AS a FROM labels GROUP BY ALL)
+SELECT CAST(run_id AS VARCHAR) AS run_id, 's' || run_id || '::full::refl_' || CASE WHEN run_id % 2 = 0 THEN 'on' ELSE 'off' END AS variant_id, CASE WHEN run_id % 3 = 0 THEN 0.0 ELSE run_id + 0.5 END AS avg_latency, round(CASE WHEN run_id % 2 = 0 THEN 0.25 ELSE h END, 9) AS avg_hallucination, round(a, 9) AS avg_answer_attempted, CAST(row_number() OVER (ORDER BY run_id DESC) AS INTEGER) AS place FROM l""")
+def result_rows(spark, sf):
+    r = F.col("doc_id") % 7
+    stats = table(spark, sf, "labels").groupBy(r.cast("string").alias("run_id")).agg(F.avg(F.col("toxic").cast("double")).alias("hallucination_rate"), F.avg("quality").alias("answer_attempt_rate"))
+    n = F.col("run_id").cast("int")
+    payloads = stats.select("run_id", F.concat(F.lit("s"), "run_id").alias("strategy"), F.lit("full").alias("corpus_tag"), (n % 2 == 0).alias("enable_reflection"), F.when(n % 3 == 0, "odd").otherwise((n + 0.5).cast("string")).alias("avg_latency"), F.lit("1").alias("avg_llm_judge_score"), F.when(n % 2 == 0, "0.25").alias("avg_hallucination"), F.lit(None).cast("string").alias("avg_answer_attempted"))
+    out = K.run_index(K.result_rows(payloads, stats))
+    return out.select("run_id", "variant_id", "avg_latency", F.round("avg_hallucination", 9).alias("avg_hallucination"), F.round("avg_answer_attempted", 9).alias("avg_answer_attempted"), "place")
+
+
+@query("SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS types FROM events GROUP BY user_id")
+def group_collect(spark, sf):
+    return K.collected(table(spark, sf, "events"), ["user_id"], "event_type").select("user_id", F.array_join("values", ",").alias("types"))
+
+
+@query("SELECT doc_id AS query_id FROM documents ORDER BY doc_id LIMIT 25")
+def first_queries(spark, sf):
+    return K.first_queries(table(spark, sf, "documents").select(F.col("doc_id").alias("query_id")), "query_id", 25)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 < 2 AND doc_id % 10 < 8 THEN source ELSE '_unknown' END AS company FROM documents")
+def file_companies(spark, sf):
+    d, i = table(spark, sf, "documents"), F.col("doc_id")
+    stem = F.concat_ws("_", "lang", i.cast("string"))
+    files = d.select("doc_id", _cases(i % 3, {}, "x").alias("x"), F.when(i % 3 == 0, stem).when(i % 3 == 1, F.concat(stem, F.lit("_page_12"))).otherwise(F.concat(stem, F.lit("_part"))).alias("stem"))
+    return K.file_companies(files.drop("x"), d.where("doc_id % 10 < 8").select(stem.alias("doc"), F.col("source").alias("company"))).select("doc_id", "company")
+
+
+@query("SELECT conv_id, turn // 3 AS page_group, min(turn) AS page, 'model=a;top_k=5' AS signature FROM conversations GROUP BY ALL")
+def chunk_pages(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("page_group", F.floor(F.col("turn") / 3))
+    return K.chunk_pages(c, ["conv_id"], "page_group", "turn").withColumn("signature", K.signature(top_k=5, model="a"))
+
+
+@query("SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 THEN -1 ELSE event_id END AS INTEGER) AS whole, CAST(CASE WHEN event_id % 4 = 0 THEN 0.5 ELSE event_id + 0.25 END AS DOUBLE) AS real, CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN false ELSE true END AS flag FROM events")
+def safe_casts(spark, sf):
+    e, i = _events(spark, sf)
+    n = i.cast("string")
+    return e.select("event_id", K.safe(F.when(i % 3 == 0, "x").otherwise(n), "int", -1).alias("whole"), K.safe(F.when(i % 4 == 0, F.lit(None)).otherwise(F.concat(n, F.lit(".25"))), "double", 0.5).alias("real"), K.safe(_cases(i % 5, {0: " Yes", 1: "off"}, "maybe"), "boolean", True).alias("flag"))
+
+
+@query(f"""WITH f AS (SELECT vec_id % 3 AS query_id, vec_id AS src, label AS s, embedding AS v FROM embeddings WHERE vec_id % 100 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id, src ORDER BY score DESC, id) AS n FROM (SELECT f.query_id, f.src, f.s, e.vec_id AS id, e.label, {COSINE.format('f.v', 'e.embedding')} AS score FROM f, embeddings e)),
+b AS (SELECT query_id, id, arg_min(score, src) AS score FROM n WHERE n <= 10 AND id <> src AND label <> s AND id % 5 <> 0 GROUP BY ALL)
+SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM b) WHERE r <= 12""")
+def runtime_hops(spark, sf):
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("source"), "embedding")
+    frontier = rows.where("id % 100 = 0").select((F.col("id") % 3).alias("query_id"), "id")
+    visited = rows.where("id % 5 = 0").select(F.explode(F.array(*(F.lit(k).cast("long") for k in range(3)))).alias("query_id"), "id")
+    return K.runtime_hops(frontier, rows, visited, 12).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query("""WITH h AS (SELECT user_id AS query_id, event_id AS hop, value AS best FROM events), f AS (SELECT *, coalesce(best <= max(best) OVER (PARTITION BY query_id ORDER BY hop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS flat FROM h)
+SELECT query_id, min(hop) AS hop FROM (SELECT *, sum(CAST(flat AS INTEGER)) OVER (PARTITION BY query_id ORDER BY hop ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS r FROM f) WHERE r >= 2 GROUP BY query_id""")
+def early_stops(spark, sf):
+    return K.stopped(table(spark, sf, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("hop"), F.col("value").alias("best")), 2)
