@@ -1305,3 +1305,145 @@ def runtime_hops(spark, sf):
 SELECT query_id, min(hop) AS hop FROM (SELECT *, sum(CAST(flat AS INTEGER)) OVER (PARTITION BY query_id ORDER BY hop ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS r FROM f) WHERE r >= 2 GROUP BY query_id""")
 def early_stops(spark, sf):
     return K.stopped(table(spark, sf, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("hop"), F.col("value").alias("best")), 2)
+
+
+# --- further operators over whole tables --------------------------------------------------------------------------
+
+
+@query("""WITH m AS (SELECT conv_id, string_agg('--- Page ' || (turn + 1) || ' ---' || chr(10) || ' ' || trim(regexp_replace(text, '\\s+', ' ', 'g')) || ' ', chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+SELECT c.conv_id, 'Conv ' || c.conv_id AS title, CAST(turn + 1 AS INTEGER) AS page, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS content_md5 FROM conversations c WHERE length(trim(text)) > 0""")
+def page_split(spark, sf):
+    one = F.concat(F.lit("--- Page "), (F.col("turn") + 1).cast("string"), F.lit(" ---\n "), T.collapsed("text"), F.lit(" "))
+    c = table(spark, sf, "conversations").select("conv_id", F.struct("turn", one.alias("t")).alias("p"))
+    docs = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["t"]), "\n").alias("t"))
+    docs = docs.select("conv_id", F.concat(F.lit("Document: Conv "), F.col("conv_id").cast("string"), F.lit("\n"), "t").alias("text"))
+    return C.pages(docs).select("conv_id", "title", "page", F.md5("content").alias("content_md5"))
+
+
+@query("""SELECT event_id, 'Year: ' || (2000 + event_id % 20) || ', Kind: ' || event_type || CASE WHEN event_id % 3 = 0 THEN '' ELSE ', N: ' || event_id END || '.' AS sentence, event_id % 5 = 0 AS broken FROM events""")
+def table_texts(spark, sf):
+    e, i = _events(spark, sf)
+    row = F.concat(F.lit("| "), (i % 20 + 2000).cast("string"), F.lit(" | "), "event_type", F.lit(" | "), F.when(i % 3 == 0, "-").otherwise(i.cast("string")), F.lit(" |"))
+    block = F.concat(F.lit("| Year | Kind | N |\n"), row)
+    wide = F.when(i % 5 == 0, F.lit("| a |\n| b | c | d |")).otherwise(F.concat(F.lit("| Year | Kind | N |\n| x | Q1 2020 | FY21 |\n"), row))
+    return e.select("event_id", F.get(C.table_sentences(block), F.lit(0)).alias("sentence"), C.has_broken_header(wide).alias("broken"))
+
+
+@query("""WITH l AS (SELECT user_id, event_id, event_id % 7 < 4 AS t FROM events), r AS (SELECT *, sum(CASE WHEN t THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM l)
+SELECT user_id, min(event_id) AS first_line, count(*) AS n_lines FROM r WHERE t GROUP BY user_id, run HAVING count(*) >= 2""")
+def markdown_tables(spark, sf):
+    e, i = _events(spark, sf)
+    return C.markdown_tables(e.select("user_id", "event_id", F.when(i % 7 < 4, " | a | b |").otherwise("a | b").alias("line")), ["user_id"], "event_id", "line")
+
+
+@query("SELECT user_id, event_id, coalesce(sum(CASE WHEN value < 20 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS page_group FROM events")
+def page_groups(spark, sf):
+    e, _ = _events(spark, sf)
+    return C.page_groups(e.withColumn("sim", F.when(F.col("value") < 20, 0.2).otherwise(0.9)), ["user_id"], "event_id", "sim").select("user_id", "event_id", F.col("page_group").cast("long").alias("page_group"))
+
+
+@query("""SELECT conv_id, turn, array_to_string(list_filter(['c' || conv_id, CASE WHEN p2 IS NOT NULL THEN 'Key points: ' || coalesce(p3 || ' | ', '') || p2 END, CASE WHEN p1 IS NOT NULL THEN 'Recent: ' || p1 END], lambda x: x IS NOT NULL), ' || ') AS context FROM (
+SELECT conv_id, turn, lag(s) OVER w AS p1, lag(s, 2) OVER w AS p2, lag(s, 3) OVER w AS p3 FROM (SELECT conv_id, turn, role || turn AS s FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn))""")
+def rolling_context(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.concat("role", F.col("turn").cast("string")).alias("s"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("intro"))
+    return C.rolling_context(c, ["conv_id"], "turn", "s", "intro").select("conv_id", "turn", "context")
+
+
+@query("""WITH RECURSIVE e AS (SELECT doc_id AS src, dst FROM (SELECT doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS dst FROM documents) WHERE dst IS NOT NULL),
+seed AS (SELECT doc_id % 7 AS query_id, doc_id AS id, CAST((doc_id * 7919) % 1000 AS DOUBLE) / 1000 AS score FROM documents WHERE doc_id % 100 = 0),
+f0 AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM seed) WHERE r <= 4),
+h1 AS (SELECT DISTINCT query_id, dst AS id, CAST((dst * 7919) % 1000 AS DOUBLE) / 1000 AS score FROM f0 JOIN e ON src = id WHERE (query_id, dst) NOT IN (SELECT (query_id, id) FROM f0)),
+f1 AS (SELECT query_id, id FROM h1 WHERE score >= 0.3), v1 AS (SELECT * FROM f0 UNION SELECT * FROM f1),
+h2 AS (SELECT DISTINCT query_id, dst AS id, CAST((dst * 7919) % 1000 AS DOUBLE) / 1000 AS score FROM f1 JOIN e ON src = id WHERE (query_id, dst) NOT IN (SELECT (query_id, id) FROM v1)),
+every AS (SELECT query_id, id, score, 0 AS hop FROM seed UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2), best AS (SELECT query_id, id, max(score) AS score, min(hop) AS hop FROM every GROUP BY ALL)
+SELECT query_id, id, score, CAST(hop AS INTEGER) AS hop, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM best) WHERE rank <= 5""")
+def best_first(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    score = (F.col("doc_id") * 7919 % 1000).cast("double") / 1000
+    edges = graph.next_edges(d, "source", "doc_id", "doc_id")
+    seeds = d.where("doc_id % 100 = 0").select((F.col("doc_id") % 7).alias("query_id"), F.col("doc_id").alias("id"), score.alias("score"))
+    scores = d.select(F.explode(F.array(*(F.lit(k).cast("long") for k in range(7)))).alias("query_id"), F.col("doc_id").alias("id"), score.alias("score"))
+    return graph.best_first(edges, seeds, scores, 5, 2, 0.3)
+
+
+@query("SELECT DISTINCT src, dst FROM (SELECT user_id % 50 AS src, user_id % 7 AS dst FROM events UNION ALL SELECT user_id % 7, user_id % 50 FROM events)")
+def undirected_edges(spark, sf):
+    return graph.undirected(table(spark, sf, "events").select((F.col("user_id") % 50).alias("src"), (F.col("user_id") % 7).alias("dst")))
+
+
+@query("SELECT doc_id, doc_id % 2 = 0 OR doc_id % 3 = 0 AS entity, array_to_string(list_sort([source, lang]), ',') AS tokens FROM documents")
+def entity_matches(spark, sf):
+    i = F.col("doc_id")
+    title = F.when(i % 2 == 0, F.concat(F.lit("Zeta_"), "lang", F.lit("_10K"))).otherwise(F.concat("lang", F.lit("_10K")))
+    body = F.when(i % 3 == 0, "It is ZETA that grew").otherwise("nothing of it")
+    return table(spark, sf, "documents").select("doc_id", T.node_matches_named_entity(title, body, F.lit("Zeta")).alias("entity"), F.array_join(T.entity_term_tokens(F.concat(F.lit("The "), "source", F.lit("-"), "lang", F.lit(" of "), "source")), ",").alias("tokens"))
+
+
+@query("""SELECT event_id, CAST(5000 + event_id AS DOUBLE) AS largest, CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS VARCHAR) ELSE event_id || '.25' END AS shown, 'paid ' || event_id || ' in all' AS positive, CAST(CASE event_id % 3 WHEN 0 THEN (event_id + 1) * 1000000 WHEN 1 THEN (event_id + 1) * 1000 ELSE event_id + 1 END AS DOUBLE) AS scaled FROM events""")
+def amounts(spark, sf):
+    e, i = _events(spark, sf)
+    n = i.cast("string")
+    scaled = F.concat(F.lit("$"), (i + 1).cast("string"), F.when(i % 3 == 0, " million").when(i % 3 == 1, " k").otherwise(" in all"))
+    return e.select("event_id", N.largest_non_year(F.concat(F.lit("in 2021: 17 and "), F.format_number(i + 5000, 0), F.lit(", 3%"))).alias("largest"), N.formatted(F.when(i % 2 == 0, i.cast("double")).otherwise(i + 0.25)).alias("shown"), N.positive_amount(F.concat(F.lit("paid ("), n, F.lit(") in all"))).alias("positive"), F.get(N.scaled_numbers(scaled), F.lit(0)).alias("scaled"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'yes' WHEN event_id % 4 = 1 THEN 'no' END AS label, CASE WHEN event_id % 3 = 0 THEN 'calculator' ELSE 'graph_search' END AS tool, CASE event_id % 5 WHEN 0 THEN 'capex' WHEN 1 THEN 'dividend' WHEN 2 THEN 'ratio' ELSE 'other' END AS metric, CASE WHEN event_id % 2 = 0 THEN 'global' ELSE 'local' END AS route, 'a_b_' || event_id AS token FROM events")
+def labels_and_routes(spark, sf):
+    e, i = _events(spark, sf)
+    answer = _cases(i % 4, {0: "@@ANSWER: True, [[A, Page 1, Chunk 2]]", 1: "No."}, "notable")
+    metric = _cases(i % 5, {0: "Capital expenditures FY2019", 1: "Dividend 2020", 2: "gross margin"}, "revenue")
+    return e.select("event_id", L.boolean_label(answer).alias("label"), L.routed_tool(F.when(i % 3 == 0, " Calculator").otherwise("retrieve")).alias("tool"), T.metric_class(metric).alias("metric"), T.route(F.when(i % 2 == 0, "What are the main themes?").otherwise("How much?")).alias("route"), T.safe_token(F.concat(F.lit("a-b."), i.cast("string"))).alias("token"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'n' || event_id ELSE event_type || ':s:' || CASE WHEN event_id % 3 = 1 THEN '0:-1' ELSE '7:' || event_id END END AS identity, '[[' || event_type || ', Page ' || CASE WHEN event_id % 3 = 1 THEN 0 ELSE 7 END || ', Chunk ' || event_id || ']]' AS citation, 'what is ' || event_type || ' now' AS sanitized FROM events")
+def identities(spark, sf):
+    e, i = _events(spark, sf)
+    r = e.select("event_id", "event_type", F.when(i % 3 == 0, F.concat(F.lit(" n"), i.cast("string"))).otherwise(" ").alias("id"), F.lit("s").alias("source"), F.when(i % 3 != 1, 7).alias("page"), F.when(i % 3 != 1, i).alias("sent"), i.alias("chunk"))
+    return r.select("event_id", T.node_identity("id", "event_type", "source", "page", "sent").alias("identity"), T.citation("event_type", "page", "chunk").alias("citation"), T.sanitize_fulltext_query(F.concat(F.lit("what (is) +"), "event_type", F.lit("* & ~now/"))).alias("sanitized"))
+
+
+@query("SELECT user_id AS query_id, event_type AS slot_key, arg_max(event_id, (value, -event_id)) AS seq FROM events GROUP BY ALL")
+def best_entries(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("query_id"), F.col("event_type").alias("slot_key"), F.col("value").alias("score"), F.col("event_id").alias("seq"))
+    return L.best_entries(e).select("query_id", "slot_key", "seq")
+
+
+@query("SELECT conv_id, turn, role AS title, CAST(turn AS INTEGER) AS page, CAST(conv_id AS INTEGER) AS chunk FROM conversations WHERE turn % 2 = 0 AND conv_id % 3 <> 0")
+def supported_citations(spark, sf):
+    c = table(spark, sf, "conversations")
+    said = c.where("turn % 2 = 0").select("conv_id", "turn", F.concat(F.lit("so [["), "role", F.lit(", Page "), F.col("turn").cast("string"), F.lit(", Chunk "), F.col("conv_id").cast("string"), F.lit("]]")).alias("answer"))
+    pool = c.where("conv_id % 3 <> 0").select(F.col("role").alias("title"), F.col("turn").cast("int").alias("page"), F.col("conv_id").cast("int").alias("chunk"))
+    return L.supported(L.citations(said, ["conv_id", "turn"], "answer"), pool).select("conv_id", "turn", "title", "page", "chunk")
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AS abstained, doc_id % 4 = 0 OR (doc_id % 3 <> 0 AND doc_id % 5 = 0) AS failed, doc_id % 4 = 0 OR quality < 1 AS is_failure FROM labels")
+def row_kinds(spark, sf):
+    i = F.col("doc_id")
+    x = table(spark, sf, "labels").select("doc_id", F.when(i % 3 == 0, "I do not know").when(i % 5 == 0, "@@Answer: Error 5").otherwise("It was 5").alias("answer"), F.when(i % 4 == 0, "boom").otherwise("").alias("error"), F.col("quality").cast("double").alias("llm_judge_score"))
+    return A.row_kinds(x).select("doc_id", "abstained", "failed", "is_failure")
+
+
+@query("SELECT event_id, (event_id + 3) * 4 - CAST(event_id AS DOUBLE) / 8 + 1 AS value FROM events WHERE event_id % 5 <> 0 UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 5 = 0")
+def safe_eval_all(spark, sf):
+    e, i = _events(spark, sf)
+    n = i.cast("string")
+    x = F.when(i % 5 == 0, F.concat(n, F.lit(" / 0"))).otherwise(F.concat(F.lit("($"), n, F.lit(" + 3) * 4 - "), n, F.lit(" / 2 ** 3 + 1 ** 100")))
+    return e.select("event_id", N.safe_eval(x).alias("value"))
+
+
+@query("SELECT conv_id, CAST(count(*) AS BIGINT) AS n, round(avg(turn * 2.0), 6) AS mean FROM conversations GROUP BY conv_id")
+def registered_functions(spark, sf):
+    from seshat.functions.registered import register
+
+    register(spark)
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.col("turn"))), ";").alias("turns"))
+    c.createOrReplaceTempView("seshat_turns")
+    return spark.sql("SELECT conv_id, count(*) AS n, round(avg(seshat_eval(concat(part, ' * 2'))), 6) AS mean FROM seshat_turns, LATERAL seshat_parts(turns, ';') GROUP BY conv_id")
+
+
+@query("""SELECT user_id AS query_id, md5(string_agg('[[' || event_type || ', Page 1, Chunk ' || event_id || ']]' || chr(10) || 'v' || event_id, chr(10) || chr(10) ORDER BY event_id)) AS context_md5 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events) WHERE place <= 8 GROUP BY user_id""")
+def rendered_contexts(spark, sf):
+    e, i = _events(spark, sf)
+    r = e.withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))).where("place <= 8")
+    r = r.select(F.col("user_id").alias("query_id"), "place", F.col("event_type").alias("title"), F.lit(1).alias("page"), F.col("event_id").alias("sent_id"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("content"))
+    return fusion.rendered_context(r).select("query_id", F.md5("context").alias("context_md5"))
