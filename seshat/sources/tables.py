@@ -23,9 +23,15 @@ def sampled_files(files: DataFrame, docs: DataFrame) -> DataFrame:
     return files.join(keep, "name", "left_semi")
 
 
-def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """JSON lines; blank ones are skipped, a broken one is an error (S3)."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+def json_lines(spark: SparkSession, path: str, schema: StructType | str, strict: bool = False) -> DataFrame:
+    """JSON lines without blank ones (S3). A broken line is left out (see broken_lines), or with strict an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+
+
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line: what json_lines leaves out for not being JSON."""
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    return lines.where(F.try_parse_json("value").isNull()).select(F.col("value").alias("line"))
 
 
 def json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

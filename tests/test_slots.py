@@ -104,3 +104,22 @@ def test_safe_casts_and_titles(spark):
     assert one(spark, K.safe(F.lit("7.9"), "int", 0)) == 7 and one(spark, K.safe(F.lit(None).cast("string"), "double", 2.5)) == 2.5
     assert one(spark, K.safe(F.lit("maybe"), "boolean", False)) is False
     assert one(spark, K.title_forms(F.lit("A_B (C)"))) == ["a_b (c)", "a b (c)", "a b c"] and one(spark, K.title_forms(F.lit(None).cast("string"))) == []
+
+
+def test_broken_json_lines_are_not_lost(spark, tmp_path):
+    from seshat.sources import tables
+
+    (tmp_path / "a.jsonl").write_text('{"k": 1}\n\n{broken\n{"k": 2}\n')
+    assert tables.json_lines(spark, f"{tmp_path}/a.jsonl", "k long").count() == 2
+    assert [r.line for r in tables.broken_lines(spark, f"{tmp_path}/a.jsonl").collect()] == ["{broken"]
+    with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
+        tables.json_lines(spark, f"{tmp_path}/a.jsonl", "k long", strict=True).collect()
+
+
+def test_the_last_writer_wins(spark):
+    from seshat.sources import tables
+
+    old = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "id long, v string, t long")
+    new = spark.createDataFrame([(2, "z", 1), (2, "c", 3), (2, "y", 2), (3, None, 1)], "id long, v string, t long")
+    got = sorted((r.id, r.v) for r in tables.upserted(old, new, "id", "t").collect())
+    assert got == [(1, "a"), (2, "c"), (3, None)]
