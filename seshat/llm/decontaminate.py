@@ -60,7 +60,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     is one run of its own length, and is looked for among the runs of that length of every document. A row is given
     where 100 * shared >= percent * item_shingles. Null, empty and blank texts hold nothing and are held by nothing.
     Rows are told apart by their texts: repeated rows and null ids each give their rows. Items that share an id are
-    united. Other columns are left out, whatever their names. Empty tables give an empty result. Item tables of at
+    united, items without one are left out. Other columns are left out, whatever their names. Empty tables give an empty result. Item tables of at
     most `broadcast_rows` runs are sent to every task; larger ones are joined by shuffle, where a run that many
     documents share is split by the skew handling of the join.
     """

@@ -253,7 +253,7 @@ def pseudo_likelihood(docs: DataFrame, network: Network, counts: DataFrame, id_c
     """doc_id, n_words, log_likelihood, mean_log_probability, unigram_log_likelihood of each row.
 
     They are given by the network and by the counts it was made of. Null, empty and blank texts have no words,
-    likelihoods 0 and a null mean. Repeated rows get equal scores, null ids are kept. Texts are read whole, whatever
+    likelihoods 0 and a null mean. Repeated rows get equal scores but for rounding (single precision), null ids are kept. Texts are read whole, whatever
     their length. Other columns are left out.
     """
     held = docs.sparkSession.sparkContext.broadcast(network)

@@ -117,6 +117,10 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     said = F.when(some(28, 0, 2) == 0, F.initcap(spoken)).otherwise(spoken)
     camel = F.concat(part(10), F.initcap(part(11)), F.initcap(part(12)))
     number = lambda k: F.left(F.regexp_replace(F.xxhash64(i, F.lit(k)).cast("string"), "-", ""), some(k + 100, 1, 4))
+    # what the findings share is written once, so that each kind is a small expression over it
+    made = {"hexes": hexes, "hexed": hexed, "mixed": mixed, "plain": plain, "digits": digits, "letters": letters, "spoken": spoken, "said": said, "camel": camel, "filler": filler, "name": name, "sign": sign, "public": public, "symbol": symbol, "access": access}
+    ids = settle(spark.range(0, rows, 1, 1).select("id", *(c.alias(n) for n, c in made.items())))
+    hexes, hexed, mixed, plain, digits, letters, spoken, said, camel, filler, name, sign, public, symbol, access = map(F.col, made)
     kinds = [
         (hexes, glue(name, sign), 1),
         (F.left(mixed, F.lit(40)), glue(name, sign), 1),
@@ -150,7 +154,6 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (F.concat(F.lit("("), F.left(digits, F.lit(3)), F.lit(") "), F.substring(digits, 4, 3), F.lit("-"), F.substring(digits, 7, 4)), glue(word(8, "call", "phone", "", "tel:", "at")), 0),
     ]
     # one partition in a fixed order, so that the forest draws the same rows on every cluster
-    ids = spark.range(0, rows, 1, 1)
     made = [ids.where(i % len(kinds) == k).select(v.alias("value"), b.alias("before"), F.lit("").alias("after"), F.lit(float(y)).alias("label")) for k, (v, b, y) in enumerate(kinds)]
     return reduce(DataFrame.union, made).coalesce(1)
 
@@ -164,6 +167,19 @@ def forest(findings: DataFrame, trees: int = 30, depth: int = 8) -> PipelineMode
     return PipelineModel([assembler, model])
 
 
+#: The forest of the built-in findings by application: it is the same for all of its scans.
+_GROWN: dict[str, PipelineModel] = {}
+
+
+def grown(spark: SparkSession) -> PipelineModel:
+    """The forest of labelled_findings, trained once an application."""
+    key = spark.sparkContext.applicationId
+    if key not in _GROWN:
+        _GROWN.clear()
+        _GROWN[key] = forest(labelled_findings(spark))
+    return _GROWN[key]
+
+
 def judged(found: DataFrame, model: PipelineModel) -> DataFrame:
     """found (value, before, after and others) with `score`, the forest's share for a secret."""
     rows = featured(found).select(F.struct(*found.columns).alias("found"), "x.*")
@@ -180,7 +196,7 @@ def scan(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text",
     are left out, and so is a kept one that bears a name of the result.
     """
     keep = [c for c in keep or ["doc_id"] if c.lower() not in ("at", "value", "score", "secret")]
-    model = forest(labelled_findings(docs.sparkSession) if findings is None else findings)
+    model = grown(docs.sparkSession) if findings is None else forest(findings)
     rows = docs.select(F.struct(*keep, F.lit(0).alias("_")).alias("kept"), F.col(text_col).alias("text"))
     found = judged(candidates(rows), model)
     return found.select(*(F.col("kept").getField(c).alias(c) for c in keep), "at", "value", "score", (F.col("score") >= threshold).alias("secret"))
