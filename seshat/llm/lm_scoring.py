@@ -15,14 +15,15 @@ vocabulary.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seshat.llm._io import settle
+from seshat.llm._io import groups, settle
 from seshat.llm._words import U, buffers, word_hashes
 
 #: The least number, in bits, of words that the network knows and of context vectors.
@@ -31,9 +32,11 @@ LEAST_BITS = 13
 OWN = 40
 #: Words counted at once, and the unit in which logarithms and weights are added, so that their order makes no difference.
 COUNTED, UNIT = 1 << 20, float(1 << 32)
-WIDTH, HIDDEN, BATCH, RATE = 12, 16, 4096, 0.1
+WIDTH, HIDDEN, BATCH, RATE = 12, 16, 8192, 0.1
 #: Words gathered before a task learns from them, and words of a part that is learned from by itself.
-GATHERED, PART = 65_536, 2_000_000
+GATHERED, PART = 65_536, 4_000_000
+#: Weights sent in one row, and the unit in which weights times words are added.
+BLOCK, SHARE = 16_384, float(1 << 12)
 #: Words before and after the predicted one.
 SIDES = (-2, -1, 1, 2)
 
@@ -209,13 +212,15 @@ def trained(docs: DataFrame, counts: DataFrame, text_col: str = "text", part_wor
     """The network after one pass over all texts; counts are the word_counts of docs.
 
     Texts are dealt by their hash over parts of some `part_words` words, in the order of the hash. A third of all rows
-    may be one text: copies of it are dealt on over all parts.
+    may be one text: copies of it are dealt on over all parts by their ids. The parts' weights are added up in blocks
+    of BLOCK, first those of some parts and then all of them, in whole units.
     """
     network = Network(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // part_words))
     held = docs.sparkSession.sparkContext.broadcast(network)
     shapes = network.shapes
+    salts = int(np.ceil(parts**0.5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network = held.value
@@ -229,21 +234,33 @@ def trained(docs: DataFrame, counts: DataFrame, text_col: str = "text", part_wor
             for i in range(0, len(order), BATCH):
                 net.learn(near[order[i : i + BATCH]], places[order[i : i + BATCH]])
             seen += len(words)
-        flat = np.concatenate([net.weights[k].ravel() for k in shapes]).astype(np.float64)
+        flat = np.concatenate([net.weights[k].ravel() for k in shapes])
         net.weights = start
         if seen:
-            unit = float(1 << 20)
-            for i in range(0, len(flat), 50_000):
-                part = np.round(flat[i : i + 50_000] * seen * unit).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part)), pa.int64()), pa.array(part), pa.array(np.full(len(part), seen))], ["at", "w", "n"])
+            at = np.arange(0, len(flat), BLOCK)
+            salt = np.full(len(at), int(np.random.default_rng([seen, len(words)]).integers(1 << 30)) % salts)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(salt, pa.int64()), pa.array([flat[i : i + BLOCK].tobytes() for i in at], pa.binary()), pa.array(np.full(len(at), seen))], ["at", "salt", "w", "n"])
+
+    def added(first: bool) -> Callable:
+        """Sums of weights times words, in whole units, over the rows of a block; the first sums are of single weights."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for g in groups(batches, *(["at", "salt"] if first else ["at"])):
+                total = 0
+                for w, n in zip(g.w, g.n):
+                    total = total + (np.round(np.frombuffer(w, np.float32).astype(np.float64) * n * SHARE).astype(np.int64) if first else np.frombuffer(w, np.int64))
+                yield pd.DataFrame({"at": g["at"].iloc[:1], "salt": g["salt"].iloc[:1], "w": [total.tobytes()], "n": [g.n.sum()]})
+
+        return run
 
     key = F.xxhash64(F.lit(3), text_col, *(c for c in docs.columns if c != text_col and c == "doc_id"))
     rows = docs.select(F.col(text_col).alias("text"), key.alias("key")).where("text is not null")
-    rows = rows.repartition(parts, "key").sortWithinPartitions("key").select("text").mapInArrow(run, "at long, w long, n long")
-    got = rows.groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
+    schema = "at long, salt long, w binary, n long"
+    rows = rows.repartition(parts, "key").sortWithinPartitions("key").select("text").mapInArrow(run, schema)
+    rows = rows.repartition("at", "salt").sortWithinPartitions("at", "salt").mapInPandas(added(True), schema)
+    got = rows.repartition("at").sortWithinPartitions("at").mapInPandas(added(False), schema).toPandas().sort_values("at")
     if len(got):
-        flat = np.zeros(sum(int(np.prod(s)) for s in shapes.values()))
-        flat[got["at"].to_numpy()] = got.w / (1 << 20)
+        flat = np.concatenate([np.frombuffer(w, np.int64) / (n * SHARE) for w, n in zip(got.w, got.n)])
         cuts = np.cumsum([int(np.prod(s)) for s in shapes.values()])[:-1]
         network.weights = {k: p.reshape(s).astype(np.float32) for (k, s), p in zip(shapes.items(), np.split(flat, cuts))}
     return network
