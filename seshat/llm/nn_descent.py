@@ -297,7 +297,7 @@ def _searched(graph: DataFrame, vectors: DataFrame, queries: DataFrame, entries:
     return state.select("query", "band", "ids", "scores")
 
 
-def neighbours(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, top: int = 20, share: float = 0.02, beam: int = 320) -> DataFrame:
+def neighbours(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, top: int = 20, share: float = 0.1, beam: int = 320) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its `top` nearest other rows found.
 
     Nearest is the largest inner product; ties go to the smaller id; fewer rows than `top` are all given. NN-descent
