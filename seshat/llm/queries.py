@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from seshat.llm import chat_hmm, lm_scoring, warc_fixity
 from seshat.llm._io import table
 from seshat.llm.decontaminate import contaminated
+from seshat.llm.hard_negatives import hard_negatives
 from seshat.llm.minhash_dedup import near_duplicates
 from seshat.llm.mixing import mixture, sizes
 from seshat.llm.nn_descent import neighbours
+from seshat.llm.private_spans import private_spans
 from seshat.llm.secret_forest import scan
 from seshat.llm.token_counts import token_counts
 from seshat.llm.toxicity import toxicity
+from seshat.llm.whitening import whitened
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,9 +92,44 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_spans(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"))
+    return hard_negatives(rows)
+
+
+OP13_SQL = """
+WITH x AS (
+    SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)
+), scores AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    FROM x a JOIN x b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN (SELECT * FROM scores WHERE NOT same) USING (anchor_id)
+WHERE 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_lm_scoring, op3_warc_fixity, op4_nn_descent, op5_chat_formatting, op6_secret_scans, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_mixing, op2_lm_scoring, op3_warc_fixity, op4_nn_descent, op5_chat_formatting, op6_secret_scans, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_toxicity, op10_token_counts, op11_private_spans, op12_whitening, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_fixity": OP3_SQL}
+    return {"op3_warc_fixity": OP3_SQL, "op13_hard_negatives": OP13_SQL}
