@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seshat.operators import planning as P_
 from seshat.operators import slotfill
 from seshat.operators import slots as SL
 from seshat.plans.queries import _esc, query, table
@@ -88,3 +89,86 @@ FROM (SELECT *, CASE WHEN capex AND value < 0 THEN -value ELSE value END AS x FR
 def slot_fill(spark, sf):
     nodes, slots = filings(spark, sf)
     return slotfill.filled_slots(slots, nodes)
+
+
+# --- planning and guarded searches ---------------------------------------------------------------------------------
+
+LEGAL_SQL = sql_list(P_.LEGAL_FORMS)
+ALIASES_SQL = f"""list_filter([lower(regexp_replace(lower({{0}}), '[^a-z0-9]+', '', 'g'))] || [array_to_string(list_filter(string_split_regex(lower({{0}}), '[^a-z0-9]+'), lambda w: NOT list_contains({LEGAL_SQL}, w)), '')]
+    || list_filter(string_split_regex(lower({{0}}), '[^a-z0-9]+'), lambda w: length(w) >= 2 AND NOT list_contains({LEGAL_SQL}, w)), lambda w: length(w) > 0)"""
+STATES_SQL = f"""{NODES_SQL},
+states AS (SELECT o_custkey AS query_id, 'What was it for customer ' || o_custkey || '?' AS query, CASE WHEN count(*) % 3 = 0 THEN 'compute' WHEN count(*) % 3 = 1 THEN 'extract' ELSE 'list' END AS answer_type, CASE WHEN max(o_totalprice) > 450000 THEN 'company' ELSE 'C' || o_custkey || ' Holdings Inc' END AS entity,
+    'FY' || min(year(o_orderdate)) || CASE WHEN min(year(o_orderdate)) < max(year(o_orderdate)) THEN ' and FY' || max(year(o_orderdate)) ELSE '' END AS period, CASE min(o_orderstatus) WHEN 'F' THEN 'Net_Revenues' WHEN 'O' THEN 'Capital Expenditures' ELSE 'Total Assets' END AS metric,
+    CASE WHEN min(o_orderpriority) < '2' THEN 'cash flow statement' ELSE '' END AS source_anchor, CAST(count(DISTINCT o_orderstatus) AS INTEGER) AS n_required FROM orders GROUP BY o_custkey),
+missing AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY slot_key) AS s, '' AS entity, period, metric, source_anchor FROM slots)"""
+
+
+def states(spark, sf) -> DataFrame:
+    """Query states made of a customer's orders, with the slots of filings as the missing ones."""
+    orders, (_, slots) = table(spark, sf, "orders"), filings(spark, sf)
+    n, year = F.count("*") % 3, F.year("o_orderdate")
+    first, last = F.min(year), F.max(year)
+    s = orders.groupBy(F.col("o_custkey").alias("query_id")).agg(
+        F.when(n == 0, "compute").when(n == 1, "extract").otherwise("list").alias("answer_type"), F.when(F.max("o_totalprice") > 450000, "company").alias("generic"),
+        F.concat(F.lit("FY"), first, F.when(first < last, F.concat(F.lit(" and FY"), last)).otherwise("")).alias("period"), F.when(F.min("o_orderstatus") == "F", "Net_Revenues").when(F.min("o_orderstatus") == "O", "Capital Expenditures").otherwise("Total Assets").alias("metric"),
+        F.when(F.min("o_orderpriority") < "2", "cash flow statement").otherwise("").alias("source_anchor"), F.count_distinct("o_orderstatus").cast("int").alias("n_required"),
+    )
+    s = s.withColumn("query", F.concat(F.lit("What was it for customer "), "query_id", F.lit("?"))).withColumn("entity", F.coalesce("generic", F.concat(F.lit("C"), "query_id", F.lit(" Holdings Inc")))).drop("generic")
+    m = slots.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot_key", F.lit("").alias("entity"), "period", "metric", "source_anchor"))), lambda x: F.struct(x["entity"], x["period"], x["metric"], x["source_anchor"])).alias("missing"))
+    return s.join(m, "query_id")
+
+
+def all_terms(metric: str) -> list[str]:
+    low = " ".join(metric.lower().replace("_", " ").split())
+    return list(dict.fromkeys([low, *(n for triggers, names in SL.ALIASES if any(t in low for t in triggers) for n in names), *(w for w in low.split() if len(w) >= 4)]))
+
+
+ALL_TERM_ROWS = ", ".join(f"('{m}', {sql_list(all_terms(m))})" for m in ("Net Revenues", "Net_Revenues", "Capital Expenditures", "Total Assets"))
+STRICT_SQL = "CASE {0} " + " ".join(f"WHEN '{a}' THEN {sql_list(p)}" for a, p in slotfill.STRICT_ANCHORS.items()) + " ELSE [] END"
+KEYWORDS_SQL = "list_filter([lower({0})] || list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda w: length(w) >= 3), lambda w: length(w) > 0)"
+SEARCH_ALIASES_SQL = f"CASE WHEN {{0}} IN ('', 'company') THEN [] ELSE [{{0}}] || [{ALIASES_SQL}[1]] || list_filter({ALIASES_SQL}, lambda w: length(w) >= 4) END"
+TERMS_SQL = f"""WITH {STATES_SQL}, words AS (SELECT * FROM (VALUES {ALL_TERM_ROWS}) AS t(metric, terms)),
+st AS (SELECT *, CASE WHEN entity = 'company' THEN '' ELSE entity END AS named, (SELECT count(*) FROM missing m WHERE m.query_id = states.query_id) AS n_missing FROM states JOIN words USING (metric)),
+mi AS (SELECT m.query_id, m.s, m.period AS p, lower(m.metric) AS m, m.source_anchor AS a, w.terms, st.named AS e, st.answer_type FROM missing m JOIN words w USING (metric) JOIN st USING (query_id)),
+lists AS (
+    SELECT query_id, 1 AS block, s, [CASE WHEN e <> '' THEN concat_ws(' ', e, p, m, a) END, CASE WHEN e <> '' THEN concat_ws(' ', e, p, m) END, CASE WHEN e <> '' THEN concat_ws(' ', e, m, a) END, concat_ws(' ', p, m, a), concat_ws(' ', p, m), concat_ws(' ', m, a), p] AS l FROM mi WHERE answer_type = 'compute'
+    UNION ALL SELECT query_id, 2, 0, [entity, period, metric, source_anchor] || {SEARCH_ALIASES_SQL.format("entity")} || terms[:CASE WHEN answer_type = 'list' THEN 10 ELSE 6 END] FROM st
+    UNION ALL SELECT query_id, 3, s, [p, m] || terms[:CASE WHEN answer_type = 'list' THEN 10 ELSE 6 END] || [a] || {KEYWORDS_SQL.format("a")} || ({STRICT_SQL.format("a")})[:4] FROM mi
+    UNION ALL SELECT query_id, 4, 0, [concat_ws(' ', entity, period, metric), CASE WHEN source_anchor <> '' THEN concat_ws(' ', entity, period, metric, source_anchor) END] || {KEYWORDS_SQL.format("source_anchor")} || ({STRICT_SQL.format("source_anchor")})[:4] || [query] FROM st),
+flat AS (SELECT query_id, block, s, i, l[i] AS t FROM lists, unnest(range(1, len(l) + 1)) AS u(i) WHERE l[i] IS NOT NULL AND trim(l[i]) <> ''),
+once AS (SELECT * FROM flat QUALIFY row_number() OVER (PARTITION BY query_id, lower(trim(t)) ORDER BY block, s, i) = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY block, s, i) AS nth FROM once)
+SELECT query_id, nth - 1 AS nth, t AS term FROM placed JOIN st USING (query_id) WHERE nth <= CASE WHEN answer_type = 'compute' THEN CASE WHEN n_missing >= 4 THEN 30 WHEN n_missing >= 2 THEN 24 ELSE 20 END WHEN n_required >= 2 OR n_missing >= 2 THEN 24 ELSE 12 END"""
+
+
+@query(TERMS_SQL)
+def planned_terms(spark, sf):
+    t = P_.search_terms(states(spark, sf)).select("query_id", F.posexplode("terms").alias("nth", "term"))
+    return t.select("query_id", F.col("nth").cast("long").alias("nth"), "term")
+
+
+#: A search is by the words of the metric alone; where it is tried again, by those of the company, period and question.
+WORDS_SQL = "list_distinct(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda w: length(w) > 0))"
+GUARD_SQL = f"""WITH {STATES_SQL},
+held AS (SELECT query_id, place AS id, {YEARS_SQL.format("title")} AS named, {WORDS_SQL.format("title || ' ' || text")} AS held FROM nodes),
+q AS (SELECT *, {YEARS_SQL.format("period")} AS asked, entity = 'company' AS generic FROM states),
+hits AS (SELECT query_id, id, named, len(list_intersect(held, {WORDS_SQL.format("metric")})) AS a,
+    len(list_intersect(held, {WORDS_SQL.format("array_to_string(list_transform([entity, replace(lower(entity), ' ', '')], lambda x: x || ' ' || x || ' ' || period || ' ' || metric || ' ' || x || ' ' || query) || list_filter(string_split(lower(entity), ' '), lambda w: length(w) >= 4 AND w <> 'holdings'), ' ')")})) AS b FROM held JOIN q USING (query_id)),
+first AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY a DESC, id) AS r FROM hits WHERE a > 0 QUALIFY r <= 5),
+f AS (SELECT query_id, count(*) AS raw, count(*) FILTER (generic OR len(list_intersect(asked, named)) > 0) AS kept, count(DISTINCT named[1]) FILTER ((generic OR len(list_intersect(asked, named)) > 0) AND list_contains(asked, named[1])) AS years FROM first JOIN q USING (query_id) GROUP BY query_id),
+t AS (SELECT q.*, coalesce(raw, 0) AS raw, coalesce(kept, 0) AS kept, CASE WHEN NOT generic AND coalesce(raw, 0) > 0 THEN CASE WHEN answer_type = 'compute' AND len(asked) >= 2 AND coalesce(years, 0) < 2 THEN 'compute_sparse_year_coverage' WHEN coalesce(kept, 0) = 0 THEN 'initial_empty' END END AS reason FROM q LEFT JOIN f USING (query_id)),
+second AS (SELECT h.*, row_number() OVER (PARTITION BY h.query_id ORDER BY b DESC, id) AS r FROM hits h JOIN t ON h.query_id = t.query_id AND reason IS NOT NULL WHERE b > 0 QUALIFY r <= 5),
+g AS (SELECT query_id, count(*) AS retry_raw, count(*) FILTER (len(list_intersect(asked, named)) > 0) AS retry_kept FROM second JOIN q USING (query_id) GROUP BY query_id),
+d AS (SELECT t.*, coalesce(retry_raw, 0) AS retry_raw, coalesce(retry_kept, 0) AS retry_kept, CASE WHEN coalesce(retry_kept, 0) = 0 AND kept = 0 THEN CASE WHEN coalesce(retry_raw, 0) > 0 THEN retry_raw ELSE raw END ELSE 0 END AS relaxed_kept FROM t LEFT JOIN g USING (query_id))
+SELECT query_id, raw AS initial_raw, kept AS initial_kept, reason AS retry_reason, retry_raw, retry_kept, relaxed_kept, CASE WHEN retry_kept > 0 THEN 'retry' WHEN kept > 0 THEN 'initial' WHEN relaxed_kept > 0 THEN 'relaxed' ELSE 'nothing' END AS answered_by,
+    CASE WHEN retry_kept > 0 THEN (SELECT sum(id) FROM second s WHERE s.query_id = d.query_id AND len(list_intersect(d.asked, s.named)) > 0) WHEN kept > 0 THEN (SELECT sum(id) FROM first s WHERE s.query_id = d.query_id AND (generic OR len(list_intersect(d.asked, s.named)) > 0))
+        WHEN retry_raw > 0 THEN (SELECT sum(id) FROM second s WHERE s.query_id = d.query_id) ELSE (SELECT sum(id) FROM first s WHERE s.query_id = d.query_id) END AS ids
+FROM d"""
+
+
+@query(f"SELECT * REPLACE (CAST(ids AS BIGINT) AS ids) FROM ({GUARD_SQL})")
+def guarded_search(spark, sf):
+    nodes, _ = filings(spark, sf)
+    q = states(spark, sf).withColumn("terms", F.array("metric"))
+    found, told = P_.guarded_search(q, P_.term_search(nodes.withColumnRenamed("place", "id"), 5))
+    return told.join(found.groupBy("query_id").agg(F.sum("id").alias("ids")), "query_id", "left")
