@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seshat.operators import packing as K_
 from seshat.operators import planning as P_
 from seshat.operators import slotfill
 from seshat.operators import slots as SL
-from seshat.plans.queries import _esc, query, table
+from seshat.plans.queries import SENTENCES, _esc, query, table
 
 NODES_SQL = """nodes AS (SELECT o_custkey AS query_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey AS place, 'C' || o_custkey || '_' || year(o_orderdate) || '_10K' AS title, CAST(l_linenumber AS INTEGER) AS page, CAST(l_suppkey AS INTEGER) AS sent_id,
     CASE l_returnflag WHEN 'R' THEN 'The income statement of ' || year(l_shipdate) || ' shows net revenues of $' || CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS VARCHAR) || ', less returns of (' || CAST(l_quantity AS INTEGER) || ').'
@@ -172,3 +173,58 @@ def guarded_search(spark, sf):
     q = states(spark, sf).withColumn("terms", F.array("metric"))
     found, told = P_.guarded_search(q, P_.term_search(nodes.withColumnRenamed("place", "id"), 5))
     return told.join(found.groupBy("query_id").agg(F.sum("id").alias("ids")), "query_id", "left")
+
+
+# --- atoms and packing ---------------------------------------------------------------------------------------------
+
+BUDGET = 1200
+ATOMS_SQL = f"""turns AS (SELECT conv_id AS query_id, turn, role, {SENTENCES} AS s FROM conversations),
+atoms AS (SELECT query_id, turn, i, 'a-' || turn || '-' || (i - 1) AS atom_id, '[[' || role || ', Page ' || turn || ', Chunk ' || turn || ']]' AS citation, left(trim(s[i]), 480) AS span FROM turns, unnest(range(1, len(s) + 1)) AS u(i) WHERE length(trim(s[i])) > 0),
+metrics AS (SELECT conv_id AS query_id, regexp_extract(lower(arg_min(text, turn)), '[a-z]{{4,}}') AS metric FROM conversations WHERE text IS NOT NULL GROUP BY conv_id),
+scored AS (SELECT *, CASE WHEN metric <> '' AND contains(lower(citation || ' ' || span), metric) THEN 2.0 ELSE 0.0 END + CASE WHEN contains(lower(citation || ' ' || span), 'assistant') THEN 1.0 ELSE 0.0 END AS priority, citation || chr(10) || span AS block FROM atoms JOIN metrics USING (query_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY priority DESC, turn, i, atom_id) AS r FROM scored)"""
+
+
+def conversation_atoms(spark, sf) -> DataFrame:
+    """Sentences of the turns of each conversation, with their priority for its first word of four letters and the assistant."""
+    c = table(spark, sf, "conversations")
+    turn = F.col("turn").cast("int")
+    nodes = c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("place"), F.col("role").alias("title"), turn.alias("page"), turn.alias("sent_id"), "text")
+    first = c.where("text is not null").groupBy(F.col("conv_id").alias("query_id")).agg(F.regexp_extract(F.lower(F.min_by("text", "turn")), "[a-z]{4,}", 0).alias("metric"))
+    asked = first.select("query_id", "metric", F.lit("Assistant").alias("entity"), F.lit("").alias("period"), F.lit("").alias("source_anchor"), F.lit("compute").alias("answer_type"), F.lit(None).cast("array<struct<entity:string,period:string,metric:string,source_anchor:string>>").alias("slots"))
+    return K_.prioritised(K_.sound_atoms(K_.sentence_atoms(nodes)), asked)
+
+
+def _packs_sql(skip: bool) -> str:
+    fits = f"f.n = 0 OR f.used + length(k.block) <= {BUDGET}"
+    taken = f"({fits})" if skip else f"f.open AND ({fits})"
+    return f"""WITH RECURSIVE {ATOMS_SQL},
+fold AS (SELECT query_id, 0 AS r, 0 AS used, 0 AS n, '' AS ids, true AS open, '' AS context FROM ranked WHERE r = 1
+    UNION ALL SELECT f.query_id, k.r, f.used + CASE WHEN {taken} THEN length(k.block) + 2 ELSE 0 END, f.n + CASE WHEN {taken} THEN 1 ELSE 0 END, f.ids || CASE WHEN {taken} THEN ',' || k.atom_id ELSE '' END, {taken},
+        f.context || CASE WHEN {taken} THEN CASE WHEN f.n > 0 THEN chr(10) || chr(10) ELSE '' END || k.block ELSE '' END FROM fold f JOIN ranked k ON k.query_id = f.query_id AND k.r = f.r + 1)
+SELECT query_id, CAST(n AS INTEGER) AS n_atoms, substr(ids, 2) AS atom_ids, md5(context) AS context_md5 FROM fold QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r DESC) = 1"""
+
+
+def _packs(packs: DataFrame) -> DataFrame:
+    return packs.select("query_id", F.size("atom_ids").alias("n_atoms"), F.array_join("atom_ids", ",").alias("atom_ids"), F.md5("context").alias("context_md5"))
+
+
+@query(_packs_sql(False))
+def packed_atoms(spark, sf):
+    return _packs(K_.packed(conversation_atoms(spark, sf), BUDGET, [-F.col("priority"), F.col("nth")]))
+
+
+@query(_packs_sql(True))
+def packed_atoms_skipping(spark, sf):
+    return _packs(K_.packed(conversation_atoms(spark, sf), BUDGET, [-F.col("priority"), F.col("nth")], skip=True))
+
+
+@query(f"""WITH {NODES_SQL}, words AS (SELECT * FROM (VALUES {ALL_TERM_ROWS}) AS t(metric, terms)),
+a AS (SELECT n.query_id, n.place, s.slot_key, lower('[[' || title || ', Page ' || page || ', Chunk ' || sent_id || ']] ' || trim(left(text, 480))) AS said, terms, {YEARS_SQL.format("period")} AS years, {KEYWORDS_SQL.format("source_anchor")} AS anchors, split_part(title, '_', 1) AS company FROM nodes n JOIN slots s USING (query_id) JOIN words USING (metric)),
+h AS (SELECT *, len(list_filter(terms, lambda t: length(t) >= 3 AND contains(said, t))) AS hits, len(list_filter(years, lambda y: contains(said, y))) AS dated FROM a)
+SELECT query_id, slot_key, CAST(max(score) AS DOUBLE) AS best, count(*) AS n FROM (SELECT *, least(3.0, 1.5 + 0.5 * hits) + least(2.0, dated) + CASE WHEN len(list_filter(anchors, lambda t: contains(said, t))) > 0 THEN 1.0 ELSE 0.0 END + CASE WHEN company = 'C' || query_id THEN 1.0 ELSE 0.0 END AS score FROM h WHERE hits > 0 AND dated > 0) GROUP BY ALL""")
+def aligned_atoms(spark, sf):
+    nodes, slots = filings(spark, sf)
+    atoms = nodes.select("query_id", F.col("place").alias("nth"), F.col("place").cast("string").alias("atom_id"), K_.T.citation("title", "page", "sent_id").alias("citation"), F.col("text").alias("span"))
+    a = K_.aligned(K_.sound_atoms(atoms), slots.withColumn("entity", F.concat(F.lit("C"), "query_id")))
+    return a.groupBy("query_id", "slot_key").agg(F.max("alignment").alias("best"), F.count("*").alias("n"))
