@@ -6,12 +6,16 @@ Filings are made from orders and their lines: a node a line, whose text states t
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seshat.operators import calculation as CA
 from seshat.operators import packing as K_
 from seshat.operators import planning as P_
+from seshat.operators import refinement as RF
 from seshat.operators import slotfill
 from seshat.operators import slots as SL
+from seshat.operators import turns as TN
 from seshat.plans.queries import SENTENCES, _esc, query, table
 
 NODES_SQL = """nodes AS (SELECT o_custkey AS query_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey AS place, 'C' || o_custkey || '_' || year(o_orderdate) || '_10K' AS title, CAST(l_linenumber AS INTEGER) AS page, CAST(l_suppkey AS INTEGER) AS sent_id,
@@ -228,3 +232,138 @@ def aligned_atoms(spark, sf):
     atoms = nodes.select("query_id", F.col("place").alias("nth"), F.col("place").cast("string").alias("atom_id"), K_.T.citation("title", "page", "sent_id").alias("citation"), F.col("text").alias("span"))
     a = K_.aligned(K_.sound_atoms(atoms), slots.withColumn("entity", F.concat(F.lit("C"), "query_id")))
     return a.groupBy("query_id", "slot_key").agg(F.max("alignment").alias("best"), F.count("*").alias("n"))
+
+
+# --- refinement, turns, gates, calculation -------------------------------------------------------------------------
+
+ROUNDS = 3
+#: A user's events in order: the first is the draft, the next what each round would make of it.
+SIDE_SQL = """side AS (SELECT user_id AS query_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS r,
+    CASE event_type WHEN 'error' THEN '@@ANSWER: insufficient evidence' WHEN 'view' THEN '@@ANSWER: ' || CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR) WHEN 'click' THEN CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR)
+        ELSE '@@ANSWER: ' || CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR) || ' [[E_2024, Page 1, Chunk ' || event_id || ']]' END AS answer,
+    props AS critique, CASE WHEN value < 10 THEN 'fail' WHEN value < 60 THEN 'ok' ELSE 'na' END AS arithmetic, CASE WHEN value > 150 THEN ['Cross-company evidence', props] WHEN value > 40 THEN [props] WHEN value > 20 THEN ['fabricated_claim in ' || event_type] ELSE [] END AS issues,
+    value > 70 AS passed, value > 25 AS grounded FROM events),
+policies AS (SELECT user_id AS query_id, CASE WHEN max(value) > 300 THEN 'zero_if_not_explicit' WHEN max(value) > 200 THEN 'inapplicable_explain' ELSE 'insufficient' END AS policy, CAST(count(*) FILTER (event_type = 'error') > 12 AS INTEGER) AS n_missing FROM events GROUP BY user_id)"""
+CITED_SQL = "regexp_matches({0}.answer, '\\[\\[.+?, Page \\d+, Chunk \\d+\\]\\]')"
+RANK_SQL = """[CAST({0}.passed AS INTEGER), CAST({0}.grounded AS INTEGER), CAST(NOT contains({0}.answer, 'insufficient') AS INTEGER), -len({0}.issues), CASE {0}.arithmetic WHEN 'ok' THEN 2 WHEN 'na' THEN 1 ELSE 0 END, CAST(""" + CITED_SQL + " AS INTEGER), CAST(contains({0}.answer, '@@ANSWER:') AS INTEGER)]"
+FOREIGN_SQL = "len(list_filter({0}.issues, lambda i: contains(lower(i), 'cross-company'))) > 0"
+REFINED_SQL = f"""WITH RECURSIVE {SIDE_SQL},
+loop AS (SELECT query_id, 0 AS n, struct_pack(answer := answer, critique := critique, arithmetic := arithmetic, issues := issues, passed := passed, grounded := grounded) AS s, CAST(NULL AS VARCHAR) AS outcome, policy, n_missing FROM side JOIN policies USING (query_id) WHERE r = 0
+    UNION ALL SELECT query_id, CASE WHEN need THEN n + 1 ELSE n END, CASE WHEN need AND keep THEN a ELSE s END,
+        CASE WHEN NOT need THEN 'sound' WHEN NOT keep OR (lower(a.answer) = lower(s.answer) AND a.critique = s.critique AND a.arithmetic = s.arithmetic AND a.issues = s.issues) THEN 'at rest' END, policy, n_missing
+    FROM (SELECT *, CASE WHEN NOT contains(s.answer, 'insufficient') AND contains(a.answer, 'insufficient') THEN (NOT s.passed AND {FOREIGN_SQL.format("s")}) OR (policy = 'insufficient' AND NOT s.passed AND NOT a.passed AND len(a.issues) < len(s.issues))
+            WHEN contains(s.answer, 'insufficient') AND NOT contains(a.answer, 'insufficient') THEN {CITED_SQL.format("a")} OR ({RANK_SQL.format("a")})[3:] > ({RANK_SQL.format("s")})[3:] ELSE {RANK_SQL.format("a")} > {RANK_SQL.format("s")} END AS keep
+        FROM (SELECT l.query_id, l.n, l.s, l.policy, l.n_missing, NOT l.s.passed OR NOT contains(l.s.answer, '@@ANSWER:') OR (contains(l.s.answer, 'insufficient') AND l.n_missing = 0) OR NOT {CITED_SQL.format("l.s")} AS need,
+            CASE WHEN c.query_id IS NULL THEN l.s ELSE struct_pack(answer := CASE WHEN {CITED_SQL.format("l.s")} AND NOT {CITED_SQL.format("c")} THEN c.answer || ' ' || regexp_extract(l.s.answer, '\\[\\[.*\\]\\]') ELSE c.answer END, critique := c.critique, arithmetic := c.arithmetic, issues := c.issues, passed := c.passed, grounded := c.grounded) END AS a
+            FROM loop l LEFT JOIN side c ON c.query_id = l.query_id AND c.r = l.n + 1 WHERE l.outcome IS NULL AND l.n < {ROUNDS}))),
+ends AS (SELECT *, NOT s.passed AND (s.arithmetic = 'fail' OR len(list_filter(s.issues, lambda i: contains(lower(i), 'fabricated_claim') OR contains(lower(i), 'cross-company'))) > 0) AND (coalesce(outcome, '') = 'at rest' OR NOT contains(s.answer, 'insufficient')) AS lost
+    FROM loop QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, outcome IS NULL) = 1)
+SELECT query_id, CASE WHEN lost THEN '@@ANSWER: insufficient evidence' ELSE s.answer END AS answer, s.passed AS passed, CAST(n AS INTEGER) AS n_rounds, CASE WHEN lost THEN 'given up' ELSE coalesce(outcome, 'rounds spent') END AS outcome FROM ends"""
+
+
+def _sides(spark, sf) -> tuple[DataFrame, DataFrame]:
+    e, v, kind = table(spark, sf, "events"), F.col("value"), F.col("event_type")
+    amount = v.cast("decimal(18,2)").cast("string")
+    answer = F.when(kind == "error", "@@ANSWER: insufficient evidence").when(kind == "view", F.concat(F.lit("@@ANSWER: "), amount)).when(kind == "click", amount).otherwise(F.concat(F.lit("@@ANSWER: "), amount, F.lit(" [[E_2024, Page 1, Chunk "), "event_id", F.lit("]]")))
+    issues = F.when(v > 150, F.array(F.lit("Cross-company evidence"), "props")).when(v > 40, F.array("props")).when(v > 20, F.array(F.concat(F.lit("fabricated_claim in "), kind))).otherwise(F.array().cast("array<string>"))
+    s = e.select(F.col("user_id").alias("query_id"), (F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1).alias("round"), answer.alias("answer"), F.col("props").alias("critique"), F.when(v < 10, "fail").when(v < 60, "ok").otherwise("na").alias("arithmetic"), issues.alias("issues"), (v > 70).alias("passed"), (v > 25).alias("grounded"))
+    p = e.groupBy(F.col("user_id").alias("query_id")).agg(F.when(F.max("value") > 300, "zero_if_not_explicit").when(F.max("value") > 200, "inapplicable_explain").otherwise("insufficient").alias("policy"), (F.count_if(kind == "error") > 12).cast("int").alias("n_missing"))
+    return s.where("round = 0").drop("round").join(p, "query_id"), s.where("round > 0")
+
+
+@query(REFINED_SQL)
+def refined_answers(spark, sf):
+    drafts, candidates = _sides(spark, sf)
+    return RF.refined(drafts, candidates, ROUNDS, rejudge=True)
+
+
+TURNS_SQL = """WITH RECURSIVE t AS (SELECT user_id AS query_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, event_type IN ('view', 'click', 'error') AS tool, event_type = 'purchase' AND value > 60 AS answered, [props, event_type] AS found, CAST(value > 80 AS INTEGER) AS new_entries,
+    sum(CAST(value > 80 AS INTEGER)) OVER (PARTITION BY user_id ORDER BY event_id) AS ledger, user_id % 3 AS n_required FROM events),
+k AS (SELECT *, greatest(0, n_required - ledger) AS missing FROM t),
+fold AS (SELECT DISTINCT user_id AS query_id, 0 AS r, 0 AS n, 0 AS calls, CAST([] AS VARCHAR[]) AS seen, 0 AS idle, CAST(0 AS BIGINT) AS ledger, CAST(user_id % 3 AS BIGINT) AS missing, user_id % 3 AS n_required, CAST(NULL AS VARCHAR) AS why FROM events
+    UNION ALL SELECT f.query_id, k.r, CASE WHEN w IS NULL THEN f.n + 1 ELSE f.n END, CASE WHEN w IS NULL AND k.tool THEN f.calls + 1 ELSE f.calls END, CASE WHEN w IS NULL AND k.tool THEN list_distinct(f.seen || k.found) ELSE f.seen END,
+        CASE WHEN w IS NULL AND k.tool THEN CASE WHEN k.new_entries = 0 AND k.missing > 0 THEN f.idle + 1 ELSE 0 END ELSE f.idle END, CAST(CASE WHEN w IS NULL AND k.tool THEN k.ledger ELSE f.ledger END AS BIGINT), CAST(CASE WHEN w IS NULL AND k.tool THEN k.missing ELSE f.missing END AS BIGINT), f.n_required,
+        CASE WHEN w IS NOT NULL THEN w WHEN NOT k.tool AND k.answered THEN 'answered' END
+    FROM (SELECT *, CASE WHEN why IS NOT NULL THEN why WHEN calls > 1 AND CASE WHEN n_required > 0 THEN missing = 0 AND ledger >= n_required ELSE ledger > 0 END THEN 'covered' WHEN calls >= 3 THEN 'calls spent' END AS w FROM fold) f JOIN k ON k.query_id = f.query_id AND k.r = f.r + 1 AND k.r <= 6),
+z AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r DESC) = 1),
+s AS (SELECT *, CASE WHEN why IS NOT NULL THEN why WHEN n < 6 AND calls > 1 AND CASE WHEN n_required > 0 THEN missing = 0 AND ledger >= n_required ELSE ledger > 0 END THEN 'covered' WHEN n < 6 AND calls >= 3 THEN 'calls spent' WHEN n >= 6 THEN 'turns spent' ELSE 'no more turns' END AS stopped FROM z)
+SELECT query_id, CAST(n AS INTEGER) AS n_turns, CAST(calls AS INTEGER) AS n_calls, CAST(len(seen) AS INTEGER) AS n_seen, CAST(idle AS INTEGER) AS no_progress, stopped, stopped <> 'answered' AS forced FROM s"""
+
+
+@query(TURNS_SQL)
+def folded_turns(spark, sf):
+    e = table(spark, sf, "events")
+    new, required = (F.col("value") > 80).cast("int"), F.col("user_id") % 3
+    ledger = F.sum(new).over(W.partitionBy("user_id").orderBy("event_id"))
+    kind = F.col("event_type")
+    turns = e.select(F.col("user_id").alias("query_id"), F.col("event_id").alias("turn"), kind.isin("view", "click", "error").alias("tool"), ((kind == "purchase") & (F.col("value") > 60)).alias("answered"), F.array("props", "event_type").alias("found"), new.alias("new_entries"), ledger.alias("ledger"), F.greatest(F.lit(0), required - ledger).alias("missing"))
+    runs = e.select(F.col("user_id").alias("query_id"), required.alias("n_required"), F.lit(None).cast("array<string>").alias("bootstrap")).distinct()
+    return TN.ran(turns, runs)
+
+
+GATED_SQL = """WITH e AS (SELECT o_custkey AS query_id, o_orderkey AS nth, o_orderstatus || year(o_orderdate) AS slot_key, CASE WHEN o_totalprice < 20000 THEN 'n/a' ELSE CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) END AS value, o_orderpriority, o_totalprice FROM orders),
+s AS (SELECT query_id, count(*) % 4 = 0 AS free FROM e GROUP BY query_id),
+k AS (SELECT e.*, free, free OR NOT (o_orderpriority < '3' OR o_totalprice > 200000) AS kept FROM e JOIN s USING (query_id)),
+l AS (SELECT query_id, slot_key, bool_or(value <> 'n/a') AND NOT coalesce(bool_or(value <> 'n/a') FILTER (kept), false) AS lost, bool_or(kept) AS any_kept, min(nth) AS first FROM k GROUP BY ALL),
+b AS (SELECT k.*, lost AND NOT any_kept AND nth = first AS back FROM k JOIN l USING (query_id, slot_key)),
+c AS (SELECT *, bool_or(kept OR back) OVER (PARTITION BY query_id) AS held_any, min(nth) OVER (PARTITION BY query_id) AS top FROM b)
+SELECT query_id, nth, slot_key, value, CASE WHEN free THEN 'bypass' WHEN kept THEN 'gate' ELSE 'fallback' END AS kept_by FROM c WHERE kept OR back OR (NOT held_any AND nth = top)"""
+
+
+def _entries(spark, sf) -> DataFrame:
+    o = table(spark, sf, "orders")
+    value = F.when(F.col("o_totalprice") < 20000, "n/a").otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    return o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("nth"), F.concat("o_orderstatus", F.year("o_orderdate")).alias("slot_key"), value.alias("value"), "o_orderpriority", "o_totalprice")
+
+
+@query(GATED_SQL)
+def gated_entries(spark, sf):
+    e = _entries(spark, sf)
+    states_ = e.groupBy("query_id").agg(F.when(F.count("*") % 4 == 0, "compute").otherwise("extract").alias("answer_type"))
+    decisions = e.where((F.col("o_orderpriority") < "3") | (F.col("o_totalprice") > 200000)).select("query_id", "nth", F.lit(False).alias("keep"))
+    return TN.gated(e.select("query_id", "nth", "slot_key", "value"), decisions, e.select("query_id", "slot_key").distinct(), states_)
+
+
+RESCUE_SQL = """WITH e AS (SELECT o_custkey AS query_id, CASE WHEN o_totalprice < 40000 THEN 'value_period_mismatch' WHEN o_orderstatus = 'P' THEN 'citation_not_in_context' WHEN o_orderpriority < '2' THEN 'entry_gate:guidance' END AS reason, o_orderstatus, o_totalprice FROM orders),
+q AS (SELECT query_id, count(*) % 3 = 0 AS compute, count(*) FILTER (o_orderstatus = 'F') AS raw, count(*) FILTER (o_totalprice > 390000) AS accepted, count(DISTINCT o_orderstatus) AS required, count(*) FILTER (o_totalprice < 90000) AS missing, count(*) FILTER (reason IS NULL) AS citations,
+    count(*) FILTER (reason = 'value_period_mismatch') AS p, count(*) FILTER (reason = 'citation_not_in_context') AS c FROM e GROUP BY query_id)
+SELECT query_id, raw = 0 AND citations > 0 AS zero_entries, missing > 0 AND citations > 0 AND c > 0 AS citation_repair,
+    missing > 0 AND CASE WHEN compute THEN citations >= 1 ELSE accepted = 0 AND CASE WHEN citations >= 4 THEN p > 0 OR p + c >= 2 OR required >= 2 ELSE p > 0 AND citations >= 1 END END AS slot_rescue FROM q"""
+
+
+@query(RESCUE_SQL)
+def rescue_triggers(spark, sf):
+    o, price = table(spark, sf, "orders"), F.col("o_totalprice")
+    reason = F.when(price < 40000, "value_period_mismatch").when(F.col("o_orderstatus") == "P", "citation_not_in_context").when(F.col("o_orderpriority") < "2", "entry_gate:guidance")
+    e = o.select(F.col("o_custkey").alias("query_id"), reason.alias("reason"), "o_orderstatus", "o_totalprice")
+    counted = e.where("reason is not null").groupBy("query_id", "reason").agg(F.count("*").cast("int").alias("n")).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("reason", "n"))).alias("reasons"))
+    cited = F.count_if(F.col("reason").isNull())
+    q = e.groupBy("query_id").agg(
+        F.when(F.count("*") % 3 == 0, "compute").otherwise("extract").alias("answer_type"), F.count_if(F.col("o_orderstatus") == "F").alias("entries_raw"), F.count_if(price > 390000).alias("accepted"), F.count_distinct("o_orderstatus").alias("n_required"),
+        F.count_if(price < 90000).alias("n_missing"), cited.alias("citations"), F.when(cited > 0, "[[A, Page 1, Chunk 1]] text").otherwise(" ").alias("context"),
+    )
+    return TN.rescues(q.join(counted, "query_id", "left")).select("query_id", "zero_entries", "citation_repair", "slot_rescue")
+
+
+COMPUTED_SQL = """WITH l AS (SELECT o_custkey AS query_id, o_orderkey AS nth, 'y' || year(o_orderdate) AS slot_key, year(o_orderdate) AS y, o_totalprice, o_orderstatus <> 'P' AS usable, '[[C' || o_custkey || '_' || year(o_orderdate) || ', Page 1, Chunk ' || o_orderkey || ']]' AS citation, o_orderpriority >= '3' AS in_context FROM orders),
+r AS (SELECT query_id, slot_key, y, arg_min(CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS DOUBLE), nth) FILTER (usable) AS v, coalesce(arg_min(citation, nth) FILTER (in_context), arg_min(citation, nth)) AS citation FROM l GROUP BY ALL),
+g AS (SELECT query_id, count(*) AS n, count(v) AS filled, arg_min(v, y) AS a, arg_max(v, y) AS b, sum(v) AS s, list(v ORDER BY y) AS x, string_agg(citation, ' ' ORDER BY slot_key) AS cited FROM r GROUP BY query_id),
+k AS (SELECT query_id, c_mktsegment AS segment FROM g JOIN customer ON c_custkey = query_id),
+v AS (SELECT *, list_filter(x, lambda z: z IS NOT NULL) AS known, CASE segment WHEN 'BUILDING' THEN CASE WHEN n >= 2 THEN (b - a) / a * 100 END WHEN 'MACHINERY' THEN CASE WHEN n >= 2 THEN b / a END WHEN 'AUTOMOBILE' THEN s / n WHEN 'HOUSEHOLD' THEN CASE WHEN n >= 2 THEN b - a END ELSE s END AS value FROM g JOIN k USING (query_id))
+SELECT query_id, CASE WHEN filled < n THEN 'missing_slots' WHEN value IS NULL THEN 'no_value' END AS error, CASE WHEN filled = n AND value IS NOT NULL THEN round(value, 3) END AS result,
+    CASE WHEN filled = n AND value IS NOT NULL THEN CASE WHEN segment = 'BUILDING' THEN '%' ELSE '' END || ' ' || cited END AS tail FROM v"""
+
+
+@query(COMPUTED_SQL)
+def computed_answers(spark, sf):
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    year = F.year("o_orderdate")
+    key = F.concat(F.lit("y"), year)
+    ledger = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("nth"), key.alias("slot_key"), F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("$"), F.col("o_totalprice").cast("decimal(18,2)"))).otherwise("N/A").alias("value"), F.concat(F.lit("[[C"), "o_custkey", F.lit("_"), year, F.lit(", Page 1, Chunk "), "o_orderkey", F.lit("]]")).alias("citation"), (F.col("o_orderpriority") >= "3").alias("in_context"))
+    required = o.select(F.col("o_custkey").alias("query_id"), key.alias("slot_key"), F.concat(F.lit("FY"), year).alias("period")).distinct()
+    s = F.col("c_mktsegment")
+    kind = F.when(s == "BUILDING", "growth").when(s == "MACHINERY", "ratio").when(s == "AUTOMOBILE", "average").when(s == "HOUSEHOLD", "difference").otherwise("sum")
+    asked = required.select("query_id").distinct().join(c, F.col("query_id") == F.col("c_custkey")).select("query_id", F.lit("compute").alias("answer_type"), kind.alias("formula"), F.lit(6).alias("rounding"), F.when(s == "BUILDING", "percent").alias("unit"))
+    r = CA.computed(asked, required, ledger)
+    tail = F.substr("answer", F.lit(11) + F.length("result"))
+    return r.select("query_id", "error", F.round(F.col("result").cast("double"), 3).alias("result"), tail.alias("tail"))
