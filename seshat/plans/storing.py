@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seshat.functions import text as T
+from seshat.functions.registered import register
 from seshat.operators import fulltext
+from seshat.operators.graph import next_edges
 from seshat.operators.index import TextIndex
 from seshat.plans.queries import BM25_SQL, SENTENCES, query, table
 from seshat.sources.commits import Commits, resumed, shared_dir
@@ -62,3 +64,30 @@ def term_frequencies(spark, sf):
     index = stored_index(spark, sf)
     index.compact()
     return index.frequencies()
+
+
+# --- table functions -----------------------------------------------------------------------------------------------
+
+
+@query("""WITH m AS (SELECT conv_id, string_agg('--- Page ' || (turn + 1) || ' ---' || chr(10) || ' ' || text || ' ', chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+SELECT conv_id, CAST(turn + 1 AS INTEGER) AS page, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS content_md5 FROM conversations WHERE length(trim(text)) > 0""")
+def page_table_function(spark, sf):
+    register(spark)
+    one = F.concat(F.lit("--- Page "), (F.col("turn") + 1).cast("string"), F.lit(" ---\n "), "text", F.lit(" "))
+    c = table(spark, sf, "conversations").select("conv_id", F.struct("turn", one.alias("t")).alias("p"))
+    c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["t"]), "\n").alias("text")).createOrReplaceTempView("seshat_transcripts")
+    return spark.sql("SELECT conv_id, page, md5(content) AS content_md5 FROM seshat_transcripts, LATERAL seshat_pages(text)")
+
+
+@query("""WITH d AS (SELECT source, doc_id, CASE WHEN n_chars > 4000 THEN CAST(n_chars AS DOUBLE) END AS s FROM documents WHERE source IS NOT NULL),
+e AS (SELECT source, doc_id, s, lag(s, 1) OVER w AS s1, lag(s, 2) OVER w AS s2 FROM d WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+b AS (SELECT source, doc_id, greatest(s, s1 * 0.5, s2 * 0.25) AS score, CASE WHEN s = greatest(s, s1 * 0.5, s2 * 0.25) THEN 0 WHEN s1 * 0.5 = greatest(s, s1 * 0.5, s2 * 0.25) THEN 1 ELSE 2 END AS hop FROM e WHERE s IS NOT NULL OR s1 IS NOT NULL OR s2 IS NOT NULL)
+SELECT source AS part, doc_id AS node, CAST(hop AS INTEGER) AS hop, score FROM b QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, hop, doc_id) <= 20""")
+def graph_table_function(spark, sf):
+    """Long documents and what follows them within two steps in their source, by a table function over the edges of each."""
+    register(spark)
+    d = table(spark, sf, "documents").where("source is not null")
+    edges = next_edges(d, "source", "doc_id", "doc_id").join(d.select(F.col("doc_id").alias("src"), "source"), "src").select(F.col("source").alias("part"), "src", "dst", F.lit(0.5).alias("score"))
+    seeds = d.where("n_chars > 4000").select(F.col("source").alias("part"), F.lit(None).cast("long").alias("src"), F.col("doc_id").alias("dst"), F.col("n_chars").cast("double").alias("score"))
+    edges.unionByName(seeds).createOrReplaceTempView("seshat_walks")
+    return spark.sql("SELECT * FROM seshat_graph_search(TABLE(seshat_walks) PARTITION BY part ORDER BY (src, dst), 2, 20)")
