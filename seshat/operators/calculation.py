@@ -42,7 +42,7 @@ def rounded(v: Column, places: Column | str) -> Column:
     p = F.col(places) if isinstance(places, str) else places
     out = N.significant(v)
     for k in range(MOST_PLACES + 1):
-        out = F.when(F.greatest(F.lit(0), F.least(p, F.lit(MOST_PLACES))) == k, F.format_string(f"%.{k}f", v)).otherwise(out)
+        out = F.when(p.isNotNull() & (F.greatest(F.lit(0), F.least(p, F.lit(MOST_PLACES))) == k), F.format_string(f"%.{k}f", v)).otherwise(out)
     return F.when(v.isNotNull(), out)
 
 
