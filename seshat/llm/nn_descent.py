@@ -284,6 +284,10 @@ def _searched(graph: DataFrame, vectors: DataFrame, queries: DataFrame, entries:
         yield pd.DataFrame(out, columns=["query", "band", "v", "ids", "scores", "done"])
 
     none = F.lit(None).cast("binary")
+    # a row of the table holds the vectors of forty nodes: fewer of them at a time, for the memory of the tasks
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(batch)
+    spark.conf.set(batch, str(min(int(usual), 1000) if int(usual) > 0 else 1000))
     while True:  # a node is expanded once at most, and only beams that still rise expand any
         asked = state.mapInPandas(ask, "query long, band int, v binary, node long, floor float")
         met = asked.repartition(parts, "node").join(table, "node").select("query", "band", "v", "floor", "near", "vs").mapInPandas(score, "query long, band int, ids binary, scores binary")
@@ -293,6 +297,7 @@ def _searched(graph: DataFrame, vectors: DataFrame, queries: DataFrame, entries:
         state = after
         if not state.where(F.instr(F.hex("done"), "00") > 0).limit(1).count():
             break
+    spark.conf.set(batch, usual)
     table.unpersist()
     return state.select("query", "band", "ids", "scores")
 
