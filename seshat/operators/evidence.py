@@ -154,9 +154,9 @@ def period_nodes(nodes: DataFrame, entity_match: Column, period_match: Column, f
 
 
 def better_candidates(pairs: DataFrame, rank: list[str]) -> DataFrame:
-    """pairs with keep_after: whether the refined answer's ranks are no lower in order."""
+    """pairs with keep_after: whether the refined answer's ranks are higher, compared in order."""
     before, after = (F.struct(*(F.col(f"{c}_{s}").alias(c) for c in rank)) for s in ("before", "after"))
-    return pairs.withColumn("keep_after", after >= before)
+    return pairs.withColumn("keep_after", after > before)
 
 
 def unverified_numbers(answers: DataFrame, pool: DataFrame) -> DataFrame:

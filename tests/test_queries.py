@@ -7,10 +7,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from seshat.plans.queries import QUERIES, SQL
+from seshat.plans import answering, storing  # noqa: F401  register their queries
+from seshat.plans.queries import CASE_SQL, CASES, QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents embeddings pages benchmark labels conversations events".split()
+TABLES = "documents embeddings pages benchmark labels conversations events orders lineitem customer".split()
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +48,13 @@ def test_against_sql(spark, oracle, name):
     want = oracle.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_cases(spark, oracle, name):
+    """Operators on typed-in rows, with the values that are stated for them."""
+    got = CASES[name](spark, SF).toPandas()
+    if name in CASE_SQL:
+        assert rows(got) == rows(oracle.sql(CASE_SQL[name]).df())
+    else:
+        assert len(got)
