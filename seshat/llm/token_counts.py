@@ -1,13 +1,14 @@
 """Exact token counts at every prefix of a text, for a public word-end BPE vocabulary.
 
 The tokenizer cuts at white space before anything else, so the count of a prefix follows from the count of a shorter
-one: P[0] = 0 and P[k] = P[k - 1] + c(piece k), where pieces are runs without ASCII white space and c is the
-library's count of a piece by itself, kept per distinct piece. `prefixes` stores the ends of the pieces and P.
-
-`prefix_tables` stores the count at every character. Inside a word it is a dynamic program too: every beginning of a
-word has one last token, the one that stays beside the last token of what comes before it when the two are merged by
-themselves; so the tokens of a beginning are those of a shorter one and one more, and a word is gone through once.
-Counts, truncation and budgets are then read from the stored table by DataFrame functions; nothing is encoded again.
+one: P[0] = 0 and P[k] = P[k - 1] + c(piece k), where pieces are runs without ASCII white space. `prefixes` stores the
+ends of the pieces and P. Inside a piece it is a dynamic program too: every beginning of a word has one last token, the
+one that stays beside the last token of what comes before it when the two are merged by themselves; so the tokens of a
+beginning are those of a shorter one and one more, and a word is gone through once. c(piece) is the last entry of that
+table, kept per distinct piece. `prefix_tables` stores the count at every character.
+
+Counts, truncation and budgets are then read from the stored tables by DataFrame functions; nothing is encoded again.
+The library itself is only what tests hold the counts against.
 """
 
 from __future__ import annotations
@@ -30,17 +31,10 @@ REMEMBERED = 300_000
 
 
 class Pieces:
-    """The library's token counts of pieces of text, remembered."""
+    """Token counts of pieces of text, each the last entry of the piece's own prefix table, remembered."""
 
     def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.ends = WordEnds(path)
         self.known: dict[bytes, int] = {}
 
     def learn(self, pieces: set[bytes]) -> None:
@@ -48,10 +42,8 @@ class Pieces:
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {}
             new = list(pieces)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            got = self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in part], add_special_tokens=False)
-            self.known.update(zip(part, map(len, got)))
+        for p in new:
+            self.known[p] = int(self.ends.inside(p.decode("utf-8"), keep=False)[-1])
 
     def count(self, piece: bytes) -> int:
         if piece not in self.known:
@@ -59,6 +51,12 @@ class Pieces:
         return self.known[piece]
 
 
+@cache
+def _pieces(path: str) -> Pieces:
+    """One table of pieces a worker, for all tasks that it runs."""
+    return Pieces(path)
+
+
 def _ends(text: bytes, pieces: list[bytes]) -> np.ndarray:
     """Where each piece ends, in bytes."""
     data = np.frombuffer(text, np.uint8)
@@ -75,7 +73,7 @@ def prefixes(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(tokenizer_path)
+        pieces = _pieces(tokenizer_path)
 
         def out(ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
             split = [t.split() for t in texts]
@@ -246,7 +244,7 @@ class WordEnds:
             k += 1
         return out
 
-    def inside(self, piece: str) -> np.ndarray:
+    def inside(self, piece: str, keep: bool = True) -> np.ndarray:
         """The tokens of every beginning of a piece, one character longer each."""
         if (got := self.pieces.get(piece)) is not None:
             return got
@@ -263,7 +261,7 @@ class WordEnds:
             out += [plain, np.array([base], np.int32)]
             at = k + len(s)
         counts = np.concatenate(out)
-        if len(piece) <= SHORT:
+        if keep and len(piece) <= SHORT:
             if len(self.pieces) > REMEMBERED:
                 self.pieces.clear()
             self.pieces[piece] = counts
