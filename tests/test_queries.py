@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from seshat.plans import answering, covering, storing  # noqa: F401  register their queries
+from seshat.plans import answering, covering, figures, storing  # noqa: F401  register their queries
 from seshat.plans.queries import CASE_SQL, CASES, QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
