@@ -9,6 +9,7 @@ from seshat.functions import numbers as N
 from seshat.functions import periods as P
 from seshat.functions import text as T
 from seshat.operators import answers as A
+from seshat.operators import reports as RP
 from seshat.operators import states as S_
 from seshat.plans.answering import ANY_SQL, LITERALS_SQL, NODES_SQL, NUMBERS_SQL, PRIMARY_SQL, YEARS_SQL, filings, sql_list
 from seshat.plans.queries import query, table
@@ -134,3 +135,56 @@ def filed_entity_nodes(spark, sf):
     other = F.concat(F.lit("C"), F.when(F.col("page") > 2, F.col("query_id") + 1).otherwise(F.col("query_id")), F.substr("title", F.length(F.concat(F.lit("C"), "query_id")) + 1))
     j = n.join(first, "query_id").select("query_id", "place", other.alias("title"), F.concat(F.lit("C"), "query_id").alias("entity"), "period", F.lit("revenue").alias("metric"))
     return S_.entity_nodes(j, True).select("query_id", "place", "title")
+
+
+# --- reports of runs -----------------------------------------------------------------------------------------------
+
+COUNTED = ("answer_attempt", "hallucination", "insufficient", "forced_synthesis", "compute_missing_guard", "reflection", "refinement")
+
+
+def _run(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Details of answers made of documents and their labels, traces made of events."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    answer = F.when(F.col("n_chars") < 200, "It cannot be determined").when(F.col("lang") == "de", "@@ANSWER: ERROR in run").otherwise(F.left("text", F.lit(40)))
+    details = d.select(F.col("doc_id").alias("query_id"), answer.alias("answer"), F.when(F.col("source") == "src1", "timeout").alias("error"), F.when(F.col("lang") == "en", F.col("toxic").cast("double")).alias("hallucination"), F.when(F.col("lang") == "fr", F.col("quality").cast("double")).alias("llm_judge_score"))
+    step = F.when(F.col("event_type") == "view", "execution_forced_synthesis").when(F.col("event_type") == "click", "execution_compute_missing_guard").when(F.col("event_type") == "error", "reflection").when(F.col("event_type") == "signup", "refinement").otherwise("plan")
+    return details, table(spark, sf, "events").select(F.col("user_id").alias("query_id"), step.alias("step"), F.when(F.col("value") > 30, F.floor(F.col("value") / 30).cast("int")).alias("attempts"))
+
+
+RUN_SQL = """WITH d AS (SELECT d.doc_id, n_chars < 200 AS gave_up, lang = 'de' OR coalesce(source = 'src1', false) AS failed, CASE WHEN lang = 'en' THEN toxic WHEN lang = 'fr' THEN 1 - quality END AS wrong FROM documents d LEFT JOIN labels USING (doc_id)),
+c AS (SELECT count(*) AS queries, count(*) FILTER (NOT gave_up AND NOT failed) AS answer_attempt_count, count(*) FILTER (NOT gave_up AND NOT failed AND wrong = 1) AS hallucination_count, count(*) FILTER (NOT gave_up AND NOT failed AND wrong IS NOT NULL) AS hallucination_eligible_count, count(*) FILTER (gave_up) AS insufficient_count FROM d),
+t AS (SELECT count(*) FILTER (event_type = 'view') AS forced_synthesis_count, count(*) FILTER (event_type = 'click') AS compute_missing_guard_count, count(*) FILTER (event_type = 'error') AS reflection_count, count(*) FILTER (event_type = 'signup') AS refinement_count,
+    sum(CASE WHEN value > 30 THEN floor(value / 30) ELSE 1 END) FILTER (event_type = 'view') AS syn, sum(CASE WHEN value > 30 THEN floor(value / 30) ELSE 1 END) FILTER (event_type = 'signup') AS ref FROM events WHERE user_id IN (SELECT doc_id FROM d))
+SELECT queries, hallucination_eligible_count, """ + ", ".join(f"{c}_count, round({c}_count / queries, 9) AS {c}_rate" for c in COUNTED) + """, round(hallucination_count / greatest(1, hallucination_eligible_count), 9) AS hallucination_rate_answered, round(reflection_count / queries, 9) AS avg_reflection_attempts,
+    round(ref / queries, 9) AS avg_refinement_attempts, round(syn / greatest(1, forced_synthesis_count), 9) AS avg_synthesis_attempts FROM c, t"""
+
+
+@query(RUN_SQL)
+def run_diagnostics(spark, sf):
+    out = RP.run_diagnostics(*_run(spark, sf))
+    return out.select(*(F.round(c, 9).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes))
+
+
+METRICS = ["quality", "hallucination"]
+
+
+def _systems(spark, sf) -> tuple[DataFrame, DataFrame]:
+    x = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
+    a = x.select(F.concat(F.lit("q"), "doc_id").alias("query"), F.col("quality").alias("quality"), F.when(F.col("lang") != "es", F.col("toxic")).alias("hallucination"))
+    b = x.where("lang <> 'fr'").select(F.concat(F.lit(" q"), "doc_id", F.lit(" ")).alias("query"), (F.col("n_chars") % 3 == 0).cast("int").alias("quality"), (F.col("n_chars") % 5 == 0).cast("int").alias("hallucination"))
+    return a, b
+
+
+@query("""WITH p AS (SELECT doc_id, unnest([{'metric': 'quality', 'a': quality, 'b': CAST(n_chars % 3 = 0 AS INTEGER)}, {'metric': 'hallucination', 'a': CASE WHEN lang <> 'es' THEN toxic END, 'b': CAST(n_chars % 5 = 0 AS INTEGER)}], recursive := true) FROM labels JOIN documents USING (doc_id) WHERE lang <> 'fr'),
+m AS (SELECT * FROM p WHERE a IS NOT NULL AND b IS NOT NULL)
+SELECT metric, count(*) AS n, round(avg(a), 9) AS mean_a, round(avg(b), 9) AS mean_b, round(avg(a - b), 9) AS mean_diff, count(*) FILTER (CASE WHEN metric = 'quality' THEN a > b ELSE a < b END) AS a_wins, count(*) FILTER (CASE WHEN metric = 'quality' THEN a < b ELSE a > b END) AS b_wins, count(*) FILTER (a = b) AS ties FROM m GROUP BY metric""")
+def paired_metrics(spark, sf):
+    out = RP.paired_metrics(*_systems(spark, sf), METRICS)
+    return out.select(*(F.round(c, 9).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes))
+
+
+@query()
+def bootstrap_by_counts(spark, sf):
+    a, b = _systems(spark, sf)
+    pairs = a.select(F.trim("query").alias("k"), F.col("quality").alias("b")).join(b.select(F.trim("query").alias("k"), F.col("quality").alias("a")), "k")
+    return RP.bootstrap_by_counts(pairs)
