@@ -23,15 +23,6 @@ LARGE_METRICS, LEAST_LARGE = ("revenue", "net sales", "net revenues", "total ass
 COUNTED, CUT = 16, 10
 
 
-def places(text: Column, mark: Column) -> Column:
-    """Where a mark stands in a text, counted from 0, places apart from one another; none for an empty mark."""
-    parts = F.split(text, F.concat(F.lit("\\Q"), mark, F.lit("\\E")))
-    step = lambda a, p: F.struct((a["at"] + F.length(p) + F.length(mark)).alias("at"), F.concat(a["found"], F.array(a["at"] + F.length(p))).alias("found"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
-    found = F.aggregate(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), start, step)["found"]
-    return F.when(F.length(mark) > 0, found).otherwise(F.array().cast("array<int>"))
-
-
 def window(text: Column, at: Column, size: Column, around: tuple[int, int]) -> Column:
     start = F.greatest(F.lit(0), at - around[0])
     return F.substr(text, start + 1, at + size + around[1] - start)
@@ -80,7 +71,7 @@ def candidate_windows(slots: DataFrame, nodes: DataFrame) -> DataFrame:
     j = j.where(anchored(F.col("anchor"), cited) | (sheet & (_named(F.col("anchor"), F.col("low")) | ((F.col("hits") > 0) & (years | titled | ~some("asked"))))))
     by_year = F.when(years, 4).when(titled, 1).when(some("asked") & ~some("said") & ~some("named"), 1).otherwise(0)
     score = F.col("hits") * 2 + by_year + (F.length("anchor") > 0).cast("int")
-    cut = lambda marks, text, around, kind: F.transform(marks, lambda m, i: F.transform(places(text, m), lambda at: F.struct(F.lit(kind).alias("kind"), i.alias("i"), at.alias("at"), F.length(m).alias("size"))))
+    cut = lambda marks, text, around, kind: F.transform(marks, lambda m, i: F.transform(T.places(text, m), lambda at: F.struct(F.lit(kind).alias("kind"), i.alias("i"), at.alias("at"), F.length(m).alias("size"))))
     hits = F.concat(F.flatten(cut(F.slice("terms", 1, CUT), F.col("low"), AROUND_TERM, 0)), F.flatten(cut(F.col("asked"), F.col("body"), AROUND_YEAR, 1)))
     j = j.select("query_id", "slot_key", "capex", "large", "place", "title", "page", "sent_id", score.alias("score"), "most", "whole", "body", F.posexplode_outer(hits).alias("nth", "h"))
     at, size = F.col("h.at"), F.col("h.size")

@@ -83,13 +83,8 @@ def named_entities(query: Column | str) -> Column:
 
 def around(span: Column, mark: Column, width: int) -> Column:
     """The stretches of `width` letters on both sides of each place of `mark` in a text."""
-    parts = F.split(span, F.concat(F.lit("\\Q"), mark, F.lit("\\E")))
-    # what lies before and behind a place reaches over the places beside it
-    joined = lambda some: F.aggregate(F.slice(some, F.lit(2), F.size(parts)), F.get(some, F.lit(0)), lambda a, x: F.concat(a, mark, x))
-    end = lambda i: joined(F.slice(parts, F.lit(1), i))
-    rest = lambda i: joined(F.slice(parts, i + 1, F.size(parts)))
-    windows = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.right(end(i), F.lit(width)), mark, F.left(rest(i), F.lit(width))))
-    return F.when(F.size(parts) > 1, windows).otherwise(F.array().cast("array<string>"))
+    start = lambda at: F.greatest(F.lit(0), at - width)
+    return F.transform(T.places(span, mark), lambda at: F.substr(span, start(at) + 1, at + F.length(mark) + width - start(at)))
 
 
 def value_matches_period(value: Column | str, period: Column | str, title: Column | str, span: Column | str) -> Column:

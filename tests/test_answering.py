@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from seshat.functions import text as T
 from seshat.operators import calculation, packing, planning, refinement, slotfill, turns
 
 SLOTS = "query_id long, slot_key string, period string, metric string, source_anchor string"
@@ -16,7 +17,7 @@ def filled(spark, slots, nodes):
 
 def test_places_and_windows(spark):
     d = spark.createDataFrame([("ab.ab.xab", "ab"), ("aaa", "aa"), ("", "a"), ("abc", ""), (".a.", "."), (None, "a")], "t string, m string")
-    assert [r[0] for r in d.select(slotfill.places(F.col("t"), F.col("m"))).collect()] == [[0, 3, 7], [0], [], [], [0, 2], None]
+    assert [r[0] for r in d.select(T.places(F.col("t"), F.col("m"))).collect()] == [[0, 3, 7], [0], [], [], [0, 2], None]
 
 
 def test_slot_fill_takes_the_best_window(spark):
