@@ -146,19 +146,29 @@ def resolved_slots(entries: DataFrame, required: DataFrame) -> DataFrame:
     the title, or alone stand near the value in the span; else the longest key. Without an agreeing slot required_key
     is null and match the commonest reason. Each entry meets the slots of its own query.
     """
-    r = required.select("query_id", F.col("slot_key").alias("r_key"), *(F.col(c).alias(f"r_{c}") for c in ("entity", "period", "metric", "source_anchor")))
-    e = entries.join(r, "query_id", "left")
-    mine = F.when(T.is_generic_entity("entity"), "").otherwise(T.text("entity"))
+    long = lambda c: F.filter(metric_terms(c), lambda t: F.length(t) >= 4)
+    # what depends on one side alone is worked out before the sides meet
+    r = required.select(
+        "query_id", F.col("slot_key").alias("r_key"), T.canonical_metric_key("metric").alias("r_metric"), long("metric").alias("r_terms"), P.year_tokens("period").alias("r_years"), P.quarter_tokens("period").alias("r_quarters"),
+        (F.length(F.trim(T.text("period"))) == 0).alias("r_any"), T.normalize_doc_key("entity").alias("r_entity"), F.lower(T.text("source_anchor")).alias("r_anchor"),
+    )
+    own = entries.select(
+        "query_id", "nth", "slot_key", T.canonical_metric_key("metric").alias("metric"), long("metric").alias("terms"), P.year_tokens("period").alias("years"), P.quarter_tokens("period").alias("quarters"), (F.length(F.trim(T.text("period"))) == 0).alias("any"),
+        T.normalize_doc_key(F.when(T.is_generic_entity("entity"), "").otherwise(T.text("entity"))).alias("entity"), F.lower(T.text("source_anchor")).alias("anchor"), P.year_tokens("title").alias("titled"), F.lower(T.text("span")).alias("span"), N.scaled_numbers("value").alias("numbers"),
+    )
+    e = own.join(r, "query_id", "left")
+    some, apart = (lambda x, y: (F.size(x) > 0) & (F.size(y) > 0)), (lambda x, y: ~F.arrays_overlap(x, y))
+    same_metric = (F.length("metric") > 0) & (F.length("r_metric") > 0) & (F.contains("metric", "r_metric") | F.contains("r_metric", "metric") | F.arrays_overlap("terms", "r_terms"))
+    other_period = ~F.col("any") & ~F.col("r_any") & ((some("years", "r_years") & apart("years", "r_years")) | (some("quarters", "r_quarters") & apart("quarters", "r_quarters")))
     reason = first_reason([
-        ("metric_mismatch", ~metric_matches("metric", "r_metric")),
-        ("period_mismatch", ~P.periods_overlap("period", "r_period")),
-        ("entity_mismatch", ~_entity_matches(mine, F.col("r_entity"))),
-        ("anchor_mismatch", (F.length(T.text("source_anchor")) > 0) & (F.length(T.text("r_source_anchor")) > 0) & (F.lower(T.text("source_anchor")) != F.lower(T.text("r_source_anchor")))),
+        ("metric_mismatch", ~same_metric),
+        ("period_mismatch", other_period),
+        ("entity_mismatch", (F.length("entity") > 0) & (F.length("r_entity") > 0) & ~F.contains("entity", "r_entity") & ~F.contains("r_entity", "entity")),
+        ("anchor_mismatch", (F.length("anchor") > 0) & (F.length("r_anchor") > 0) & (F.col("anchor") != F.col("r_anchor"))),
     ])
-    years = P.year_tokens("r_period")
-    numbers = N.scaled_numbers("value")
-    near = F.exists(years, lambda y: F.exists(around(F.lower(T.text("span")), y, HINT_WINDOW), lambda w: F.exists(N.scaled_numbers(w), lambda f: F.exists(numbers, lambda v: F.abs(f - v) <= F.greatest(F.lit(1e-6), F.abs(v) * 1e-4)))))
-    e = e.select("query_id", "nth", "r_key", (F.col("slot_key") == F.col("r_key")).alias("exact"), reason.alias("why"), F.arrays_overlap(years, P.year_tokens("title")).alias("titled"), near.alias("near"))
+    stated = lambda w: F.exists(N.scaled_numbers(w), lambda f: F.exists("numbers", lambda v: F.abs(f - v) <= F.greatest(F.lit(1e-6), F.abs(v) * 1e-4)))
+    near = F.exists("r_years", lambda y: F.exists(around(F.col("span"), y, HINT_WINDOW), stated))
+    e = e.withColumn("why", reason).select("query_id", "nth", "r_key", (F.col("slot_key") == F.col("r_key")).alias("exact"), "why", F.arrays_overlap("r_years", "titled").alias("titled"), F.when(F.col("why").isNull() & F.col("r_key").isNotNull(), near).alias("near"))
     fits = F.col("why").isNull() & F.col("r_key").isNotNull()
     key = lambda c: F.min(F.when(fits & c, F.col("r_key")))
     n = lambda c: F.count_if(fits & c)
