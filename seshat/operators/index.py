@@ -6,7 +6,9 @@ A search reads the buckets of the asked terms and the lengths; compaction merges
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seshat.operators import fulltext
@@ -19,14 +21,14 @@ BUCKETS = 64
 class TextIndex:
     """Rows by id (long) under a folder. A null id or text is not indexed; of rows that share an id in one change any one stays."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.buckets, self.store = spark, buckets, Commits(spark, path)
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, analysed: Callable[[Column | str], Column] = fulltext.terms):
+        self.spark, self.buckets, self.store, self.analysed = spark, buckets, Commits(spark, path), analysed
 
     def upsert(self, rows: DataFrame, row_id: str = "id", content: str = "content") -> None:
         """Index rows, in place of what their ids had before."""
         r = rows.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("long").alias("id"), F.col(content).alias("content"))
         r = r.groupBy("id").agg(F.first("content", ignorenulls=True).alias("content"))
-        t = r.where(F.col("content").isNotNull()).select("id", fulltext.terms("content").alias("t"))
+        t = r.where(F.col("content").isNotNull()).select("id", self.analysed("content").alias("t"))
         lengths = t.select("id", F.size("t").alias("length"))
         counted = t.select("id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
         self._commit(counted, lengths, r.select("id"))
@@ -53,7 +55,7 @@ class TextIndex:
     def postings(self, queries: DataFrame, query_id: str = "query_id", query_text: str = "query") -> fulltext.Postings:
         """What fulltext.postings gives, from what is stored: searches take either."""
         names = self.store.names()
-        q = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(fulltext.terms(query_text))).alias("term"))
+        q = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(self.analysed(query_text))).alias("term"))
         asked = q.select("term").distinct()
         small = q.limit(fulltext.MOST_SENT + 1).count() <= fulltext.MOST_SENT
         if not names:

@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seshat.functions import stems as ST
 from seshat.functions import text as T
 from seshat.functions.registered import register
 from seshat.operators import fulltext
 from seshat.operators.graph import next_edges
 from seshat.operators.index import TextIndex
+from seshat.plans.answering import sql_list
 from seshat.plans.queries import BM25_SQL, SENTENCES, query, table
 from seshat.sources.commits import Commits, resumed, shared_dir
 
@@ -91,3 +93,33 @@ def graph_table_function(spark, sf):
     seeds = d.where("n_chars > 4000").select(F.col("source").alias("part"), F.lit(None).cast("long").alias("src"), F.col("doc_id").alias("dst"), F.col("n_chars").cast("double").alias("score"))
     edges.unionByName(seeds).createOrReplaceTempView("seshat_walks")
     return spark.sql("SELECT * FROM seshat_graph_search(TABLE(seshat_walks) PARTITION BY part ORDER BY (src, dst), 2, 20)")
+
+
+# --- English terms -------------------------------------------------------------------------------------------------
+
+
+def _cases(pairs, then: str, other: str) -> str:
+    """CASE over endings, the longest first; {0} is the ending, {1} its length, {2} what takes its place."""
+    rows = sorted(pairs.items(), key=lambda x: -len(x[0]))
+    return "CASE " + " ".join(f"WHEN w LIKE '%_{e}' THEN " + then.format(e, len(e), new) for e, new in rows) + f" ELSE {other} END"
+
+
+ENGLISH_SQL = f"""docs AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(lower(text), '[a-z0-9]+(?:[''’][a-z]+)?'), lambda w: regexp_replace(w, '[''’]s?$', '')), lambda w: length(w) > 0 AND NOT list_contains({sql_list(ST.STOPWORDS)}, w)) AS words FROM documents WHERE text IS NOT NULL),
+vocabulary AS (SELECT DISTINCT unnest(words) AS term FROM (SELECT words FROM docs)),
+fit AS (SELECT term, CASE WHEN term LIKE 'y%' THEN 'Y' || substr(term, 2) ELSE term END AS w FROM vocabulary WHERE length(term) > 2 AND regexp_matches(term, '^[a-z]+$')),
+s1 AS (SELECT term, CASE WHEN regexp_matches(w, '(ss|i)es$') THEN w[:-3] WHEN regexp_matches(w, '[^s]s$') THEN w[:-2] ELSE w END AS w FROM fit),
+s2 AS (SELECT term, CASE WHEN w LIKE '%_eed' THEN CASE WHEN regexp_matches(w[:-4], '{ST.SOME}') THEN w[:-2] ELSE w END WHEN w LIKE '%_ed' AND regexp_matches(w[:-3], '{ST.VOWEL}') THEN w[:-3] WHEN w LIKE '%_ing' AND regexp_matches(w[:-4], '{ST.VOWEL}') THEN w[:-4] ELSE w END AS w, w LIKE '%_eed' AS eed, w AS old FROM s1),
+s3 AS (SELECT term, CASE WHEN eed OR w = old THEN w WHEN regexp_matches(w, '(at|bl|iz)$') THEN w || 'e' WHEN length(w) > 1 AND w[-1:] = w[-2:-2] AND w[-1:] NOT IN ('a', 'e', 'i', 'o', 'u', 'y', 'l', 's', 'z') THEN w[:-2] WHEN regexp_matches(w, '{ST.SHORT}') THEN w || 'e' ELSE w END AS w FROM s2),
+s4 AS (SELECT term, CASE WHEN w LIKE '%_y' AND regexp_matches(w[:-2], '{ST.VOWEL}') THEN w[:-2] || 'i' ELSE w END AS w FROM s3),
+s5 AS (SELECT term, {_cases(ST.SECOND, "CASE WHEN regexp_matches(left(w, length(w) - {1}), '" + ST.SOME + "') THEN left(w, length(w) - {1}) || '{2}' ELSE w END", "w")} AS w FROM s4),
+s6 AS (SELECT term, {_cases(ST.THIRD, "CASE WHEN regexp_matches(left(w, length(w) - {1}), '" + ST.SOME + "') THEN left(w, length(w) - {1}) || '{2}' ELSE w END", "w")} AS w FROM s5),
+s7 AS (SELECT term, {_cases(dict.fromkeys(ST.FOURTH, ""), "CASE WHEN regexp_matches(left(w, length(w) - {1}), '" + ST.TWO + "') THEN left(w, length(w) - {1}) ELSE w END", f"CASE WHEN regexp_matches(w, '[st]ion$') AND regexp_matches(left(w, length(w) - 3), '{ST.TWO}') THEN left(w, length(w) - 3) ELSE w END")} AS w FROM s6),
+s8 AS (SELECT term, CASE WHEN w LIKE '%_e' AND (regexp_matches(w[:-2], '{ST.TWO}') OR (regexp_matches(w[:-2], '{ST.ONE}') AND NOT regexp_matches(w[:-2], '{ST.SHORT}'))) THEN w[:-2] ELSE w END AS w FROM s7),
+s9 AS (SELECT term, lower(CASE WHEN w LIKE '%_ll' AND regexp_matches(w[:-2], '{ST.TWO}') THEN w[:-2] ELSE w END) AS w FROM s8),
+stems AS (SELECT v.term, coalesce(w, v.term) AS stem FROM vocabulary v LEFT JOIN s9 USING (term))"""
+
+
+@query(f"WITH {ENGLISH_SQL} SELECT stem, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(words) AS term FROM docs) JOIN stems USING (term) GROUP BY stem")
+def english_terms(spark, sf):
+    t = table(spark, sf, "documents").where("text is not null").select(F.explode(ST.english("text")).alias("stem"))
+    return t.groupBy("stem").agg(F.count("*").alias("n"))
