@@ -99,20 +99,40 @@ def question_edges(pending: DataFrame, answerable: DataFrame, block: str, top: i
     return pairs.select("question", "question_y", "node_x", "node_y", (F.col("dot") + shared).alias("similarity"))
 
 
+def _chosen(edges: DataFrame, doc_of: DataFrame, across: int) -> tuple[DataFrame, DataFrame]:
+    """The best answer of each question, and its best `across` in other documents, each (node_x, node_y) once."""
+    best_first = W.partitionBy("question").orderBy(F.desc("similarity"), "question_y")
+    first = _once(edges.withColumn("r", F.row_number().over(best_first)).where("r = 1").drop("r"))
+    x, y = (doc_of.select(F.col("node").alias(f"node_{s}"), F.col("doc").alias(f"doc_{s}")) for s in "xy")
+    other = edges.join(x, "node_x").join(y, "node_y").where("doc_x <> doc_y").drop("doc_x", "doc_y")
+    other = _once(other.withColumn("r", F.row_number().over(best_first)).where(F.col("r") <= across).drop("r"))
+    return first.select(*edges.columns), other.select(*edges.columns)
+
+
+def _once(edges: DataFrame) -> DataFrame:
+    pair = W.partitionBy("node_x", "node_y").orderBy(F.desc("similarity"), "question")
+    return edges.withColumn("r", F.row_number().over(pair)).where("r = 1").drop("r")
+
+
 def selected_edges(edges: DataFrame, doc_of: DataFrame, across: int = 2) -> DataFrame:
     """The best answer of each question, and its best `across` in other documents, each (node_x, node_y) once.
 
     doc_of: node, doc.
     """
-    best_first = W.partitionBy("question").orderBy(F.desc("similarity"), "question_y")
-    pair = W.partitionBy("node_x", "node_y").orderBy(F.desc("similarity"), "question")
-    one = lambda df: df.withColumn("r", F.row_number().over(pair)).where("r = 1").drop("r")
-    first = one(edges.withColumn("r", F.row_number().over(best_first)).where("r = 1").drop("r"))
-    x, y = (doc_of.select(F.col("node").alias(f"node_{s}"), F.col("doc").alias(f"doc_{s}")) for s in "xy")
-    other = edges.join(x, "node_x").join(y, "node_y").where("doc_x <> doc_y").drop("doc_x", "doc_y")
-    other = one(other.withColumn("r", F.row_number().over(best_first)).where(F.col("r") <= across).drop("r"))
-    both = first.select(*edges.columns).union(other.select(*edges.columns))
-    return one(both)
+    first, other = _chosen(edges, doc_of, across)
+    return _once(first.union(other))
+
+
+def abstract_edges(answerable: DataFrame, edges: DataFrame, doc_of: DataFrame, across: int = 2) -> DataFrame:
+    """src, dst, question: answerable questions that no selected edge answers by, from the first node of their document.
+
+    answerable: question, node; doc_of: node, doc, one row a node. An edge that its pair has twice uses both questions.
+    """
+    first, other = _chosen(edges, doc_of, across)
+    used = first.select(F.col("question_y").alias("question")).union(other.select("question_y")).distinct()
+    heads = doc_of.groupBy("doc").agg(F.min("node").alias("src"))
+    left = answerable.select("question", F.col("node").alias("dst")).join(used, "question", "left_anti")
+    return left.join(doc_of.select(F.col("node").alias("dst"), "doc"), "dst").join(heads, "doc").select("src", "dst", "question")
 
 
 def unused(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:

@@ -11,9 +11,12 @@ from seshat.operators import answers as A
 from seshat.operators import chunking as C
 from seshat.operators import evidence as L
 from seshat.operators import fusion, grounding
+from seshat.operators import retrieval as R
 from seshat.operators import states as S_
+from seshat.operators import vectors as V
 from seshat.plans.answering import NODES_SQL, SIDE_SQL, _sides, filings, sql_list
-from seshat.plans.queries import SENTENCES, query, table
+from seshat.plans.queries import QEDGE_SQL, SENTENCES, query, table
+from seshat.plans.queries import _questions as vector_questions
 from seshat.plans.storing import new_folder
 from seshat.sources import tables as S
 
@@ -255,3 +258,44 @@ def plain_answers(spark, sf):
     n, _ = filings(spark, sf)
     said = F.concat("text", F.lit("  "), T.citation("title", "page", "sent_id"))
     return n.select("query_id", "place", F.md5(A.without_citations(said)).alias("text_md5"), F.contains("text", F.lit("$")).alias("exact"))
+
+
+@query(f"""WITH {QEDGE_SQL}, used AS (SELECT question_y FROM f1 UNION SELECT question_y FROM f3), heads AS (SELECT doc, min(node) AS src FROM (SELECT DISTINCT node, doc FROM qs) GROUP BY doc)
+SELECT src, node AS dst, question FROM qs JOIN heads USING (doc) WHERE question % 2 = 0 AND question NOT IN (SELECT question_y FROM used)""")
+def abstract_edges(spark, sf):
+    q = vector_questions(spark, sf)
+    edges = V.question_edges(q.where("question % 2 = 1"), q.where("question % 2 = 0"), "block")
+    return V.abstract_edges(q.where("question % 2 = 0"), edges, q.select("node", "doc").distinct())
+
+
+HOP_SQL = """WITH n AS (SELECT vec_id AS id, text, embedding AS v FROM embeddings JOIN documents ON vec_id = doc_id WHERE text IS NOT NULL),
+q AS (SELECT item_id AS query_id, b.text AS query, v FROM benchmark b JOIN n ON item_id = id),
+t AS (SELECT query_id, label AS place, d.text FROM q JOIN embeddings e ON e.vec_id = query_id * 2 JOIN documents d ON d.doc_id = query_id * 2 WHERE label < 5 AND d.text IS NOT NULL),
+f AS (SELECT query_id, place, min(id) AS id, 'text' AS "by" FROM t JOIN n USING (text) GROUP BY query_id, place, text),
+c AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(list_sum(list_transform(list_zip(q.v, n.v), lambda z: CAST(z[1] AS DOUBLE) * z[2])) / nullif(sqrt(list_sum(list_transform(q.v, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(n.v, lambda x: CAST(x AS DOUBLE) * x))), 0), 0) DESC, id) AS place FROM q, n WHERE query_id NOT IN (SELECT query_id FROM f)),
+u AS (SELECT query_id, place, id, "by" FROM f UNION ALL SELECT query_id, place, id, 'vector' FROM c WHERE place <= 10),
+s AS (SELECT u.*, round(coalesce(len(list_intersect(list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')))) / nullif(len(list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+'))), 0), 0), 10) AS score FROM u JOIN n USING (id) JOIN q USING (query_id))
+SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place, id) AS INTEGER) AS rank, "by" AS found_by FROM s QUALIFY rank <= 5"""
+
+
+@query(HOP_SQL)
+def hop_retrieve(spark, sf):
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
+    e = table(spark, sf, "embeddings")
+    nodes = e.join(d, F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("id"), "text", "embedding")
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    queries = b.join(nodes.select(F.col("id").alias("query_id"), "embedding"), "query_id")
+    twice = e.where("label < 5").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("place")).join(d, "doc_id")
+    texts = queries.select("query_id", (F.col("query_id") * 2).alias("doc_id")).join(twice, "doc_id").select("query_id", "place", "text")
+    return R.hop_retrieve(texts, nodes, queries, 5).withColumnRenamed("by", "found_by")
+
+
+@query("""WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r, '| ' || l_linenumber || ' | ' || CASE WHEN l_tax > 0.04 THEN '-' ELSE CAST(l_partkey AS VARCHAR) END || ' | ' || l_returnflag || ' |' AS line, 'Line: ' || l_linenumber || CASE WHEN l_tax > 0.04 THEN '' ELSE ', Part: ' || l_partkey END || ', Flag: ' || l_returnflag || '.' AS said FROM lineitem)
+SELECT l_orderkey AS order_id, md5('Order ' || l_orderkey || chr(10) || string_agg(said, chr(10) ORDER BY r) || chr(10) || 'a | b' || chr(10) || '| one line |' || chr(10) || 'end') AS text_md5 FROM l GROUP BY l_orderkey""")
+def told_tables(spark, sf):
+    """Orders as texts with a table of their lines, which becomes sentences; a single line of cells stays."""
+    l = table(spark, sf, "lineitem")  # noqa: E741
+    row = F.concat(F.lit("| "), "l_linenumber", F.lit(" | "), F.when(F.col("l_tax") > 0.04, "-").otherwise(F.col("l_partkey").cast("string")), F.lit(" | "), "l_returnflag", F.lit(" |"))
+    g = l.groupBy(F.col("l_orderkey").alias("order_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", row.alias("row")))).alias("x"))
+    text = F.concat(F.lit("Order "), "order_id", F.lit("\n| Line | Part | Flag |\n"), F.array_join(F.transform("x", lambda x: x["row"]), "\n"), F.lit("\na | b\n| one line |\nend"))
+    return g.select("order_id", F.md5(C.with_tables_told(text)).alias("text_md5"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seshat.functions import text as T
-from seshat.operators import calculation, packing, planning, refinement, slotfill, turns
+from seshat.operators import calculation, chunking, packing, planning, refinement, retrieval, slotfill, turns, vectors
 
 SLOTS = "query_id long, slot_key string, period string, metric string, source_anchor string"
 NODES = "query_id long, place long, title string, page int, sent_id int, text string"
@@ -159,3 +159,25 @@ def test_computed_answers(spark):
     answers = spark.createDataFrame([(1, "@@ANSWER: 24"), (2, "it is 1"), (3, "as said")], "query_id long, answer string")
     new = {r.query_id: (r.answer, r.overridden) for r in calculation.with_results(answers, calculation.computed(q, required, ledger)).collect()}
     assert new == {1: ("@@ANSWER: 25.0% c3 c2", True), 2: ("it is 1", False), 3: ("as said", False)}
+
+
+def test_tables_become_sentences(spark):
+    table = "| Year | Sales |\n|---|---|\n| 2020 | 5 |\n"
+    rows = [(f"before\n{table}after", "before\nYear: ---, Sales: ---.\nYear: 2020, Sales: 5.\nafter"), ("| one | line |\nafter", "| one | line |\nafter"), ("| a | b |\n| c | d |", "a: c, b: d."), ("", ""), (None, ""), ("a | b\nc | d", "a | b\nc | d")]
+    got = spark.createDataFrame([(t,) for t, _ in rows], "t string").select(chunking.with_tables_told("t")).collect()
+    assert [r[0] for r in got] == [want for _, want in rows]
+
+
+def test_unused_answers_hang_on_their_document(spark):
+    edges = spark.createDataFrame([(1, 10, 1, 4, 0.9), (1, 11, 1, 5, 0.8), (2, 12, 2, 4, 0.7)], "question long, question_y long, node_x long, node_y long, similarity double")
+    docs = spark.createDataFrame([(1, 1), (2, 1), (4, 2), (5, 2)], "node long, doc long")
+    answers = spark.createDataFrame([(10, 4), (11, 5), (12, 4), (13, 5), (14, 2)], "question long, node long")
+    assert sorted(map(tuple, vectors.abstract_edges(answers, edges, docs).collect())) == [(1, 2, 14), (4, 5, 13)]
+
+
+def test_hop_retrieval_falls_back_to_vectors(spark):
+    nodes = spark.createDataFrame([(1, "red fish", [1.0, 0.0]), (2, "blue fish", [0.0, 1.0]), (3, "red fish", [1.0, 0.1]), (4, None, [1.0, 0.0])], "id long, text string, embedding array<double>")
+    queries = spark.createDataFrame([(1, "blue", [1.0, 0.0]), (2, "red", [1.0, 0.0])], "query_id long, query string, embedding array<double>")
+    texts = spark.createDataFrame([(1, 0, "red fish"), (1, 1, "blue fish"), (1, 2, "no such"), (2, 0, "no such")], "query_id long, place int, text string")
+    got = [tuple(r) for r in retrieval.hop_retrieve(texts, nodes, queries, 2).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 2, 1.0, 1, "text"), (1, 1, 0.0, 2, "text"), (2, 1, 1.0, 1, "vector"), (2, 3, 1.0, 2, "vector")]
