@@ -18,7 +18,7 @@ from seshat.operators import slots as SL
 from seshat.operators import turns as TN
 from seshat.plans.queries import SENTENCES, _esc, query, table
 
-NODES_SQL = """nodes AS (SELECT o_custkey AS query_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey AS place, 'C' || o_custkey || '_' || year(o_orderdate) || '_10K' AS title, CAST(l_linenumber AS INTEGER) AS page, CAST(l_suppkey AS INTEGER) AS sent_id,
+NODES_SQL = """nodes AS (SELECT o_custkey AS query_id, (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS place, 'C' || o_custkey || '_' || year(o_orderdate) || '_10K' AS title, CAST(l_linenumber AS INTEGER) AS page, CAST(l_suppkey AS INTEGER) AS sent_id,
     CASE l_returnflag WHEN 'R' THEN 'The income statement of ' || year(l_shipdate) || ' shows net revenues of $' || CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS VARCHAR) || ', less returns of (' || CAST(l_quantity AS INTEGER) || ').'
         WHEN 'A' THEN 'Cash flows from investing activities: purchases of property, plant and equipment (capital expenditures) were (' || CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS VARCHAR) || ') in ' || year(l_shipdate) || CASE WHEN l_tax > 0.06 THEN ', as a percentage of sales ' || CAST(l_quantity AS INTEGER) || '%.' ELSE '.' END
         ELSE 'Total assets at the end of ' || year(l_shipdate) || ' came to ' || CAST(l_quantity AS INTEGER) || ' lots of ' || CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS VARCHAR) || ', total current liabilities to ' || l_partkey || '.' END AS text
@@ -37,7 +37,7 @@ def filings(spark, sf) -> tuple[DataFrame, DataFrame]:
     orders = table(spark, sf, "orders")
     lines = table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     nodes = lines.select(
-        F.col("o_custkey").alias("query_id"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")).alias("place"), F.concat(F.lit("C"), "o_custkey", F.lit("_"), F.year("o_orderdate"), F.lit("_10K")).alias("title"), F.col("l_linenumber").cast("int").alias("page"), F.col("l_suppkey").cast("int").alias("sent_id"),
+        F.col("o_custkey").alias("query_id"), ((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")).alias("place"), F.concat(F.lit("C"), "o_custkey", F.lit("_"), F.year("o_orderdate"), F.lit("_10K")).alias("title"), F.col("l_linenumber").cast("int").alias("page"), F.col("l_suppkey").cast("int").alias("sent_id"),
         F.when(F.col("l_returnflag") == "R", revenue).when(F.col("l_returnflag") == "A", capex).otherwise(assets).alias("text"),
     )
     status = F.col("o_orderstatus")
