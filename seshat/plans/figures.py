@@ -48,7 +48,7 @@ def filed_scales(spark, sf):
     return s.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.size("v").alias("n"), F.array_max("v").alias("high"), F.array_min("v").alias("low"))
 
 
-@query(f"""WITH s AS ({SCALED_TEXT_SQL}), p AS (SELECT s.*, '$' || CAST(CAST(l.l_quantity AS INTEGER) * 1000000 AS VARCHAR) AS value FROM s JOIN lineitem l USING (l_orderkey, l_partkey, l_suppkey, l_linenumber)),
+@query(f"""WITH p AS (SELECT *, '$' || CAST(CAST(l_quantity AS INTEGER) * 1000000 AS VARCHAR) AS value FROM ({SCALED_TEXT_SQL.replace(" AS t FROM", " AS t, l_quantity FROM")})),
 v AS (SELECT *, {SCALE_SQL.format("value")} AS a, {SCALE_SQL.format("t")} AS b FROM p)
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, contains(lower(t), value) OR len(list_filter(a, lambda x: len(list_filter(b || list_transform(b, lambda z: abs(z)), lambda y: abs(x - y) <= greatest(1e-6, abs(y) * 1e-4))) > 0)) > 0 AS grounded FROM v""")
 def filed_grounding(spark, sf):
