@@ -159,7 +159,9 @@ def conflict_key(value: Column | str) -> Column:
     plain = F.trim(F.regexp_replace(F.lower(text(value)), r"\s+", " "))
     numbers = scaled_numbers(plain)
     most = F.aggregate(numbers, F.lit(None).cast("double"), lambda a, v: F.when(a.isNull() | (F.abs(v) > F.abs(a)), v).otherwise(a))
-    return F.when(F.length(plain) == 0, "").when(F.size(numbers) > 0, F.concat(F.lit("num:"), significant(most))).otherwise(F.concat(F.lit("txt:"), plain))
+    # as a variable, the number is worked out once for all that its digits are taken from
+    told = F.get(F.transform(F.array(most), lambda v: F.when(v.isNotNull(), F.concat(F.lit("num:"), significant(v)))), F.lit(0))
+    return F.when(F.length(plain) == 0, "").otherwise(F.coalesce(told, F.concat(F.lit("txt:"), plain)))
 
 
 def formatted(v: Column) -> Column:
