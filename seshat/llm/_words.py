@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Bytes of text hashed at once; bounds the working memory of a task.
-CHUNK = 1 << 19
+#: Bytes of text hashed at once; bounds the working memory of a task, and fits the caches of a core.
+CHUNK = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,16 +69,22 @@ def _chunk(data: np.ndarray, offsets: np.ndarray, first: int) -> Iterator[tuple[
         yield from ((first + r, np.empty(0, U)) for r in range(len(offsets) - 1))
         return
     word = np.zeros(n + 2, bool)
-    word[1:-1] = ~space[data]
+    word[1:-1] = ~space.take(data)
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True  # a word does not go on into the next row
     starts = np.flatnonzero(word[1:-1] & (~word[:-2] | cut[:-1]))
     ends = np.flatnonzero(word[1:-1] & (~word[2:] | cut[1:])) + 1
     up, down = _powers(max(CHUNK, 1 << (n - 1).bit_length()))
     sums = np.zeros(n + 1, U)
-    np.cumsum(values[data] * up[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
-    at = np.searchsorted(starts, offsets)
+    powered = values.take(data)
+    powered *= up[:n]
+    np.cumsum(powered, out=sums[1:])
+    hashes = sums.take(ends)
+    hashes -= sums.take(starts)
+    hashes *= down.take(starts)
+    hashes += (ends - starts).view(U)
+    hashes = mix(hashes)
+    at = np.searchsorted(starts, offsets).tolist()
     for r in range(len(offsets) - 1):
         yield first + r, hashes[at[r] : at[r + 1]]
 

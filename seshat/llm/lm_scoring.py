@@ -39,6 +39,8 @@ GATHERED, PART = 65_536, 4_000_000
 BLOCK, SHARE = 16_384, float(1 << 12)
 #: Words before and after the predicted one.
 SIDES = (-2, -1, 1, 2)
+#: Exponents up to here are taken as they are: no sum of them overflows, none that counts vanishes.
+TAME = 50.0
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -86,7 +88,8 @@ class Network:
         first = np.concatenate([np.arange(min(OWN, len(n))), OWN + np.concatenate([[0], ends[:-1]])[: groups if more else 0], [len(n)]]).astype(np.int64)
         self.first = np.append(np.unique(first), len(n) + 1)  # where each class begins; the last holds the words not known
         share = np.append(n + 0.5, max(total - n.sum(), 0) + 0.5 * (distinct - len(n) + 1)) if len(n) or total else np.ones(1)
-        self.classes = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        many = len(self.first) - 1
+        self.classes = np.repeat(np.arange(many, dtype=np.uint16 if many < 1 << 16 else np.int64), np.diff(self.first))  # 16 bits are sorted by radix
         of_class = np.bincount(self.classes, share)
         order = np.argsort(words)
         self.words, self.place = words[order], np.append(order, len(words))
@@ -107,105 +110,143 @@ class Network:
 
     def places(self, words: np.ndarray) -> np.ndarray:
         """The rank of each word by frequency; one past all of them if it isn't known."""
-        if not len(self.words):
-            return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.place[at], len(self.words))
-
-    def forward(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs, hidden layer and probabilities of classes."""
+        if not hasattr(self, "slot"):
+            self.slots()
+        at = self.slot.take((words >> self.shift).view(np.int64))
+        for _ in range(self.longest):
+            at += self.ended.take(at) < words
+        return np.where(self.ended.take(at) == words, self.place.take(at), len(self.words))
+
+    def slots(self) -> None:
+        """Where the known words of each slot begin; a slot holds hashes of equal leading bits, so that few words are in one."""
+        self.shift = U(64 - self.bits - 4)
+        at = np.searchsorted(self.words, np.arange(1 << (self.bits + 4), dtype=U) << self.shift)
+        self.slot, self.longest = at.astype(np.int32), int(np.diff(at, append=len(self.words)).max())
+        self.ended = np.append(self.words, ~U(0))
+
+    def forward(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs, hidden layer with a column of ones, shares of classes and what each row of them adds up to."""
         w = self.weights
-        x = w["vectors"][near].reshape(len(near), -1)
-        h = np.tanh(x @ w["w1"] + w["b1"])
-        return x, h, _softmax(h @ w["w2"] + w["b2"])
+        x = w["vectors"].take(near, axis=0).reshape(len(near), -1)
+        h = np.ones((len(near), HIDDEN + 1), np.float32)
+        np.tanh(x @ w["w1"] + w["b1"], out=h[:, :-1])
+        return x, h, *_shares(h @ np.vstack([w["w2"], w["b2"]]), _tame(w["w2"].T, w["b2"], np.zeros(1, np.int64)))
 
-    def inside(self, h: np.ndarray, places: np.ndarray, classes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(first word, last, rows, probabilities) for each class of several words that rows are in; rows come by class."""
+    def inside(self, h: np.ndarray, classes: np.ndarray) -> Iterator[tuple[int, int, slice, np.ndarray, np.ndarray]]:
+        """(first word, last, rows, shares, their sums) for each class of several words that rows are in; rows come by class."""
         w = self.weights
+        tame = _tame(w["u"], w["c"], self.first[:-1])
+        u = np.column_stack([w["u"], w["c"]])
         cut = np.concatenate([[0], np.flatnonzero(classes[1:] != classes[:-1]) + 1, [len(classes)]])
-        for i, j in zip(cut[:-1], cut[1:]):
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
             a, b = self.first[classes[i]], self.first[classes[i] + 1]
             if b - a > 1:
-                yield a, b, slice(i, j), _softmax(h[i:j] @ w["u"][a:b].T + w["c"][a:b])
+                yield a, b, slice(i, j), *_shares(h[i:j] @ u[a:b].T, tame)
 
     def learn(self, near: np.ndarray, places: np.ndarray) -> None:
-        classes = self.classes[places]
+        classes = self.classes.take(places)
         order = np.argsort(classes, kind="stable")
-        near, places, classes = near[order], places[order], classes[order]
-        w, n = self.weights, len(near)
-        x, h, p = self.forward(near)
-        p[np.arange(n), classes] -= 1
-        dh = p @ w["w2"].T
-        for a, b, at, q in self.inside(h, places, classes):
-            q[np.arange(len(q)), places[at] - a] -= 1
-            dh[at] += q @ w["u"][a:b]
-            self._step("u", q.T @ h[at], slice(a, b))
-            self._step("c", q.sum(0), slice(a, b))
-        dh *= 1 - h * h
-        dx = (dh @ w["w1"].T).reshape(-1, WIDTH)
-        for name, g in (("w2", h.T @ p), ("b2", p.sum(0)), ("w1", x.T @ dh), ("b1", dh.sum(0))):
-            self._step(name, g, slice(None))
-        at = near.ravel().astype(np.uint16 if self.bits < 16 else np.uint32)  # 16 bits are sorted by radix
-        order = np.argsort(at, kind="stable")
-        rows, first = np.unique(at[order], return_index=True)
-        self._step("vectors", np.add.reduceat(dx[order], first, axis=0), rows)
-
-    def _step(self, name: str, g: np.ndarray, rows: slice | np.ndarray) -> None:
+        near, places, classes = near.take(order, axis=0), places.take(order), classes.take(order)
+        w = self.weights
+        x, h, p, sums = self.forward(near)
+        # shares less their sum at what was to be predicted; the sums are divided by where rows are shortest
+        p.ravel()[_cells(p, classes)] -= sums
+        part = 1 / sums
+        dh = (p @ w["w2"].T) * part[:, None]
+        gradients = {"w2": (h[:, :-1] * part[:, None]).T @ p, "b2": part @ p}
+        # what no row is about has gradients 0, which change nothing
+        gradients |= {"u": np.zeros_like(w["u"]), "c": np.zeros_like(w["c"])}
+        for a, b, at, q, sums in self.inside(h, classes):
+            q.ravel()[_cells(q, places[at] - a)] -= sums
+            part = 1 / sums
+            dh[at] += (q @ w["u"][a:b]) * part[:, None]
+            gradients["u"][a:b] = q.T @ (h[at, :-1] * part[:, None])
+            gradients["c"][a:b] = part @ q
+        dh *= 1 - h[:, :-1] ** 2
+        dx = (w["w1"] @ dh.T).reshape(len(SIDES), WIDTH, -1)
+        at = near.T.ravel().astype(np.int64)
+        gradients["vectors"] = np.stack([np.bincount(at, dx[:, k].ravel(), len(w["vectors"])) for k in range(WIDTH)], 1).astype(np.float32)
+        gradients |= {"w1": x.T @ dh, "b1": np.ones(len(dh), np.float32) @ dh}
+        for name, g in gradients.items():
+            self._step(name, g)
+
+    def _step(self, name: str, g: np.ndarray) -> None:
         """A step against the gradient, over the root of the squares so far; of a word's vector as a whole."""
-        s = self.squares[name]
+        s, w = self.squares[name], self.weights[name]
         if s.ndim < g.ndim:
-            s[rows] += np.einsum("ij,ij->i", g, g) / g.shape[1]
-            self.weights[name][rows] -= RATE * g / np.sqrt(s[rows])[:, None]
+            s += np.einsum("ij,ij->i", g, g) / g.shape[1]
+            g *= (RATE / np.sqrt(s))[:, None]
         else:
-            s[rows] += g * g
-            self.weights[name][rows] -= RATE * g / np.sqrt(s[rows])
+            s += g * g
+            g *= RATE / np.sqrt(s)
+        w -= g
 
     def log_probabilities(self, near: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Of each token; of a word that isn't known, of the last class over its total count."""
-        classes = self.classes[places]
+        classes = self.classes.take(places)
         order = np.argsort(classes, kind="stable")
-        near, places, classes = near[order], places[order], classes[order]
-        _, h, p = self.forward(near)
-        out = np.log(np.maximum(p[np.arange(len(places)), classes], 1e-12)).astype(np.float64)
-        for a, _, at, q in self.inside(h, places, classes):
-            out[at] += np.log(np.maximum(q[np.arange(len(q)), places[at] - a], 1e-12))
+        near, places, classes = near.take(order, axis=0), places.take(order), classes.take(order)
+        _, h, p, sums = self.forward(near)
+        out = np.log(np.maximum(p.take(_cells(p, classes)) / sums, 1e-12)).astype(np.float64)
+        for a, _, at, q, sums in self.inside(h, classes):
+            out[at] += np.log(np.maximum(q.take(_cells(q, places[at] - a)) / sums, 1e-12))
         out[places == len(self.words)] -= self.rest
         back = np.empty_like(out)
         back[order] = out
         return back
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+def _cells(z: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Where the cell of each row of z that is in the row's column stands in z as one row."""
+    return np.arange(0, z.size, z.shape[1]) + columns
+
+
+def _tame(w: np.ndarray, c: np.ndarray, first: np.ndarray) -> bool:
+    """Whether products of w with values in [-1, 1], plus c, stay below TAME, and in each class from `first` on one stays above -TAME."""
+    reach = np.abs(w) @ np.ones(w.shape[1], np.float32)
+    return bool((c + reach).max() < TAME and np.maximum.reduceat(c - reach, first).min() > -TAME)
+
+
+def _shares(z: np.ndarray, tame: bool) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z) in place, but for a factor a row where z isn't tame, and what each row adds up to."""
+    if not tame:
+        z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
+    return z, z @ np.ones(z.shape[1], np.float32)
 
 
-def windows(words: np.ndarray, bits: int) -> np.ndarray:
-    """The context types around each word, one past them where the text has ended."""
-    pad = np.full(len(words) + 4, 1 << bits, np.int32)
-    pad[2:-2] = (words >> U(64 - bits)).astype(np.int32)
-    return np.stack([pad[2 + s : 2 + s + len(words)] for s in SIDES], 1)
+def windows(words: np.ndarray, bits: int, sizes: list[int] | None = None) -> np.ndarray:
+    """The context types around each word, one past them where the text has ended; words are of texts of such sizes, or of one."""
+    sizes = np.array([len(words)] if sizes is None else sizes, np.int64)
+    at = np.arange(len(words)) + np.repeat(2 * np.arange(1, len(sizes) + 1), sizes)  # two places between texts
+    pad = np.full(len(words) + 2 * len(sizes) + 2, 1 << bits, np.int32)
+    pad[at] = words >> U(64 - bits)
+    near = np.empty((len(words), len(SIDES)), np.int32)
+    for k, s in enumerate(SIDES):
+        near[:, k] = pad.take(at + s)
+    return near
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], column: int, least: int, bits: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """(number of words of each text, windows, words) for runs of whole texts of some `least` words."""
-    sizes, near, words, n = [], [], [], 0
+
+    def run() -> tuple[list[int], np.ndarray, np.ndarray]:
+        sizes, whole = [len(w) for w in held], np.concatenate(held)
+        return sizes, windows(whole, bits, sizes), whole
+
+    held, n = [], 0
     for batch in batches:
         for _, w in word_hashes(*buffers(batch.column(column))):
-            sizes.append(len(w))
-            near.append(windows(w, bits))
-            words.append(w)
+            held.append(w)
             n += len(w)
             if n >= least:
-                yield sizes, np.concatenate(near), np.concatenate(words)
-                sizes, near, words, n = [], [], [], 0
-        if sizes and column:
-            yield sizes, np.concatenate(near), np.concatenate(words)
-            sizes, near, words, n = [], [], [], 0
-    if sizes:
-        yield sizes, np.concatenate(near), np.concatenate(words)
+                yield run()
+                held, n = [], 0
+        if held and column:
+            yield run()
+            held, n = [], 0
+    if held:
+        yield run()
 
 
 def trained(docs: DataFrame, counts: DataFrame, text_col: str = "text", part_words: int = PART) -> Network:
@@ -232,7 +273,8 @@ def trained(docs: DataFrame, counts: DataFrame, text_col: str = "text", part_wor
             places, rng = net.places(words), np.random.default_rng([seen, len(words)])
             order = rng.permutation(len(words))
             for i in range(0, len(order), BATCH):
-                net.learn(near[order[i : i + BATCH]], places[order[i : i + BATCH]])
+                at = order[i : i + BATCH]
+                net.learn(near.take(at, axis=0), places.take(at))
             seen += len(words)
         flat = np.concatenate([net.weights[k].ravel() for k in shapes])
         net.weights = start
