@@ -83,15 +83,16 @@ def near_metric_term(value: Column | str, span: Column | str, terms: Column) ->
     return (F.length(F.trim(T.text(value))) > 0) & F.exists(scoped, close)
 
 
-def entity_nodes(nodes: DataFrame, fail_open: bool) -> DataFrame:
+def entity_nodes(nodes: DataFrame, fail_open: bool, named: Column | None = None) -> DataFrame:
     """Nodes of the query's entity and period.
 
     nodes: query_id, title, entity, period, metric. The company is the title up to the first _; the entity must match,
-    the period may fail open; listings of debt take any period.
+    the period may fail open; listings of debt take any period. `named`: the years of a title, where they are not its
+    runs of four digits.
     """
     company, entity = T.normalize_doc_key(F.split_part("title", F.lit("_"), F.lit(1))), T.normalize_doc_key("entity")
     n = nodes.where((F.length(entity) == 0) | ((F.length(company) > 0) & (F.contains(company, entity) | F.contains(entity, company))))
-    asked, named = year_tokens("period"), year_tokens("title")
+    asked, named = year_tokens("period"), year_tokens("title") if named is None else named
     off = (F.size(asked) > 0) & (F.size(named) > 0) & ~F.arrays_overlap(asked, named)
     listing = T.contains_any(T.canonical_metric_key("metric"), DEBT_LISTING)
     from seshat.operators.evidence import period_nodes
