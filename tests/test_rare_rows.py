@@ -56,3 +56,10 @@ def test_sentences_of_texts_without_any(spark, tmp_path):
     texts = [None, "", " \n", "One. Two!\tThree", "A.\x0bB", "A.\x0b B\x0b", "A\x01B. C", "A. \x85", "B. \u2028"]
     rows = check(spark, tmp_path, "sentence_split", documents=([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCUMENTS))
     assert rows[:4] == [(0, None, None), (1, 0, None), (2, 0, None), (3, 3, 13)]
+
+
+def test_values_told_apart_as_in_sql(spark, tmp_path):
+    texts = {"a": [None, None], "b": ["", "  ", None], "c": ["X  y", "x y ", "x\x0by", "x "], "d": ["ΑΣ", "ας", "ασ"], "e": ["İ", "i"], None: ["x", ""]}
+    rows = [(10 * k + i, t, "en", s, 0) for k, (s, every) in enumerate(texts.items()) for i, t in enumerate(every)]
+    got = check(spark, tmp_path, "dedupe_values", documents=(rows, DOCUMENTS))
+    assert {s: n for s, _, n in got} == {"a": 0, "b": 1, "c": 3, "d": 2, "e": 1, None: 2}
