@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seshat.functions import text as T
+from seshat.operators.draws import drawn as draws
 from seshat.operators.ordering import ranked
 
 Z95 = 1.96
+#: Differences of a bootstrap that are sent to every task, and draws of one task.
+MOST_LOOKED_UP, DRAWS = 1 << 22, 20_000_000
 
 
 def means(results: DataFrame, metrics: list[str], by: list[str] | None = None) -> DataFrame:
@@ -90,14 +97,49 @@ def bootstrap_interval(pairs: DataFrame, key: str, resamples: int = 10_000, seed
     """mean_difference, low, high: percentile interval of the mean paired difference (A10).
 
     Each draw is the row whose number is the hash of seed, resample and draw. Rows are numbered by key (whole
-    numbers), in spans; the draws are a range over all tasks, looked up by equality and averaged by resample.
+    numbers), in spans. Up to MOST_LOOKED_UP differences go to every task in eight bytes each, and tasks draw some
+    resamples each; beyond that the draws are a range over all tasks, looked up by equality and averaged by resample.
     """
     n = pairs.count()
     d = ranked(pairs, [], key, "_at").select((F.col("_at") - 1).cast("long").alias("at"), (F.col("b") - F.col("a")).alias("d"))
-    hashed = F.conv(F.left(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("r"), F.col("i"))), F.lit(8)), 16, 10).cast("long")
     spark = pairs.sparkSession
-    draws = spark.range(resamples * n).select(F.floor(F.col("id") / max(1, n)).alias("r"), (F.col("id") % max(1, n)).alias("i")).select("r", F.pmod(hashed, F.lit(max(1, n))).alias("at"))
-    m = draws.join(d, "at").groupBy("r").agg(F.round(F.avg("d"), 12).alias("m")).withColumn("nth", F.row_number().over(W.orderBy("m", "r")))
+    if 0 < n <= MOST_LOOKED_UP:
+        return _interval(_looked_up(d, n, resamples, seed), d, resamples, alpha)
+    hashed = F.conv(F.left(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("r"), F.col("i"))), F.lit(8)), 16, 10).cast("long")
+    numbers = spark.range(resamples * n).select(F.floor(F.col("id") / max(1, n)).alias("r"), (F.col("id") % max(1, n)).alias("i")).select("r", F.pmod(hashed, F.lit(max(1, n))).alias("at"))
+    return _interval(numbers.join(d, "at").groupBy("r").agg(F.round(F.avg("d"), 12).alias("m")), d, resamples, alpha)
+
+
+def _looked_up(d: DataFrame, n: int, resamples: int, seed: int) -> DataFrame:
+    """r, m: the mean of each resample, drawn where the differences are."""
+
+    def gathered(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at")
+        known = rows["known"].to_numpy(bool)
+        return pd.DataFrame({"values": [rows["d"].to_numpy(float).tobytes()], "known": [b"" if known.all() else known.tobytes()]})
+
+    def averaged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for low, high, values, known in zip(b["low"], b["high"], b["values"], b["known"]):
+                x = np.frombuffer(values)
+                has = np.frombuffer(known, bool) if known else np.ones(len(x), bool)
+                x = np.where(has, x, 0.0)
+                total = {r: [0.0, 0] for r in range(low, high)}
+                for r, drawn in draws(seed, list(total), n):
+                    at = drawn % np.uint32(n)
+                    total[r][0] += float(x[at].sum())
+                    total[r][1] += int(has[at].sum()) if known else len(at)
+                yield pd.DataFrame([(r, s / c if c else None) for r, (s, c) in total.items()], columns=["r", "m"])
+
+    one = d.select("at", F.coalesce("d", F.lit(0.0)).alias("d"), F.col("d").isNotNull().alias("known")).groupBy().applyInPandas(gathered, "values binary, known binary")
+    # some ten million draws a task, at most a thousand resamples
+    tasks = max(-(-resamples // 1000), min(resamples, resamples * n // DRAWS))
+    some = d.sparkSession.range(0, tasks, 1, tasks).select((F.col("id") * resamples / tasks).cast("long").alias("low"), ((F.col("id") + 1) * resamples / tasks).cast("long").alias("high"))
+    return some.crossJoin(F.broadcast(one)).mapInPandas(averaged, "r long, m double").select("r", F.round("m", 12).alias("m"))
+
+
+def _interval(means: DataFrame, d: DataFrame, resamples: int, alpha: float) -> DataFrame:
+    m = means.withColumn("nth", F.row_number().over(W.orderBy("m", "r")))
     low, high = int(alpha / 2 * resamples), max(0, -(-int((1 - alpha / 2) * resamples * 1000) // 1000) - 1)
     return m.agg(F.max(F.when(F.col("nth") == low + 1, F.col("m"))).alias("low"), F.max(F.when(F.col("nth") == high + 1, F.col("m"))).alias("high")).crossJoin(d.agg(F.avg("d").alias("mean_difference"))).select("mean_difference", "low", "high")
 
